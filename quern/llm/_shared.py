@@ -105,3 +105,16 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def linked_classes(classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """classes (rep, weight, ...) with n_links of each member and component.
+
+    found: (id, links, root), any number of rows for a class: links to sum up, and a class that it is
+    connected with. The members of a class are linked with one another.
+    """
+    found = stored(found, name)
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    reached = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), name).withColumnRenamed("id", "rep")
+    out = classes.join(links, "rep", "left").join(reached, "rep", "left")
+    return out.withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0))).withColumn("component", F.coalesce("component", "rep")).drop("links")
