@@ -137,3 +137,26 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keep = root[a] != root[b]
         a, b = a[keep], b[keep]
     return root
+
+
+def padded(data: np.ndarray, at: np.ndarray, before: int, after: int, value: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same rows with so many bytes of value before and after each of them."""
+    rows = len(at) - 1
+    size = np.diff(at)
+    to = at + np.arange(rows + 1) * (before + after)
+    out = np.full(int(to[-1]), value, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(rows) * (before + after) + before, size)] = data
+    return out, to
+
+
+def byte_grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of order (up to 8) bytes within rows as numbers, first byte highest, and each one's row."""
+    n = len(data) - order + 1
+    if n <= 0:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    g = np.zeros(n, U)
+    for i in range(order):
+        g = (g << U(8)) | data[i : n + i]
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    whole = row[:n] == row[order - 1 :]
+    return g[whole], row[:n][whole]
