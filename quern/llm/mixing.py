@@ -103,10 +103,11 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(*docs.columns, *new)
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sort documents by the position of their first copy (those never taken last)."""
+def training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Range-sort documents by the position of their first copy; those never taken come last, by id, so that
+    they are no single range."""
     first = F.coalesce(F.element_at(F.col("positions"), F.when(F.size("positions") > 0, F.lit(1))), F.lit(float("inf")))
-    return mixed.orderBy(first)
+    return mixed.orderBy(first, id_col)
 
 
 def copies_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, quality, sharding
+from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_codec, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (language_id.fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
 
 
+#: The vocabulary of op5 and of the pipeline.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.codec_report(table(spark, sf_dir, "documents"), sentencepiece_codec.load(MODEL_FILE))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
