@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import scratch_dir, stored
+from ._blocks import pack, unpack
+from ._shared import stored
 
 #: Bytes in an n-gram; up to 7, so that one is a number.
 ORDER = 5
-#: Bytes of text in a block; texts are deflated, so that a block is a few MB.
-BLOCK_BYTES = 24 << 20
 #: Labels up to this number (12 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 4_000_000
 #: Share of trusted, held out documents of a language that its threshold lets pass, and what is added to
@@ -36,40 +33,6 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return by_id.filter("q = 1 and t = 0").select("trusted_id")
 
 
-def _pack(order: list[str]):
-    """A task's rows as blocks: deflated Arrow tables of up to BLOCK_BYTES of text (one text at least)."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def block() -> pa.RecordBatch:
-            out = io.BytesIO()
-            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                for x in held:
-                    w.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([out.getvalue()])], ["block", "rows"])
-
-        at = order.index("__text")
-        for b in batches:
-            for i, j, data, _ in B.text_batches(b.column(at), 2 << 20):
-                held.append(b.slice(i, j - i))
-                size += len(data)
-                if size >= BLOCK_BYTES:
-                    yield block()
-                    n, held, size = n + 1, [], 0
-        if held:
-            yield block()
-
-    return f
-
-
-def _unpacked(rows: bytes) -> Iterator[pa.RecordBatch]:
-    with pa.ipc.open_stream(rows) as r:
-        yield from r
-
-
 def _grams(x: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j, data, at in B.text_batches(x.column(x.schema.get_field_index("__text"))):
         # A text is preceded by zero bytes, so that each of its bytes ends one n-gram.
@@ -87,7 +50,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for rows in b.column(1):
             grams, counts = [], []
-            for x in _unpacked(rows.as_py()):
+            for x in unpack(rows.as_py()):
                 use = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False) == 1
                 for i, j, g, row in _grams(x):
                     u, c = _distinct([g[use[i:j][row]]])
@@ -104,7 +67,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, rows in zip(b.column(0), b.column(1), strict=True):
             found = np.zeros(0, B.U)
-            for x in _unpacked(rows.as_py()):
+            for x in unpack(rows.as_py()):
                 found = np.union1d(found, _distinct([g for _, _, g, _ in _grams(x)])[0])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block.as_py())), pa.array(found.view(np.int64))], ["block", "g"])
 
@@ -116,7 +79,7 @@ def _score(blocks: pa.Table, model: pa.Table) -> pa.Table:
     out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": []}
     for block, rows in zip(blocks.column("block"), blocks.column("rows"), strict=True):
         first = 0
-        for x in _unpacked(rows.as_py()):
+        for x in unpack(rows.as_py()):
             for i, j, seen, row in _grams(x):
                 log = np.log(p[np.searchsorted(g, seen.view(np.int64))])
                 out["n"].append(np.bincount(row, minlength=j - i))
@@ -176,7 +139,6 @@ def probabilities(top: DataFrame, asked: DataFrame, order: int = ORDER) -> DataF
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """The table of blocks, and (block, at, lang, fold, n, cost) of each text; cost is nats a byte."""
-    spark = docs.sparkSession
     trusted = stored(trusted_ids(labels, id_col), "kn-trusted")
     trusted = F.broadcast(trusted) if trusted.count() <= MOST_BROADCAST else trusted
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -186,12 +148,8 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     held = F.pmod(F.crc32(F.col("trusted_id").cast("string")), F.lit(HELD_OUT)) == 0
     fold = F.when(F.col("trusted_id").isNull(), 0).when(held, 2).otherwise(1)
     own = own.select(*names, F.col(col[text_col]).alias("__text"), F.col(col[lang_col]).cast("string").alias("__lang"), fold.alias("__fold"))
-    packed = own.mapInArrow(_pack(own.columns), "block long, rows binary")
     # Dealt to files by block, so that blocks meet what is asked for them without moving again.
-    name = f"quern_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "block").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = pack(own, "__text")
     top = stored(blocks.mapInArrow(_learn, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-top")
     asked = stored(blocks.mapInArrow(_ask, "block long, g long"), "kn-ask")
     p = probabilities(top, asked.select("g").distinct())
@@ -206,8 +164,6 @@ def thresholds(scores: DataFrame) -> DataFrame:
     """(lang, threshold): of all scored texts' languages, the QUANTILE of the held out trusted texts' costs,
     counted over all of them in steps of 0.001, and MARGIN."""
     bins = scores.filter("fold = 2 and cost is not null").groupBy("lang", F.ceil(F.col("cost") * 1000).alias("bin")).agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
     def quantile(x: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         x = x.groupBy(*by, "bin").agg(F.sum("c").alias("c")).withColumn("n", F.sum("c").over(w)).withColumn("up_to", F.sum("c").over(w.orderBy("bin")))
@@ -235,7 +191,7 @@ def _select(wanted: list[str], schema: pa.Schema):
         told = told.sort_by("at")
         kept, parts, first = told.column("kept"), [], 0
         for rows in blocks.column("rows"):
-            for x in _unpacked(rows.as_py()):
+            for x in unpack(rows.as_py()):
                 t = pa.Table.from_batches([x]).select(wanted)
                 more = told.slice(first, x.num_rows)
                 first += x.num_rows
@@ -286,6 +242,3 @@ def _rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_c
     out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_select(own, to_arrow_schema(inner)), inner)
     return out.toDF(*order, *inner.names[len(order) :]).select(*[f.name for f in schema.fields])
 
-
-def nats(perplexity: Column) -> Column:
-    return F.log(perplexity)
