@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir, stored  # noqa: F401
+
 #: The characters that separate words and that exact comparison ignores.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A group is hot if it holds more than one row in so many; hence there are fewer hot groups than this.
 HOT_SHARE = 1000
 
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a temporary folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not base:
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="quern-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        base = _own[app]
-    return f"{base.rstrip('/')}/quern-{app}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts lineage: executors may go, and no later stage computes df again. It also fixes values
-    that depend on how rows were dealt to tasks, such as row numbers.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_free_names(df: DataFrame, wanted: list[str]) -> dict[str, str]:
     """For each wanted work column, a name that df does not have (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
