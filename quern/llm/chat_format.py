@@ -23,6 +23,15 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def escaped_role(role: Column) -> Column:
+    """A role has no ">" either, as that ends the mark it is in."""
+    return F.replace(escaped(role), F.lit(">"), F.lit("&gt;"))
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit("&gt;"), F.lit(">")))
+
+
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row for each window of a conversation: conv_id, window, formatted, loss.
 
@@ -59,7 +68,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     repeats = F.col("next").isNotNull() & ~F.col("leads") & (F.col("next.before") - F.col("before") <= history) & (F.col("next.window") != F.col("window"))
     places = F.array_compact(F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("again")), F.when(repeats, F.struct(F.col("next.window").alias("w"), F.lit(True).alias("again")))))
     t = t.withColumn("place", F.explode(places))
-    mark = F.concat(F.when(F.col("place.again"), AGAIN).otherwise(OPEN), F.col("n").cast("string"), F.lit(" "), escaped(F.col("role")), F.lit(BETWEEN))
+    mark = F.concat(F.when(F.col("place.again"), AGAIN).otherwise(OPEN), F.col("n").cast("string"), F.lit(" "), escaped_role(F.col("role")), F.lit(BETWEEN))
     piece = F.struct("n", mark.alias("mark"), escaped(F.col("text")).alias("body"), ((F.col("role") == "assistant") & ~F.col("place.again")).alias("loss"))
     w = t.groupBy("conv_id", F.col("place.w").alias("window")).agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.first("system", ignorenulls=True).alias("system"))
     kept = F.concat(F.lit(f"{AGAIN}1 system{BETWEEN}"), escaped(F.col("system")), F.lit(CLOSE))
@@ -80,7 +89,7 @@ def read_windows(windows: DataFrame) -> DataFrame:
     turn = rf"{OPEN}(\d+) ([^<>]*){BETWEEN}([^<]*){CLOSE}"
     parts = F.arrays_zip(*[F.regexp_extract_all("formatted", F.lit(turn), F.lit(i)).alias(k) for i, k in enumerate(("n", "role", "text"), 1)])
     read = windows.select("conv_id", "window", F.explode(parts).alias("t"))
-    return read.select("conv_id", "window", F.col("t.n").cast("long").alias("n"), unescaped(F.col("t.role")).alias("role"), unescaped(F.col("t.text")).alias("text"))
+    return read.select("conv_id", "window", F.col("t.n").cast("long").alias("n"), unescaped_role(F.col("t.role")).alias("role"), unescaped(F.col("t.text")).alias("text"))
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:

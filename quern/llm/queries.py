@@ -69,7 +69,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each window is read back by itself; then a conversation's parts are put in order.
     turn = rf"{chat_format.OPEN}(\d+) ([^<>]*){chat_format.BETWEEN}([^<]*){chat_format.CLOSE}"
     got = lambda i: F.regexp_extract_all("formatted", F.lit(turn), F.lit(i))
-    told = F.zip_with(got(2), got(3), lambda r, t: F.concat(chat_format.unescaped(r), F.lit("\n"), chat_format.unescaped(t), F.lit("\n")))
+    told = F.zip_with(got(2), got(3), lambda r, t: F.concat(chat_format.unescaped_role(r), F.lit("\n"), chat_format.unescaped(t), F.lit("\n")))
     part = F.struct("window", F.size(got(1)).cast("long").alias("n"), F.concat_ws("", told).alias("told"), chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("loss"), F.char_length("formatted").cast("long").alias("chars"))
     whole = windows.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     joined = lambda k: F.concat_ws("", F.col(f"p.{k}"))
@@ -168,7 +168,7 @@ WITH raw AS (
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
          len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1 AS tokens,
-         replace(replace(text, '&', '&amp;'), '<', '&lt;') AS body, replace(replace(role, '&', '&amp;'), '<', '&lt;') AS shown
+         replace(replace(text, '&', '&amp;'), '<', '&lt;') AS body, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown
   FROM raw
 ), placed AS (
   SELECT *, n = 1 AND role = 'system' AS leads,
