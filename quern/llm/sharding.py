@@ -48,6 +48,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_co
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias(n["n"]))
     before = F.sum(n["n"]).over(Window.partitionBy("shard").orderBy("bucket")) - F.col(n["n"])
     order = F.shuffle(F.sequence(F.lit(0), (F.col(n["n"]) - 1).cast("int")), F.lit(seed))
+    # Spark draws by task, in row order: buckets are dealt and sorted the same way each time.
+    counts = counts.repartition(-(-shards * buckets // 64), "shard", "bucket").sortWithinPartitions("shard", "bucket")
     counts = stored(counts.select("shard", "bucket", before.alias(n["before"]), order.alias(n["order"])), "shard-buckets")
 
     within = Window.partitionBy("shard", "bucket").orderBy(F.xxhash64(key, F.lit(seed + 2)), key, F.xxhash64(F.col(text_col)))
