@@ -96,7 +96,8 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = lambda e: F.least(F.lit(1.0), F.try_divide(e * F.col("source_size") + start, F.col("target")))
     g = c["lean"]
     # p = u + g (u^2 - u), solved for u so that g = 0 needs no case of its own.
-    moment = lambda p: 2 * p / ((1 - g) + F.sqrt(F.greatest((1 - g) * (1 - g) + 4 * g * p, F.lit(0.0))))
+    root = lambda p: F.sqrt(F.greatest((1 - g) * (1 - g) + 4 * g * p, F.lit(0.0)))
+    moment = lambda p: F.coalesce(F.try_divide(2 * p, (1 - g) + root(p)), F.lit(0.0))
     place = lambda u: c["all"] * u + c["weight"] * (u * u - u)
     positions = F.transform(F.filter(F.array(*[F.lit(e) for e in range(cap)]), lambda e: e < F.col("copies")), lambda e: place(moment(share(e))))
     rows = rows.withColumn("taken", F.col("size") * F.col("copies")).withColumn("positions", positions)
