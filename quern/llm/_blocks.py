@@ -14,7 +14,7 @@ from . import _bytes as B
 from ._shared import scratch_dir
 
 #: Bytes of text in a block; texts are deflated, so that a block is a few MB. Rows of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 BLOCK_ROWS = 1 << 20
 #: A row's number is its block's number times this, plus its place.
 ROW = 1 << 22
@@ -30,13 +30,13 @@ def _pack(at: int):
 
         def block() -> pa.RecordBatch:
             out = io.BytesIO()
-            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
                 for x in held:
                     w.write_batch(x)
             return pa.RecordBatch.from_arrays([pa.array([(part << 20) + n]), pa.array([out.getvalue()])], ["block", "rows"])
 
         for b in batches:
-            for i, j, data, _ in B.text_batches(b.column(at), 2 << 20):
+            for i, j, data, _ in B.text_batches(b.column(at), 1 << 20):
                 held.append(b.slice(i, j - i))
                 size, rows = size + len(data), rows + j - i
                 if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
@@ -70,4 +70,4 @@ def each(table: pa.Table) -> Iterator[tuple[int, bytes]]:
 
 
 def texts(x: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    yield from B.text_batches(x.column(x.schema.get_field_index(name)), 2 << 20)
+    yield from B.text_batches(x.column(x.schema.get_field_index(name)), 1 << 20)

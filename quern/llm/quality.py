@@ -33,8 +33,8 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return by_id.filter("q = 1 and t = 0").select("trusted_id")
 
 
-def _grams(x: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for i, j, data, at in B.text_batches(x.column(x.schema.get_field_index("__text"))):
+def _grams(x: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for i, j, data, at in B.text_batches(x.column(x.schema.get_field_index(text)), 1 << 20):
         # A text is preceded by zero bytes, so that each of its bytes ends one n-gram.
         yield i, j, *B.byte_grams(*B.padded(data, at, ORDER - 1, 0, 0), ORDER)
 
@@ -45,52 +45,69 @@ def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return g[first], np.diff(np.append(first, len(g)))
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(g: np.ndarray, c: np.ndarray, more: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams and their counts, and more of them."""
+    at = np.minimum(np.searchsorted(g, more), max(len(g) - 1, 0))
+    old = g[at] == more if len(g) else np.zeros(len(more), bool)
+    c[at[old]] += many[old]
+    g, c = np.append(g, more[~old]), np.append(c, many[~old])
+    order = np.argsort(g, kind="stable")
+    return g[order], c[order]
+
+
+def _learn(text: str):
     """n-grams of the texts to learn from, counted by block."""
-    for b in batches:
-        for rows in b.column(1):
-            grams, counts = [], []
-            for x in unpack(rows.as_py()):
-                use = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False) == 1
-                for i, j, g, row in _grams(x):
-                    u, c = _distinct([g[use[i:j][row]]])
-                    grams.append(u)
-                    counts.append(c)
-            if grams:
-                g, c = np.concatenate(grams), np.concatenate(counts)
-                u, at = np.unique(g, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, c, len(u)).astype(np.int64))], ["g", "c"])
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in b.column(1):
+                g, c = np.zeros(0, B.U), np.zeros(0, np.int64)
+                for x in unpack(rows.as_py()):
+                    use = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False) == 1
+                    for i, j, seen, row in _grams(x, text):
+                        g, c = _merged(g, c, *_distinct([seen[use[i:j][row]]]))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
+
+    return f
+
+
+def _ask(text: str):
     """The distinct n-grams of each block."""
-    for b in batches:
-        for block, rows in zip(b.column(0), b.column(1), strict=True):
-            found = np.zeros(0, B.U)
-            for x in unpack(rows.as_py()):
-                found = np.union1d(found, _distinct([g for _, _, g, _ in _grams(x)])[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block.as_py())), pa.array(found.view(np.int64))], ["block", "g"])
 
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, rows in zip(b.column(0), b.column(1), strict=True):
+                found = np.zeros(0, B.U)
+                for x in unpack(rows.as_py()):
+                    for _, _, seen, _ in _grams(x, text):
+                        found = np.union1d(found, _distinct([seen])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block.as_py())), pa.array(found.view(np.int64))], ["block", "g"])
 
-def _score(blocks: pa.Table, model: pa.Table) -> pa.Table:
+    return f
+
+
+def _score(text: str):
     """Length and summed logarithm of each text of a block."""
-    model = model.sort_by("g")
-    g, p = model.column("g").to_numpy(), model.column("p").to_numpy()
-    out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": []}
-    for block, rows in zip(blocks.column("block"), blocks.column("rows"), strict=True):
-        first = 0
-        for x in unpack(rows.as_py()):
-            for i, j, seen, row in _grams(x):
-                log = np.log(p[np.searchsorted(g, seen.view(np.int64))])
-                out["n"].append(np.bincount(row, minlength=j - i))
-                out["log"].append(np.bincount(row, log, j - i))
-                out["at"].append(np.arange(first + i, first + j))
-            out["lang"].append(x.column(x.schema.get_field_index("__lang")))
-            out["fold"].append(x.column(x.schema.get_field_index("__fold")))
-            out["block"].append(np.full(x.num_rows, block.as_py()))
-            first += x.num_rows
-    flat = {k: pa.chunked_array(v) if k in ("lang", "fold") else np.concatenate(v) for k, v in out.items()}
-    return pa.table(flat)
+
+    def f(blocks: pa.Table, model: pa.Table) -> pa.Table:
+        g, p = model.column("g").to_numpy(), model.column("p").to_numpy()
+        order = np.argsort(g, kind="stable")
+        g, p = g[order], np.log(p[order])
+        out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": []}
+        for block, rows in zip(blocks.column("block"), blocks.column("rows"), strict=True):
+            first = 0
+            for x in unpack(rows.as_py()):
+                for i, j, seen, row in _grams(x, text):
+                    out["n"].append(np.bincount(row, minlength=j - i))
+                    out["log"].append(np.bincount(row, p[np.searchsorted(g, seen.view(np.int64))], j - i))
+                    out["at"].append(np.arange(first + i, first + j))
+                out["lang"].append(x.column(x.schema.get_field_index("__lang")))
+                out["fold"].append(x.column(x.schema.get_field_index("__fold")))
+                out["block"].append(np.full(x.num_rows, block.as_py()))
+                first += x.num_rows
+        return pa.table({k: pa.chunked_array(v) if k in ("lang", "fold") else np.concatenate(v) for k, v in out.items()})
+
+    return f
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -147,15 +164,16 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     own = own.join(trusted, F.col(col[id_col]) == F.col("trusted_id"), "left")
     held = F.pmod(F.crc32(F.col("trusted_id").cast("string")), F.lit(HELD_OUT)) == 0
     fold = F.when(F.col("trusted_id").isNull(), 0).when(held, 2).otherwise(1)
-    own = own.select(*names, F.col(col[text_col]).alias("__text"), F.col(col[lang_col]).cast("string").alias("__lang"), fold.alias("__fold"))
+    own = own.select(*names, F.col(col[lang_col]).cast("string").alias("__lang"), fold.alias("__fold"))
+    text = col[text_col]
     # Dealt to files by block, so that blocks meet what is asked for them without moving again.
-    blocks = pack(own, "__text")
-    top = stored(blocks.mapInArrow(_learn, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-top")
-    asked = stored(blocks.mapInArrow(_ask, "block long, g long"), "kn-ask")
+    blocks = pack(own, text)
+    top = stored(blocks.mapInArrow(_learn(text), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-top")
+    asked = stored(blocks.mapInArrow(_ask(text), "block long, g long"), "kn-ask")
     p = probabilities(top, asked.select("g").distinct())
     answers = asked.join(p, "g").select("block", "g", F.col("p").cast("float").alias("p"))
     schema = "block long, at long, lang string, fold int, n long, log double"
-    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, schema)
+    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(text), schema)
     scores = scores.withColumn("cost", F.when(F.col("n") > 0, -F.col("log") / F.col("n"))).drop("log")
     return blocks, stored(scores, "kn-scores"), names
 
