@@ -1,0 +1,213 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from helpers import docs, odd_rows, prose
+from pyspark.sql import functions as F
+
+from quern.llm import chat_format, exact_dedup, mixing, sharding
+
+# Exact dedup
+
+
+def brute_exact(rows):
+    strip = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(strip(t), []).append((-len(t or ""), i is None, i if i is not None else 0))
+    return groups, strip
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups(spark, weak):
+    rows = odd_rows() + [(20, "on e"), (21, "o n e"), (22, "one"), (23, "ONE")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept_", F.lit(1)).repartition(3)
+    hash_ = (lambda c: F.length(c) % 2) if weak else F.md5  # weak: nearly all texts collide
+    got = exact_dedup.exact_groups(df, content_hash=hash_).collect()
+    groups, strip = brute_exact(rows)
+    assert len(got) == len(rows)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    assert sum(r.kept for r in got) == len(groups)
+    for r in got:
+        members = by_sha[r.text_sha256]
+        best = min(members)
+        assert r.group_size == len(members) and r.keep_id == (None if best[1] else best[2])
+        assert not r.kept or r.doc_id == r.keep_id
+
+
+def test_exact_empty_table_and_drop(spark):
+    assert exact_dedup.exact_groups(docs(spark, []).filter("false")).count() == 0
+    rows = odd_rows()
+    df = spark.createDataFrame([(i, t, "a", 3) for i, t in rows], "doc_id long, text string, __sha string, kept int")
+    left = exact_dedup.drop_exact_copies(df)
+    assert left.columns == df.columns
+    assert left.count() == len(brute_exact(rows)[0])
+
+
+# Sharding
+
+
+def test_shards_hold_every_row_once_in_a_seeded_order(spark):
+    texts = prose(random.Random(1), 600)
+    df = docs(spark, texts).repartition(5)
+    placed = sharding.shuffle_into_shards(df, 5, 3, bucket_bytes=4000).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(600))
+    for s in range(5):
+        own = sorted((r for r in placed if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own))) and len(own) > 60
+        assert [r.doc_id for r in own] != sorted(r.doc_id for r in own)
+        assert [r.bucket for r in own] == sorted(r.bucket for r in own) and own[-1].bucket > 0
+    again = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(df.repartition(2), 5, 3, bucket_bytes=4000).collect()}
+    assert again == {r.doc_id: (r.shard, r.slot) for r in placed}
+    assert again != {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(df, 5, 4, bucket_bytes=4000).collect()}
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    df = spark.range(3000).select("id", sharding.shard_of(F.col("id"), 16, 7).alias("a"), sharding.shard_of(F.col("id"), 17, 7).alias("b"))
+    rows = df.collect()
+    assert all(r.a == r.b or r.b == 16 for r in rows)
+    assert 100 < sum(r.b == 16 for r in rows) < 260
+    assert spark.range(3).select(sharding.shard_of(F.col("id"), 1, 7).alias("s")).distinct().collect()[0].s == 0
+
+
+def test_shards_of_odd_rows(spark, tmp_path):
+    rows = odd_rows()
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __n int")
+    placed = sharding.shuffle_into_shards(df, 2).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in placed) == sorted((str(i), str(t)) for i, t in rows)
+    for s in (0, 1):
+        slots = sorted(r.slot for r in placed if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shuffle_into_shards(df.filter("false"), 2).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shuffle_into_shards(df.withColumn("Slot", F.lit(1)), 2)
+    with pytest.raises(ValueError):
+        sharding.shuffle_into_shards(df, 0)
+    sharding.write_shards(df, str(tmp_path / "s"), 2)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
+    sizes = df.select(sharding.text_bytes(F.col("text")).alias("n"), "text").collect()
+    assert all(r.n == len((r.text or "").encode()) + 1 for r in sizes)
+    assert df.filter("doc_id = 4").select(F.crc32("text")).first()[0] == zlib.crc32(b"one")
+
+
+# Mixing
+
+
+def brute_targets(sizes, cap=3):
+    """By passes: share what is left among open sources, stop those above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, stopped = sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in order if s not in stopped]
+        w = sum(weight[s] for s in open_)
+        rest = total - sum(stopped.values())
+        target = {s: weight[s] * rest / w for s in open_}
+        above = [s for s in open_ if target[s] > cap * sizes[s]]
+        if not above:
+            return stopped | target
+        stopped |= {s: cap * sizes[s] for s in above}
+
+
+def mixed(spark, rows, **more):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies_ int, __key string")
+    return df, mixing.curriculum(df, **more)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_and_what_is_taken(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "B", "é", None, "tiny"]) if i % 3 else "hot", 1, "k") for i in range(800)]
+    rows = [r for r in rows if r[2] != "tiny" or rng.random() < 0.1]
+    _, out = mixed(spark, rows, block_rows=40)
+    got = out.collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, s, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    taken = {}
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+        assert r.taken == r.size * r.copies and r.copies <= 3 and len(r.positions) == r.copies
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 30
+    assert mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string, c int, k string").repartition(7), block_rows=40).select("doc_id", "taken", "positions").orderBy("doc_id").collect() == out.select("doc_id", "taken", "positions").orderBy("doc_id").collect()
+
+
+def test_curriculum_follows_the_schedule(spark):
+    rows = [(i, "w " * 10, "ab"[i % 2], 1, "k") for i in range(2000)]
+    _, out = mixed(spark, rows, weights=(1, 1), tilts=(-1.0, 1.0))
+    places = sorted((p, r.source) for r in out.collect() for p in r.positions)
+    assert 0 <= places[0][0] and places[-1][0] <= 20000
+    quarter = [s for _, s in places[:500]]
+    assert 0.82 < quarter.count("a") / 500 < 0.93  # (1 - u)(2) over the first quarter: 7 / 8
+    order = mixing.copies_in_order(out, ["doc_id", "source"]).collect()
+    assert [r.source for r in order] == [s for _, s in places]
+
+
+def test_mixing_odd_rows(spark):
+    rows = [(i, t, None if i == 4 else "s", 1, "k") for i, t in odd_rows()]
+    df, out = mixed(spark, rows)
+    assert out.count() == len(rows)
+    assert out.filter("text is null and (size <> 0 or taken <> 0)").count() == 0
+    assert mixing.curriculum(df.filter("false")).count() == 0
+    assert mixing.curriculum(df.filter("text is null")).agg(F.sum("taken"), F.max("target")).first() == (0, 0.0)
+    assert mixing.training_order(out).count() == len(rows)
+    with pytest.raises(ValueError):
+        mixing.curriculum(df.withColumn("TARGET", F.lit(1)))
+
+
+# Chat formatting
+
+TURNS = "conv_id long, turn long, role string, text string, window int"
+
+
+def windows_of(spark, rows, budget, history):
+    return chat_format.format_windows(spark.createDataFrame(rows, TURNS), budget, history)
+
+
+def test_windows_keep_budget_history_and_system(spark):
+    rng = random.Random(4)
+    roles = ["user", "assistant"]
+    rows = [(c, t, "system" if t == 0 and c % 2 else roles[t % 2], " ".join(["w"] * rng.randint(0, 12)), 0) for c in range(6) for t in range(60)]
+    out = windows_of(spark, rows, 40, 15)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.conv_id, []).append(r)
+    for c, ws in by.items():
+        ws.sort(key=lambda r: r.window)
+        seen = []
+        for k, r in enumerate(ws):
+            marks = [m.split(" ", 2) for m in r.formatted.split("\n") if m.startswith(("<turn ", "<again "))]
+            new = [int(m[1]) for m in marks if m[0] == "<turn"]
+            old = [int(m[1]) for m in marks if m[0] == "<again"]
+            if k and c % 2:
+                assert old[0] == 1
+                old = old[1:]
+            assert new == list(range(new[0], new[-1] + 1)) and old == list(range(new[0] - len(old), new[0]))
+            cost = lambda n, c=c: len(rows[c * 60 + n - 1][3].split()) + 1
+            body = [n for n in new if not (c % 2 and n == 1)]
+            assert sum(map(cost, body[:-1])) < 40
+            assert sum(map(cost, old)) <= 15
+            seen += new
+        assert seen == list(range(1, 61)) and len(ws) > 3
+
+
+def test_chat_round_trip_and_mask(spark):
+    odd = "&amp; <turn 1 user>\n &lt; \\### </turn>\n <again 2 assistant>\n"
+    rows = [(1, 2, "assistant", odd, 0), (1, 1, "user", odd, 0), (1, 3, "assistant", None, 0), (2, 1, "<ro&le>", "x", 0), (2, 1, "assistant", "x", 0), (2, 1, "assistant", "x", 0), (None, 5, None, "y", 0), (3, None, "assistant", "漢字\U0001f600 " * 500, 0)]
+    for budget in (1, 7, 768):
+        out = windows_of(spark, rows, budget, min(budget, 6))
+        read = sorted(((r.conv_id is None, r.conv_id or 0, r.n, r.role, r.text) for r in chat_format.read_windows(out).collect()))
+        want = [(False, 1, 1, "user", odd), (False, 1, 2, "assistant", odd), (False, 1, 3, "assistant", ""), (False, 2, 1, "<ro&le>", "x"), (False, 2, 2, "assistant", "x"), (False, 2, 3, "assistant", "x"), (False, 3, 1, "assistant", "漢字\U0001f600 " * 500), (True, 0, 1, "", "y")]
+        assert read == want
+        loss = {}
+        for r in sorted(out.select("conv_id", "window", chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("t")).collect(), key=lambda r: r.window):
+            loss[r.conv_id] = loss.get(r.conv_id, "") + r.t
+        assert loss == {1: odd, 2: "xx", 3: "漢字\U0001f600 " * 500, None: ""}
+    assert windows_of(spark, [], 10, 5).count() == 0
+    with pytest.raises(ValueError):
+        windows_of(spark, rows, 5, 6)
