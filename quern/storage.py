@@ -37,3 +37,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder. Results that still read it must be done."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("quern_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
