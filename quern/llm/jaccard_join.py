@@ -14,6 +14,9 @@ from ._shared import components, join_groups, linked_classes, stored, with_free_
 
 #: Rows of the incidence matrix in a block.
 BLOCK_ROWS = 1024
+#: n-grams in so many texts or more, of so many bytes of text that follow one another, may be common ones, of
+#: which there are so many at most.
+LOCAL, COUNTED, MOST_COMMON = 4, 8 << 20, 200_000
 #: Columns with at least so many entries in a block are multiplied as dense ones, the others pair by pair.
 DENSE = 8
 
@@ -34,15 +37,17 @@ def parts_of(level: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[
     return differ, spare, differ + 1 + spare
 
 
-def block_keys(grams: np.ndarray, count: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(grams: np.ndarray, count: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys (row, key) such that two different sets with Jaccard at least num / den share a key.
 
-    At a level where linked sets differ by up to d n-grams, n-grams are dealt by hash to d + 1 + s parts.
-    Two linked sets have at least 1 + s equal parts; each part's sum of hashes is a key. Empty parts give
-    no key: a pair without a common key then has over s empty parts on both sides, and such sets get their
-    prefix of least n-grams (count - ceil(count * num / den) + 1) as keys too, which linked sets share.
-    A passage that many documents hold makes no key by itself, as a part holds n-grams from all over the
-    document. Sets of levels with d = 0 link with equal ones only and need no keys.
+    n-grams in common (any sorted ones, the same for all sets) are left aside: the rest of two linked sets
+    differs no more than they do. At a level where linked sets differ by up to d n-grams, the rest is dealt by
+    hash to d + 1 + s parts. Two linked sets have at least 1 + s equal parts; each part's sum of hashes is
+    a key. Empty parts give no key: a pair without a common key then has over s empty parts on both sides,
+    and such sets get a prefix of count - ceil(count * num / den) + 1 n-grams as keys too, the least hashes
+    first and those in common last, which linked sets share. So a passage that many documents hold makes no
+    key but for sets that consist of such passages. Sets of levels with d = 0 link with equal ones only
+    and need no keys.
     """
     rows = np.flatnonzero(count)
     if not len(rows):
@@ -60,13 +65,20 @@ def block_keys(grams: np.ndarray, count: np.ndarray, num: int, den: int) -> tupl
     n = count[rows][entry]
     at = (np.cumsum(count) - count)[rows][entry]
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    h = grams[np.repeat(at, n) + place]
+    if common is None or not len(common):
+        aside = np.zeros(len(grams), bool)
+    else:
+        aside = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+        order = np.lexsort((aside, np.repeat(np.arange(len(count)), count)))  # stable: by hash on either side
+        grams, aside = grams[order], aside[order]
+    where = np.repeat(at, n) + place
+    h, rest = grams[where], ~aside[where]
     base = np.cumsum(parts) - parts
     part = np.repeat(base, n) + (h % np.repeat(parts, n).astype(B.U)).astype(np.int64)
     total = np.zeros(int(parts.sum()), B.U)
     with np.errstate(over="ignore"):
-        np.add.at(total, part, B.mixed(h, 4))
-        filled = np.bincount(part, minlength=len(total)) > 0
+        np.add.at(total, part[rest], B.mixed(h[rest], 4))
+        filled = np.bincount(part[rest], minlength=len(total)) > 0
         own = np.repeat(np.arange(len(entry)), parts)
         number = (np.arange(len(total)) - base[own]).astype(B.U)
         key = B.mixed(total + B.mixed(number + (tag[own].astype(B.U) << B.U(40)), 5), 6)
@@ -113,9 +125,23 @@ def overlaps(grams: list[np.ndarray], left: int) -> np.ndarray:
 
 
 def _signatures(width: int):
+    """Of each text its size and two sums of hashes; and the n-grams (g, c) that are in LOCAL texts or more
+    of some COUNTED bytes of text that follow one another."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def often() -> pa.RecordBatch:
+            g = np.sort(np.concatenate(held)) if held else np.zeros(0, B.U)
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+            c = np.diff(np.append(first, len(g)))
+            g, c = g[first[c >= LOCAL]], c[c >= LOCAL]
+            none = pa.nulls(len(g), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(g.view(np.int64)), pa.array(c)], names)
+
+        names = ["id", "n", "h1", "h2", "g", "c"]
         for b in batches:
-            for i, j, data, at in B.text_batches(b.column(1)):
+            for i, j, data, at in B.text_batches(b.column(1), 1 << 20):
                 grams, count = B.shingle_sets(data, at, width)
                 h = np.zeros((2, j - i), B.U)
                 has = count > 0
@@ -124,16 +150,42 @@ def _signatures(width: int):
                     with np.errstate(over="ignore"):
                         h[0][has] = np.add.reduceat(B.mixed(grams, 20), starts)
                         h[1][has] = np.add.reduceat(B.mixed(grams, 21), starts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(count), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64))], ["id", "n", "h1", "h2"])
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(count), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), none, none], names)
+                held.append(grams)
+                size += len(data)
+                if size >= COUNTED:
+                    yield often()
+                    held, size = [], 0
+        yield often()
 
     return f
 
 
-def _keys(width: int, num: int, den: int):
+def common_grams(often: DataFrame) -> np.ndarray:
+    """The n-grams (g, c) with the highest sums of c, MOST_COMMON at most, sorted. Any set is right; this one
+    keeps blocks small. Numbers of n-grams by sum decide where to stop, so no more come to the driver."""
+    sums = stored(often.groupBy("g").agg(F.sum("c").alias("c")), "jaccard-often")
+    step = F.floor(F.log2("c") * 8).cast("int")
+    left, least = MOST_COMMON, None
+    for r in sorted(sums.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, B.U)
+    found = sums.filter(step >= least).select("g").toArrow().column(0).to_numpy()
+    return np.sort(found.view(B.U))
+
+
+def _keys(width: int, num: int, den: int, common):
+    """common: a broadcast of at most MOST_COMMON numbers."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, at in B.text_batches(b.column(1), 2 << 20):
-                who, key = block_keys(*B.shingle_sets(data, at, width), num, den)
+            for i, j, data, at in B.text_batches(b.column(1), 1 << 20):
+                who, key = block_keys(*B.shingle_sets(data, at, width), num, den, common.value)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).slice(i, j - i).take(pa.array(who))], ["key", "id"])
 
     return f
@@ -172,8 +224,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     n_links counts the other documents linked directly; component_id is the smallest id reached by links.
 
     1. Equal sets are one class (two 64-bit sums of hashes and the size), so copies cost one row each.
-    2. block_keys gives keys that any two linked sets share; sets with a common key, and those they are
-       connected with, are a block of rows of the incidence matrix. Only the least id of a key is linked
+    2. n-grams that are in very many texts are counted, over all texts. block_keys gives keys, without these,
+       that any two linked sets share; sets with a common key, and those they are connected with, are a block of rows of the incidence matrix. Only the least id of a key is linked
        to the others, never all pairs.
     3. Large blocks are sorted by set size and cut into blocks of block_rows; a pair of these is left out
        if the sizes alone keep it below the bound. Small ones are put together.
@@ -187,12 +239,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     other columns are not looked at.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(own.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long"), "jaccard-rows")
+    seen = stored(own.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, g long, c long"), "jaccard-rows")
+    rows = seen.filter("g is null").drop("g", "c")
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(seen.filter("g is not null").select("g", "c")))
     sets = ["n", "h1", "h2"]
     classes = rows.filter("id is not null and n > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes, "jaccard-classes")
 
-    keys = own.filter("id is not null and text is not null").mapInArrow(_keys(width, num, den), "key long, id long")
+    keys = own.filter("id is not null and text is not null").mapInArrow(_keys(width, num, den, common), "key long, id long")
     least = F.min("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = keys.withColumn("m", least).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     near = near.join(classes.select(F.col("rep").alias("a")), "a", "left_semi")

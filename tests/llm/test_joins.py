@@ -117,8 +117,10 @@ def test_linked_sets_share_a_key(seed, n, share):
         b = c
     if np.array_equal(a, b):
         return
-    who, key = jaccard_join.block_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), num, den)
-    assert set(key[who == 0]) & set(key[who == 1])
+    for share in (0, 0.3, 0.8, 1):
+        common = np.sort(a[rng.random(len(a)) < share])
+        who, key = jaccard_join.block_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), num, den, common)
+        assert set(key[who == 0]) & set(key[who == 1])
 
 
 def test_word_spans_and_hashes_by_row():
