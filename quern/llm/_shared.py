@@ -48,29 +48,28 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """Connected components of undirected edges (a, b): one row (id, component) for each vertex with an
     edge to another one; component is the smallest id reached. Edges to itself and nulls are ignored.
 
-    Large star and small star alternate until the edges are stars. Each round is a minimum by vertex
-    (combined before the shuffle, so a vertex with very many edges is no burden) and a join; the edges
-    are written to the shared folder each time and never come to the driver.
+    Large star and small star alternate until the edges are stars. Each is a minimum by vertex (combined
+    before the shuffle), which is written, and a join with it: by broadcast while it is small, later by
+    shuffle, where Spark splits the rows of vertices with very many edges. Edges are written to the shared
+    folder each time and never come to the driver.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = stored(e, name)
     print_of = lambda x: x.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-    before = print_of(e)
+    least_of = lambda x: stored(x.groupBy("a").agg(F.min("b").alias("m")), name)
     for _ in range(rounds):
-        if not before[0]:
-            break
+        before = print_of(e)
         # Large star: every larger neighbour of a vertex goes to the least of the vertex and its neighbours.
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = both.join(least_of(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = stored(large.distinct(), name)
+        least = least_of(large)
+        # Nothing moved and each vertex has one smaller neighbour: these are stars.
+        if print_of(large) == before and least.count() == before[0]:
+            break
         # Small star: a vertex and its smaller neighbours go to the least of these.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        after = print_of(e)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
