@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._blocks import pack, unpack
-from ._shared import stored
+from ._shared import join_groups, stored
 
 #: Bytes in an n-gram; up to 7, so that one is a number.
 ORDER = 5
@@ -179,7 +179,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
 
 
 def thresholds(scores: DataFrame) -> DataFrame:
-    """(lang, threshold): of all scored texts' languages, the QUANTILE of the held out trusted texts' costs,
+    """(lang, texts, threshold): of all scored texts' languages, the QUANTILE of the held out trusted texts' costs,
     counted over all of them in steps of 0.001, and MARGIN."""
     bins = scores.filter("fold = 2 and cost is not null").groupBy("lang", F.ceil(F.col("cost") * 1000).alias("bin")).agg(F.count("*").alias("c"))
     def quantile(x: DataFrame, by: list[str]) -> DataFrame:
@@ -190,15 +190,18 @@ def thresholds(scores: DataFrame) -> DataFrame:
     own = quantile(bins, ["lang"]).filter(F.col("n") >= LEAST_HELD_OUT).select(F.col("lang").alias("l"), (F.col("bin") / 1000 + MARGIN).alias("own"))
     all_ = quantile(bins, []).select((F.col("bin") / 1000 + MARGIN).alias("all"))
     everywhere = (r := all_.first()) and r["all"]
-    langs = scores.select("lang").distinct().join(own, F.col("lang").eqNullSafe(F.col("l")), "left")
-    return langs.select("lang", F.coalesce("own", F.lit(everywhere if everywhere is not None else float("inf")).cast("double")).alias("threshold"))
+    langs = scores.groupBy("lang").agg(F.count("*").alias("texts")).join(own, F.col("lang").eqNullSafe(F.col("l")), "left")
+    return langs.select("lang", "texts", F.coalesce("own", F.lit(everywhere if everywhere is not None else float("inf")).cast("double")).alias("threshold"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, list[str]]:
     blocks, scores, names = _scored(docs, labels, id_col, text_col, lang_col)
-    limits = thresholds(scores).withColumnRenamed("lang", "l")
+    # Most texts may be of one language: such languages' thresholds are broadcast.
+    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key")
+    limits = stored(thresholds(scores).select(key, "texts", "threshold"), "kn-thresholds")
+    told = join_groups(scores.withColumn("key", key), limits, ["key"], "texts", scores.count())
     kept = F.coalesce(F.col("cost") <= F.col("threshold"), F.lit(False))
-    told = scores.join(limits, F.col("lang").eqNullSafe(F.col("l"))).withColumn("perplexity", F.exp("cost")).withColumn("kept", kept).drop("l")
+    told = told.withColumn("perplexity", F.exp("cost")).withColumn("kept", kept)
     return blocks, told, names
 
 
