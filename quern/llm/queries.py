@@ -41,9 +41,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    langs, model = language_id.train(docs.filter(language_id.fold(F.col("doc_id")) != 1))
+    held_out = language_id.fold(F.col("doc_id")).eqNullSafe(1)
+    langs, model = language_id.train(docs.filter(~held_out))
     told = language_id.predict(docs.select("doc_id", "text"), langs, model)
-    return told.select("doc_id", (language_id.fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 #: The vocabulary of op5 and of the pipeline.
