@@ -19,7 +19,7 @@ OWN_MARK = "\ud800"
 #: By how much a character without a piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Segments whose pieces a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
