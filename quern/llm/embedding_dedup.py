@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import linked_classes, stored
+from ._shared import join_groups, linked_classes, stored
 
 #: Leading principal dimensions that are kept for the grid and the bounding boxes.
 DIMENSIONS = 12
+#: Dimensions whose cells two blocks must share, or be next to each other in, to meet.
+MEET = 3
 #: Bytes of a block of the sequence, as doubles, and rows below which an interval is not cut further.
 BLOCK_BYTES = 8 << 20
 LEAF = 256
@@ -63,7 +65,7 @@ def _cells(axes: np.ndarray, eps: float):
     return f
 
 
-def _blocks(axes: np.ndarray, rows: int, part_of: str):
+def _blocks(axes: np.ndarray, rows: int):
     """Cut a task's sorted rows into blocks with their bounding boxes in the leading dimensions."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     Vectors link if their cosine is at least cosine (over 0). For unit vectors this is a distance, eps.
     Equal vectors are one row with a weight. The others are sorted by their cells, of width eps, on the
     leading principal dimensions of all vectors (epsilon grid order), range by range over all tasks, and cut
-    into blocks of block_bytes. Blocks meet on the first dimension's cells and only if their bounding
+    into blocks of block_bytes. Blocks meet on the cells of the first MEET dimensions and only if their bounding
     boxes are within eps; there, intervals of the sequence are joined recursively and those that are
     provably distant skipped, so only short intervals are multiplied. Each task returns a count and a
     connection for each vector, not pairs.
@@ -182,16 +184,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         cells = own.mapInArrow(_cells(axes, eps), own.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ") + ", cell array<int>")
         parts = max(1, round(n / size))
         ordered = cells.repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep")
-        blocks = ordered.drop("cell").mapInArrow(_blocks(axes, size, "cell"), "id long, lo array<double>, hi array<double>, reps binary, weights binary, data binary")
+        blocks = ordered.drop("cell").mapInArrow(_blocks(axes, size), "id long, lo array<double>, hi array<double>, reps binary, weights binary, data binary")
         blocks = stored(blocks, "ego-blocks")
         head = blocks.select("id", "lo", "hi")
-        # Blocks meet on a cell of the first dimension; the upper bound reaches one cell further.
-        cell = lambda c: F.floor(F.col(c)[0] / eps).cast("long")
-        a = head.select(F.col("id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("c"))
-        b = head.select(F.col("id").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("c"))
+        # Blocks meet on cells of the first dimensions; on one side, bounds reach one cell further.
+        dims = min(MEET, d)
+
+        def cells_of(side: str, reach: int) -> DataFrame:
+            x = head.select(F.col("id").alias(side), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi"))
+            for i in range(dims):
+                first, last = (F.floor(F.col(f"{side}_{k}")[i] / eps).cast("int") for k in ("lo", "hi"))
+                x = x.withColumn(f"c{i}", F.explode(F.sequence(first - reach, last + reach)))
+            return x
+
+        a, b = cells_of("a", 0), cells_of("b", 1)
         gap = F.zip_with(F.zip_with("a_lo", "b_hi", lambda p, q: p - q), F.zip_with("b_lo", "a_hi", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
         apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-        pairs = a.join(b, "c").filter(F.col("a") <= F.col("b")).filter(apart <= 2 - 2 * cosine + 1e-9).select("a", "b").distinct()
+        pairs = a.join(b, [f"c{i}" for i in range(dims)]).filter(F.col("a") <= F.col("b")).filter(apart <= 2 - 2 * cosine + 1e-9).select("a", "b").distinct()
         sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
         work = blocks.select("id", "reps", "weights", "data").join(sides, "id").withColumn("side", (F.col("id") != F.col("a")).cast("int"))
         part = work.select("a", "b", "side", "reps", "weights", "data").groupBy("a", "b").applyInArrow(_join(axes, cosine), "id long, links long, root long")
@@ -201,8 +210,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     told = linked_classes(classes.select("rep", "weight"), found, "ego-found")
     told = stored(told.select("rep", "n_links", "component"), "ego-told")
     rep = classes.select("v", "rep", "weight").join(told, "rep").drop("rep")
-    from ._shared import join_groups
-
     linked = join_groups(rows.filter("good").select("id", "v"), rep, ["v"], "weight", max(vectors.count(), 1)).select("id", "n_links", "component")
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     out = linked.unionByName(alone)
