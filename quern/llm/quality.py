@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -17,10 +17,8 @@ from ._shared import join_groups, stored
 ORDER = 5
 #: Labels up to this number (12 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 4_000_000
-#: Share of trusted, held out documents of a language that its threshold lets pass, and what is added to
-#: it, in nats a byte.
-QUANTILE = 0.995
-MARGIN = 0.05
+#: Share of trusted, held out documents of a language that its threshold lets pass.
+QUANTILE = 0.985
 #: Fewer held out documents than this in a language: the threshold of all languages together holds.
 LEAST_HELD_OUT = 50
 #: One trusted document in so many sets thresholds and is not learned from.
@@ -178,28 +176,40 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     return blocks, stored(scores, "kn-scores"), names
 
 
-def thresholds(scores: DataFrame) -> DataFrame:
-    """(lang, texts, threshold): of all scored texts' languages, the QUANTILE of the held out trusted texts' costs,
-    counted over all of them in steps of 0.001, and MARGIN."""
-    bins = scores.filter("fold = 2 and cost is not null").groupBy("lang", F.ceil(F.col("cost") * 1000).alias("bin")).agg(F.count("*").alias("c"))
-    def quantile(x: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-        x = x.groupBy(*by, "bin").agg(F.sum("c").alias("c")).withColumn("n", F.sum("c").over(w)).withColumn("up_to", F.sum("c").over(w.orderBy("bin")))
-        return x.filter(F.col("up_to") >= QUANTILE * F.col("n")).groupBy(*by).agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
+def spread(s: Column, n: Column) -> Column:
+    """How far costs of texts of n bytes scatter in a language of scale s: short ones more."""
+    return F.sqrt(s * s + 1 / F.greatest(n, F.lit(1)))
+
+
+def _limits(held: DataFrame) -> DataFrame:
+    """(key, held, median, s, q) of trusted texts (key, n, cost): their number, the median of their costs, their scale
+    (1.4826 times the median distance from it), and the QUANTILE of how many spreads they are above it."""
+    total = held.count()
+    middle = held.groupBy("key").agg(F.count("*").alias("held"), F.percentile("cost", 0.5).alias("median"))
+    off = join_groups(held, middle, ["key"], "held", total).withColumn("off", F.round(F.col("cost") - F.col("median"), 4))
+    scale = off.groupBy("key", "held", "median").agg((1.4826 * F.percentile(F.abs("off"), 0.5)).alias("s"))
+    off = join_groups(off.select("key", "n", "off"), scale, ["key"], "held", total)
+    far = F.round(F.col("off") / spread(F.col("s"), F.col("n")), 3)
+    return off.groupBy("key", "held", "median", "s").agg(F.percentile(far, QUANTILE).alias("q"))
 
-    own = quantile(bins, ["lang"]).filter(F.col("n") >= LEAST_HELD_OUT).select(F.col("lang").alias("l"), (F.col("bin") / 1000 + MARGIN).alias("own"))
-    all_ = quantile(bins, []).select((F.col("bin") / 1000 + MARGIN).alias("all"))
-    everywhere = (r := all_.first()) and r["all"]
-    langs = scores.groupBy("lang").agg(F.count("*").alias("texts")).join(own, F.col("lang").eqNullSafe(F.col("l")), "left")
-    return langs.select("lang", "texts", F.coalesce("own", F.lit(everywhere if everywhere is not None else float("inf")).cast("double")).alias("threshold"))
+
+def thresholds(scores: DataFrame) -> DataFrame:
+    """(key, texts, median, s, q) of all scored texts' languages: a text may cost q spreads more than the median."""
+    held = stored(scores.filter("fold = 2 and cost is not null").select("key", "n", F.round("cost", 4).alias("cost")), "kn-held")
+    names = ["median", "s", "q"]
+    own = _limits(held).filter(F.col("held") >= LEAST_HELD_OUT).select("key", *names)
+    every = _limits(held.withColumn("key", F.lit(""))).first() or dict(median=0.0, s=0.0, q=float("inf"))
+    langs = scores.groupBy("key").agg(F.count("*").alias("texts")).join(own, "key", "left")
+    return langs.select("key", "texts", *[F.coalesce(k, F.lit(every[k])).alias(k) for k in names])
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, list[str]]:
     blocks, scores, names = _scored(docs, labels, id_col, text_col, lang_col)
     # Most texts may be of one language: such languages' thresholds are broadcast.
-    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key")
-    limits = stored(thresholds(scores).select(key, "texts", "threshold"), "kn-thresholds")
-    told = join_groups(scores.withColumn("key", key), limits, ["key"], "texts", scores.count())
+    scores = scores.withColumn("key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    limits = stored(thresholds(scores), "kn-thresholds")
+    told = join_groups(scores, limits, ["key"], "texts", scores.count())
+    told = told.withColumn("threshold", F.col("median") + F.col("q") * spread(F.col("s"), F.col("n")))
     kept = F.coalesce(F.col("cost") <= F.col("threshold"), F.lit(False))
     told = told.withColumn("perplexity", F.exp("cost")).withColumn("kept", kept)
     return blocks, told, names
@@ -229,8 +239,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Rows of docs (columns, or all) with perplexity a byte, threshold and kept.
 
     The model learns the byte n-grams of all trusted texts: quality 1, not toxic in labels, but for one in
-    HELD_OUT. A document is kept if its perplexity is at most its language's threshold, which nearly all
-    (QUANTILE) held out trusted documents of the language meet, and a margin.
+    HELD_OUT. A document is kept if its nats a byte are at most its threshold, which is that of its language for
+    texts of its length: the median of the held out trusted documents, and as many spreads (the language's own
+    scale and what texts of so few bytes scatter, sqrt(s^2 + 1 / bytes)) as nearly all (QUANTILE) of them stay within.
 
     Texts are packed in blocks that stay where they were written: a block asks for its distinct n-grams, these
     are joined with the counts by n-gram, and the answers go back to the block.

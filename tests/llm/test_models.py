@@ -128,6 +128,21 @@ def test_perplexities_are_those_of_the_definition(spark):
     assert left.columns == df.columns and left.count() == sum(r.kept for r in got)
 
 
+def test_short_texts_do_not_set_the_threshold_of_long_ones(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(2 + i % 7)) for i in range(200)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(150, 250))), "x") for i in range(600)]
+    rows += [(600 + i, "".join(rng.choice("klmnopqrst") for _ in range(5)), "x") for i in range(12)]
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    rows += [(1000 + i, letters(1000), "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(612)], "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels).collect()
+    clean, junk = [r for r in got if r.doc_id < 600], [r for r in got if r.doc_id >= 1000]
+    assert sum(r.kept for r in clean) >= 0.97 * len(clean)
+    assert not any(r.kept for r in junk)
+
+
 def test_quality_without_labels_or_rows(spark):
     _, df, labels = corpus(spark)
     assert quality.classify(df.filter("false"), labels).count() == 0
