@@ -18,6 +18,9 @@ LENGTH = 100
 ANCHOR = 32
 #: Suffixes that one task merges, on average.
 SHARD_ROWS = 60_000
+#: Strings of anchors that are there more often are dealt by string, not by anchor; as many of their rows
+#: (up to LENGTH - ANCHOR + 1 strings of an anchor, without text) as one suffix is counted for.
+HOT_ROWS, HOT_WEIGHT = 60_000, 16
 #: Window starts that are looked at together.
 PIECE = 1 << 24
 
@@ -112,11 +115,14 @@ def _suffixes(shards: int):
     """Of a block's repeated anchors: their surroundings, as far as strings with that anchor reach.
 
     Of equal surroundings in a block only the first is sent; the strings of the others start later than
-    equal ones and are told as spans (text null, place and reach: first byte and end)."""
+    equal ones and are told as spans (text null, place and reach: first byte and end). Of hot anchors the
+    strings are sent, once for equal ones (text null; key and reach: 128-bit hash), dealt by their hash."""
 
     def f(key: tuple, blocks: pa.Table, asked: pa.Table) -> pa.Table:
         gone = asked.filter(pa.compute.is_valid(asked.column("row"))).column("row").to_numpy()
-        wanted = np.sort(asked.filter(pa.compute.is_valid(asked.column("key"))).column("key").to_numpy().view(B.U))
+        asked = asked.filter(pa.compute.is_valid(asked.column("key")))
+        wanted = np.sort(asked.column("key").to_numpy().view(B.U))
+        often = asked.filter(asked.column("hot")).column("key").to_numpy().view(B.U)
         held = []
         side = LENGTH - ANCHOR
         for data, at, rows, ids in _new_texts(blocks, gone):
@@ -148,6 +154,8 @@ def _suffixes(shards: int):
         lead = lead[which]
         again = (lead != np.arange(len(key))) & (words == words[lead]).all(1)
         new = np.flatnonzero(~again)
+        hot = np.isin(key[new], often)
+        hot, new = new[hot], new[~hot]
         side_cols = np.arange(-side, LENGTH)
         used = (side_cols >= -far[new][:, None]) & (side_cols < LENGTH - near[new][:, None])
         flat, size = around[new][used], used.sum(1)
@@ -155,16 +163,37 @@ def _suffixes(shards: int):
         sent = pa.Array.from_buffers(pa.binary(), len(new), [None, ends, pa.py_buffer(np.ascontiguousarray(flat))])
         shard = (key[new] % B.U(shards)).astype(np.int64)
         first = pa.table([pa.array(shard), pa.array(key[new].view(np.int64)), pa.array(id_[new]), pa.array(row[new]), pa.array(place[new]), pa.nulls(len(new), pa.int64()), pa.array(near[new], pa.int32()), pa.array(far[new], pa.int32()), sent], names)
+        parts, r, s, e = [first], [row[again]], [(place - far)[again]], [(place - near)[again] + LENGTH]
+        for a in range(side + 1):  # equal strings have their anchor at the same place
+            on = hot[(near[hot] <= a) & (a <= far[hot])]
+            if len(on):
+                digest, lead = _distinct_strings(around[on, side - a : side - a + LENGTH])
+                m, start = int(lead.sum()), place[on] - a
+                part = (digest[lead, 0].view(B.U) % B.U(shards)).astype(np.int64)
+                part = [part, digest[lead, 0], id_[on[lead]], row[on[lead]], start[lead], digest[lead, 1]]
+                parts.append(pa.table([*map(pa.array, part), *[pa.nulls(m, k) for k in kinds[6:]]], names))
+                r, s, e = [*r, row[on[~lead]]], [*s, start[~lead]], [*e, start[~lead] + LENGTH]
         # Spans of one row that touch are one.
-        r, s, e = row[again], (place - far)[again], (place - near)[again] + LENGTH
-        r, s, e = joined(r, s, e)
+        r, s, e = joined(*(np.concatenate(x) for x in (r, s, e)))
         n = len(r)
         told = pa.table([pa.array(r % shards), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(r), pa.array(s), pa.array(e), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        return pa.concat_tables([first, told])
+        return pa.concat_tables([*parts, told])
 
     return f
 
 
+def _distinct_strings(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of strings (rows of bytes), and which of them are the first of equal ones."""
+    from hashlib import blake2b
+
+    strings = np.ascontiguousarray(strings)
+    digest = np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in strings), np.int64).reshape(-1, 2)
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    lead = np.ones(len(digest), bool)
+    lead[order[1:][(digest[order[1:]] == digest[order[:-1]]).all(1)]] = False
+    return digest, lead
+
+
 def joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The union of spans, by row: those that overlap or touch become one."""
     order = np.lexsort((start, row))
@@ -227,7 +256,9 @@ def later_strings(key: np.ndarray, rank: np.ndarray, near: np.ndarray, far: np.n
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    spans = group.filter(pa.compute.is_null(group.column("text")))
+    told = group.filter(pa.compute.is_null(group.column("text")))
+    spans = told.filter(pa.compute.is_null(told.column("key")))
+    hot = told.filter(pa.compute.is_valid(told.column("key")))
     rows = group.filter(pa.compute.is_valid(group.column("text")))
     read = lambda t, k: t.column(k).to_numpy()
     row, start, end = read(spans, "row"), read(spans, "place"), read(spans, "reach")
@@ -242,6 +273,11 @@ def _merge(group: pa.Table) -> pa.Table:
         rank[np.lexsort((place, r, id_))] = np.arange(len(key))
         i, a = later_strings(key, rank, near, far, around)
         row, start, end = np.append(row, r[i]), np.append(start, place[i] - a), np.append(end, place[i] - a + LENGTH)
+    if hot.num_rows:
+        key, hash_, id_, r, place = (read(hot, k) for k in ("key", "reach", "id", "row", "place"))
+        order = np.lexsort((place, r, id_, hash_, key))
+        later = order[1:][(key[order[1:]] == key[order[:-1]]) & (hash_[order[1:]] == hash_[order[:-1]])]
+        row, start, end = np.append(row, r[later]), np.append(start, place[later]), np.append(end, place[later] + LENGTH)
     row, start, end = joined(row.astype(np.int64), start.astype(np.int64), end.astype(np.int64))
     return pa.table({"block": row // ROW, "row": row, "start": start, "end": end})
 
@@ -288,7 +324,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     2. Each string has an anchor, its piece with the least hash, so equal strings have equal anchors, and only
        anchors that are there twice can be in repeated strings. Blocks ask which of theirs are.
     3. The surroundings of these anchors (once for equal ones in a block) are dealt to shards by anchor, where
-       later_strings merges them. 4. Spans go back to the blocks.
+       later_strings merges them. Of anchors that are there more than HOT_ROWS times each block sends the distinct
+       strings' hashes and first places instead, dealt by hash: a string has a row for each block at most.
+    4. Spans go back to the blocks.
     """
     blocks = pack(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text")
     whole = stored(blocks.mapInArrow(_texts, "row long, id long, sha binary"), "repeat-texts")
@@ -298,10 +336,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keys = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_keys, "key long, block long, c long")
     twice = F.sum("c").over(Window.partitionBy("key"))
-    keys = stored(keys.withColumn("all", twice).filter("all > 1").select("key", "block", "c"), "repeat-keys")
-    shards = max(1, -(-(keys.agg(F.sum("c")).first()[0] or 0) // SHARD_ROWS))
+    keys = stored(keys.withColumn("all", twice).filter("all > 1").select("key", "block", "c", (F.col("all") > HOT_ROWS).alias("hot")), "repeat-keys")
+    rows = F.col("c") * F.when(F.col("hot"), HOT_WEIGHT).otherwise(1)
+    shards = max(1, -(-(keys.agg(F.sum(rows)).first()[0] or 0) // SHARD_ROWS))
     none = F.lit(None).cast("long")
-    asked = keys.select("block", "key", none.alias("row")).unionByName(copies.select("block", none.alias("key"), "row"))
+    asked = keys.select("block", "key", none.alias("row"), "hot").unionByName(copies.select("block", none.alias("key"), "row", F.lit(False).alias("hot")))
     schema = "shard long, key long, id long, row long, place long, reach long, near int, far int, text binary"
     suffixes = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_suffixes(shards), schema)
     spans = suffixes.groupBy("shard").applyInArrow(_merge, "block long, row long, start long, end long")

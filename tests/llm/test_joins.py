@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from helpers import docs, odd_rows, prose
 from hypothesis import given, settings
@@ -213,6 +215,28 @@ def test_repeats_are_exact(spark, seed):
     assert suffix_dedup.remove_repeats(df.filter("false")).count() == 0
 
 
+def test_no_task_merges_all_rows_of_a_hot_anchor(spark, monkeypatch):
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, near = letters(300), [letters(80) for _ in range(4)]
+    rows = [(i, letters(60) + rng.choice(near) + passage + rng.choice(near) + letters(60)) for i in range(300)]
+    rows += [(None, passage), (900, passage[:150] + passage[90:])]
+    merge = suffix_dedup._merge
+
+    def bounded(group):
+        keys = group.filter(pc.is_valid(group.column("text"))).column("key").to_pylist()
+        assert max(Counter(keys).values(), default=0) <= 50
+        return merge(group)
+
+    monkeypatch.setattr(suffix_dedup, "_merge", bounded)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 50, raising=False)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute_repeats(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) in want[r.doc_id], r.doc_id
+
+
 def test_repeats_of_repeated_rows(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh") for _ in range(300))
