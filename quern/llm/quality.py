@@ -17,11 +17,9 @@ from ._shared import join_groups, stored
 ORDER = 5
 #: Labels up to this number (12 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 4_000_000
-#: Share of trusted, held out documents of a language that its threshold lets pass.
+#: Share of a language's trusted documents, scored by the models that leave them out, that its threshold lets pass.
 QUANTILE = 0.985
-#: Fewer held out documents than this in a language: the threshold of all languages together holds.
-LEAST_HELD_OUT = 50
-#: One trusted document in so many sets thresholds and is not learned from.
+#: Trusted documents are dealt to so many folds; a model leaves one out, and all texts are judged by the first.
 HELD_OUT = 5
 
 
@@ -54,50 +52,60 @@ def _merged(g: np.ndarray, c: np.ndarray, more: np.ndarray, many: np.ndarray) ->
 
 
 def _learn(text: str):
-    """n-grams of the texts to learn from, counted by block."""
+    """n-grams of the trusted texts, counted by block and fold."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows in b.column(1):
-                g, c = np.zeros(0, B.U), np.zeros(0, np.int64)
+                held = [(np.zeros(0, B.U), np.zeros(0, np.int64))] * HELD_OUT
                 for x in unpack(rows.as_py()):
-                    use = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False) == 1
+                    fold = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
                     for i, j, seen, row in _grams(x, text):
-                        g, c = _merged(g, c, *_distinct([seen[use[i:j][row]]]))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
+                        of = fold[i:j][row]
+                        held = [_merged(*held[k], *_distinct([seen[of == k]])) for k in range(HELD_OUT)]
+                for k, (g, c) in enumerate(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), k)), pa.array(c)], ["g", "fold", "c"])
 
     return f
 
 
 def _ask(text: str):
-    """The distinct n-grams of each block."""
+    """The distinct n-grams of each block; bit k of folds: also of its trusted texts of fold k."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, rows in zip(b.column(0), b.column(1), strict=True):
-                found = np.zeros(0, B.U)
+                found = [np.zeros(0, B.U)] * HELD_OUT  # the first: of all texts
                 for x in unpack(rows.as_py()):
-                    for _, _, seen, _ in _grams(x, text):
-                        found = np.union1d(found, _distinct([seen])[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block.as_py())), pa.array(found.view(np.int64))], ["block", "g"])
+                    fold = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
+                    for i, j, seen, row in _grams(x, text):
+                        of = fold[i:j][row]
+                        found = [np.union1d(g, _distinct([seen[of == k] if k else seen])[0]) for k, g in enumerate(found)]
+                folds = np.zeros(len(found[0]), np.int64)
+                for k in range(1, HELD_OUT):
+                    folds[np.searchsorted(found[0], found[k])] |= 1 << k
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(folds), block.as_py())), pa.array(found[0].view(np.int64)), pa.array(folds)], ["block", "g", "folds"])
 
     return f
 
 
 def _score(text: str):
-    """Length and summed logarithm of each text of a block."""
+    """Length and summed logarithm of each text of a block, and by the model that leaves its fold out."""
 
     def f(blocks: pa.Table, model: pa.Table) -> pa.Table:
-        g, p = model.column("g").to_numpy(), model.column("p").to_numpy()
+        g = model.column("g").to_numpy()
         order = np.argsort(g, kind="stable")
-        g, p = g[order], np.log(p[order])
-        out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": []}
+        g, p = g[order], np.stack([np.log(model.column(f"p{k}").to_numpy()[order]) for k in range(HELD_OUT)])
+        out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": [], "own": []}
         for block, rows in zip(blocks.column("block"), blocks.column("rows"), strict=True):
             first = 0
             for x in unpack(rows.as_py()):
+                fold = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
                 for i, j, seen, row in _grams(x, text):
+                    at = np.searchsorted(g, seen.view(np.int64))
                     out["n"].append(np.bincount(row, minlength=j - i))
-                    out["log"].append(np.bincount(row, p[np.searchsorted(g, seen.view(np.int64))], j - i))
+                    out["log"].append(np.bincount(row, p[0, at], j - i))
+                    out["own"].append(np.bincount(row, p[np.maximum(fold[i:j], 0)[row], at], j - i))
                     out["at"].append(np.arange(first + i, first + j))
                 out["lang"].append(x.column(x.schema.get_field_index("__lang")))
                 out["fold"].append(x.column(x.schema.get_field_index("__fold")))
@@ -108,71 +116,85 @@ def _score(text: str):
     return f
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2, and 3 or more, from the numbers of counts 1 to 4."""
-    n = {r["c"]: r["count"] for r in counts.filter("c <= 4").groupBy("c").count().collect()}
-    n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return [0.5, 0.75, 0.9]  # too little text to tell
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(v, 0.05), k - 0.05) for k, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+def discounts(counts: DataFrame) -> list[list[float]]:
+    """Of each model, modified Kneser-Ney discounts for counts 1, 2, and 3 or more, from the numbers of counts 1 to 4."""
+    n = counts.agg(*[F.count_if(F.col(f"c{j}") == k).alias(f"n{j}_{k}") for j in range(HELD_OUT) for k in (1, 2, 3, 4)]).first()
+    out = []
+    for j in range(HELD_OUT):
+        n1, n2, n3, n4 = (n[f"n{j}_{k}"] for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            out.append([0.5, 0.75, 0.9])  # too little text to tell
+            continue
+        y = n1 / (n1 + 2 * n2)
+        out.append([min(max(v, 0.05), k - 0.05) for k, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))])
+    return out
 
 
 def probabilities(top: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, p) for each asked n-gram: its last byte's probability after the others, by modified Kneser-Ney.
+    """(g, p0, ...) for each asked n-gram: its last byte's probability after the others, by modified Kneser-Ney, in
+    each of the models.
 
-    top has the counts (g, c) of n-grams of the highest order. Of a lower order, an n-gram counts as often as
+    top has the counts (g, c0, ...) of n-grams of the highest order. Of a lower order, an n-gram counts as often as
     different bytes stand before it. Each order's probability is its discounted share among its
     context's counts and, with the weight of what the context's discounts leave, that of the order below, down
     to 1 / 256. Contexts never seen leave all to the order below. Tables are joined by n-gram, dealt over
-    all tasks; only the three discounts of an order come to the driver.
+    all tasks; only the three discounts of an order and model come to the driver.
     """
     mask = lambda k: F.lit((1 << 8 * k) - 1)
+    models = range(HELD_OUT)
     levels = {order: top}
     for k in range(order - 1, 0, -1):
-        levels[k] = stored(levels[k + 1].groupBy(F.col("g").bitwiseAND(mask(k)).alias("g")).agg(F.count("*").alias("c")), "kn-counts")
+        counts = [F.count_if(F.col(f"c{j}") > 0).alias(f"c{j}") for j in models]
+        levels[k] = stored(levels[k + 1].groupBy(F.col("g").bitwiseAND(mask(k)).alias("g")).agg(*counts), "kn-counts")
     need = {order: asked}
     for k in range(order - 1, 0, -1):
         need[k] = stored(need[k + 1].select(F.col("g").bitwiseAND(mask(k)).alias("g")).distinct(), "kn-asked")
     below = None
     for k in range(1, order + 1):
-        d1, d2, d3 = discounts(levels[k])
-        own = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        seen = levels[k].withColumn("h", F.shiftright("g", 8)).withColumn("d", own)
-        context = seen.groupBy("h").agg(F.sum("c").alias("s"), F.sum("d").alias("left"))
+        own = []
+        for j, (d1, d2, d3) in enumerate(discounts(levels[k])):
+            c = F.col(f"c{j}")
+            own.append(F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3).alias(f"d{j}"))
+        seen = levels[k].select("*", F.shiftright("g", 8).alias("h"), *own)
+        context = seen.groupBy("h").agg(*[F.sum(f"c{j}").alias(f"s{j}") for j in models], *[F.sum(f"d{j}").alias(f"left{j}") for j in models])
         want = need[k].withColumn("h", F.shiftright("g", 8)).withColumn("l", F.col("g").bitwiseAND(mask(k - 1)))
-        got = want.join(seen.select("g", "c", "d"), "g", "left").join(context, "h", "left")
-        if below is None:
-            got = got.withColumn("q", F.lit(1 / 256))
-        else:
-            got = got.join(below.select(F.col("g").alias("l"), F.col("p").alias("q")), "l", "left")
-        rest = F.coalesce(F.col("left") / F.col("s"), F.lit(1.0))
-        p = F.coalesce((F.col("c") - F.col("d")) / F.col("s"), F.lit(0.0)) + rest * F.col("q")
-        below = stored(got.select("g", p.alias("p")), "kn-p")
+        got = want.join(seen.drop("h"), "g", "left").join(context, "h", "left")
+        if below is not None:
+            got = got.join(below.select(F.col("g").alias("l"), *[F.col(f"p{j}").alias(f"q{j}") for j in models]), "l", "left")
+        p = []
+        for j in models:
+            c, d, s, left = (F.col(f"{x}{j}") for x in ("c", "d", "s", "left"))
+            q = F.lit(1 / 256) if below is None else F.col(f"q{j}")
+            p.append(F.when(s > 0, F.coalesce((c - d) / s, F.lit(0.0)) + left / s * q).otherwise(q).alias(f"p{j}"))
+        below = stored(got.select("g", *p), "kn-p")
     return below
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The table of blocks, and (block, at, lang, fold, n, cost) of each text; cost is nats a byte."""
+    """The table of blocks, and (block, at, lang, fold, n, cost, own) of each text; cost is nats a
+    byte, own by the model that leaves its fold out (fold -1: not trusted)."""
     trusted = stored(trusted_ids(labels, id_col), "kn-trusted")
     trusted = F.broadcast(trusted) if trusted.count() <= MOST_BROADCAST else trusted
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)
     col = dict(zip(docs.columns, names, strict=True))
     own = own.join(trusted, F.col(col[id_col]) == F.col("trusted_id"), "left")
-    held = F.pmod(F.crc32(F.col("trusted_id").cast("string")), F.lit(HELD_OUT)) == 0
-    fold = F.when(F.col("trusted_id").isNull(), 0).when(held, 2).otherwise(1)
+    fold = F.coalesce(F.pmod(F.crc32(F.col("trusted_id").cast("string")), F.lit(HELD_OUT)).cast("int"), F.lit(-1))
     own = own.select(*names, F.col(col[lang_col]).cast("string").alias("__lang"), fold.alias("__fold"))
     text = col[text_col]
     # Dealt to files by block, so that blocks meet what is asked for them without moving again.
     blocks = pack(own, text)
-    top = stored(blocks.mapInArrow(_learn(text), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-top")
-    asked = stored(blocks.mapInArrow(_ask(text), "block long, g long"), "kn-ask")
+    learned = blocks.mapInArrow(_learn(text), "g long, fold long, c long")
+    others = [F.sum(F.when(F.col("fold") == k, 0).otherwise(F.col("c"))).alias(f"c{k}") for k in range(HELD_OUT)]
+    top = stored(learned.groupBy("g").agg(*others), "kn-top")
+    asked = stored(blocks.mapInArrow(_ask(text), "block long, g long, folds long"), "kn-ask")
     p = probabilities(top, asked.select("g").distinct())
-    answers = asked.join(p, "g").select("block", "g", F.col("p").cast("float").alias("p"))
-    schema = "block long, at long, lang string, fold int, n long, log double"
+    own = [F.when(F.col("folds").bitwiseAND(1 << k) > 0, F.col(f"p{k}").cast("float")).alias(f"p{k}") for k in range(1, HELD_OUT)]
+    answers = asked.join(p, "g").select("block", "g", F.col("p0").cast("float").alias("p0"), *own)
+    schema = "block long, at long, lang string, fold int, n long, log double, own double"
     scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(text), schema)
-    scores = scores.withColumn("cost", F.when(F.col("n") > 0, -F.col("log") / F.col("n"))).drop("log")
+    scores = scores.withColumn("cost", F.when(F.col("n") > 0, -F.col("log") / F.col("n")))
+    scores = scores.withColumn("own", F.when(F.col("n") > 0, -F.col("own") / F.col("n"))).drop("log")
     return blocks, stored(scores, "kn-scores"), names
 
 
@@ -195,12 +217,10 @@ def _limits(held: DataFrame) -> DataFrame:
 
 def thresholds(scores: DataFrame) -> DataFrame:
     """(key, texts, median, s, q) of all scored texts' languages: a text may cost q spreads more than the median."""
-    held = stored(scores.filter("fold = 2 and cost is not null").select("key", "n", F.round("cost", 4).alias("cost")), "kn-held")
-    names = ["median", "s", "q"]
-    own = _limits(held).filter(F.col("held") >= LEAST_HELD_OUT).select("key", *names)
-    every = _limits(held.withColumn("key", F.lit(""))).first() or dict(median=0.0, s=0.0, q=float("inf"))
-    langs = scores.groupBy("key").agg(F.count("*").alias("texts")).join(own, "key", "left")
-    return langs.select("key", "texts", *[F.coalesce(k, F.lit(every[k])).alias(k) for k in names])
+    held = stored(scores.filter("fold >= 0 and own is not null").select("key", "n", F.round("own", 4).alias("cost")), "kn-held")
+    langs = scores.groupBy("key").agg(F.count("*").alias("texts")).join(_limits(held).drop("held"), "key", "left")
+    none = dict(median=0.0, s=0.0, q=float("inf"))  # nothing trusted to judge by
+    return langs.select("key", "texts", *[F.coalesce(k, F.lit(v)).alias(k) for k, v in none.items()])
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, list[str]]:
@@ -240,15 +260,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The model learns the byte n-grams of all trusted texts: quality 1, not toxic in labels, but for one in
     HELD_OUT. A document is kept if its nats a byte are at most its threshold, which is that of its language for
-    texts of its length: the median of the held out trusted documents, and as many spreads (the language's own
+    texts of its length: the median of the trusted documents, each scored by a model that leaves its fold out, and as many spreads (the language's own
     scale and what texts of so few bytes scatter, sqrt(s^2 + 1 / bytes)) as nearly all (QUANTILE) of them stay within.
 
     Texts are packed in blocks that stay where they were written: a block asks for its distinct n-grams, these
     are joined with the counts by n-gram, and the answers go back to the block.
 
-    A null or empty text has no perplexity and is not kept. Null is a language of its own. Languages with
-    under LEAST_HELD_OUT held out documents have the threshold of all together; without any, nothing
-    with text is dropped. Whole texts are read, rows may repeat; an empty table gives no rows.
+    A null or empty text has no perplexity and is not kept. Null is a language of its own. Of a language
+    without trusted texts, nothing with text is dropped. Whole texts are read, rows may repeat; an empty table gives no rows.
     """
     wanted = columns or docs.columns
     new = docs.select(*wanted).schema

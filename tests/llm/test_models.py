@@ -143,6 +143,18 @@ def test_short_texts_do_not_set_the_threshold_of_long_ones(spark):
     assert not any(r.kept for r in junk)
 
 
+def test_rare_languages_are_judged_by_their_own_texts(spark):
+    rng = random.Random(6)
+    make = lambda letters, k: ["".join(rng.choice(letters) for _ in range(rng.randint(500, 1500))) for _ in range(k)]
+    many, rare, other = make("ab ", 300), make("abcdefghijklmnopqrstuvwxyz ", 215), make("0123456789", 20)
+    rows = [(i, t, "x") for i, t in enumerate(many)] + [(1000 + i, t, "y") for i, t in enumerate(rare)] + [(2000 + i, t, "z") for i, t in enumerate(other)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(300), *range(1000, 1015)]], "doc_id long, quality int, toxic int")
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    kept = lambda lang: [r.kept for r in got if r.lang == lang]
+    assert sum(kept("y")) >= 0.85 * len(kept("y")) and all(kept("z"))
+    assert len({round(r.threshold, 2) for r in got if r.lang == "y"} & {round(r.threshold, 2) for r in got if r.lang == "x"}) == 0
+
+
 def test_quality_without_labels_or_rows(spark):
     _, df, labels = corpus(spark)
     assert quality.classify(df.filter("false"), labels).count() == 0
