@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,13 +11,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Of each application, the paths and the names of tables that it has made, in order.
+_made: dict[str, list[tuple[str, str | None]]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a temporary folder of our own."""
+    """The session's spark.checkpoint.dir. Where that is unset, a temporary folder of our own if all of Spark runs in
+    one process; on a cluster, whose machines would not see each other's files, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quern-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -24,8 +31,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{app}"
 
 
+def _note(spark: SparkSession, path: str, table: str | None = None) -> None:
+    _made.setdefault(spark.sparkContext.applicationId, []).append((path, table))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _note(spark, path)
+    return path
+
+
+def new_table(spark: SparkSession, kind: str) -> tuple[str, str]:
+    """Name and path of a catalog table of this application."""
+    app = re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    name = f"quern_{kind}_{app}_{uuid.uuid4().hex}".lower()
+    path = f"{scratch_dir(spark)}/{name}"
+    _note(spark, path, name)
+    return name, path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,13 +58,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables there are: drop_since takes away the later ones."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, first: int, *keep: DataFrame) -> None:
+    """Delete the tables made after mark gave first, but for keep (what stored returned). Nothing may still read them."""
+    kept = {getattr(df, "_stored_at", None) for df in keep}
+    made = _made.get(spark.sparkContext.applicationId, [])
+    gone = [x for x in made[first:] if x[0] not in kept]
+    made[first:] = [x for x in made[first:] if x[0] in kept]
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder. Results that still read it must be done."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("quern_"):
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_since(spark, 0)
+    _delete(spark, scratch_dir(spark))

@@ -1,6 +1,13 @@
+import pytest
+
 from quern import storage
 
 
+@pytest.fixture(autouse=True)
+def made_here(monkeypatch):
+    monkeypatch.setattr(storage, "_made", {})
+
+
 def test_stored_tables_are_in_the_scratch_folder_and_cleared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "scratch_dir", lambda s: str(tmp_path / "shared"))
     df = storage.stored(spark.range(3), "x")
@@ -9,20 +16,58 @@ def test_stored_tables_are_in_the_scratch_folder_and_cleared(spark, tmp_path, mo
     assert not (tmp_path / "shared").exists()
 
 
+def test_clear_leaves_tables_of_others_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_dir", lambda s: str(tmp_path / "shared"))
+    spark.range(2).write.option("path", str(tmp_path / "other")).saveAsTable("quern_other")
+    name, path = storage.new_table(spark, "kind")
+    spark.range(2).write.option("path", path).saveAsTable(name)
+    try:
+        storage.clear(spark)
+        assert spark.catalog.tableExists("quern_other") and not spark.catalog.tableExists(name)
+        assert spark.table("quern_other").count() == 2
+    finally:
+        spark.sql("DROP TABLE quern_other")
+
+
+def test_only_tables_after_a_mark_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_dir", lambda s: str(tmp_path / "shared"))
+    before = storage.stored(spark.range(1), "before")
+    first = storage.mark(spark)
+    gone, kept = storage.stored(spark.range(2), "gone"), storage.stored(spark.range(3), "kept")
+    storage.drop_since(spark, first, kept)
+    assert (before.count(), kept.count()) == (1, 3)
+    assert not list((tmp_path / "shared").glob("gone-*")) and gone is not None
+
+
 def test_scratch_without_a_checkpoint_folder_is_our_own(spark):
     assert storage.scratch_dir(spark) == storage.scratch_dir(spark)
     assert spark.sparkContext.applicationId in storage.scratch_dir(spark)
 
 
-def test_scratch_is_where_the_session_says(tmp_path):
+def session(folder, cluster="local[2]"):
     class Conf:
         def get(self, key, default=None):
-            return str(tmp_path) if key == "spark.checkpoint.dir" else default
+            return folder if key == "spark.checkpoint.dir" else default
 
     class Session:
         conf = Conf()
 
         class sparkContext:
             applicationId = "app"
+            master = cluster
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    return Session()
+
+
+def test_scratch_is_where_the_session_says(tmp_path):
+    assert storage.scratch_dir(session(str(tmp_path))) == f"{tmp_path}/quern-app"
+
 
-    assert storage.scratch_dir(Session()) == f"{tmp_path}/quern-app"
+@pytest.mark.parametrize("cluster", ["spark://host:7077", "yarn", "k8s://https://host", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_a_shared_folder_is_an_error(cluster):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_dir(session(None, cluster))
