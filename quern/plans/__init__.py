@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as O
 from .. import sources
-from ..functions import sort_key
+from ..functions import sort_key, splits_below
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,8 @@ def job_of(name: str) -> Job:
 
 
 def run_job(spark: SparkSession, spec: JobSpec) -> DataFrame:
-    """The job's (key, value) rows, lazily, in order of key."""
+    """The job's (key, value) rows in order of key: in as many sorted ranges as spec.partitions says, or with a sample
+    one for each range between its split points (finding these runs jobs; the rest is lazy)."""
     job = job_of(spec.job)
     out = job.reducer(job.mapper(spark, spec))
     if spec.partitions is None:
@@ -67,11 +68,9 @@ def run_job(spark: SparkSession, spec: JobSpec) -> DataFrame:
 
 
 def by_split_points(kv: DataFrame, splits: list[str]) -> DataFrame:
-    """Deal rows to ranges between the split points, one partition each."""
-    from ..functions import splits_below
-
-    part = kv.withColumn("__part", splits_below(F.col("key"), splits))
-    return part.repartitionByRange(len(splits) + 1, "__part").drop("__part")
+    """Deal rows to ranges between the split points: range i is partition i, empty ones included."""
+    part = kv.withColumn("__part", splits_below(F.col("key"), splits).cast("int"))
+    return part.repartitionById(len(splits) + 1, F.col("__part")).drop("__part")
 
 
 def _word_counts(pairs: DataFrame) -> DataFrame:
@@ -94,20 +93,47 @@ register("srt", Job(_lines, lambda kv: kv, "value"))
 # Steps in Python
 
 
-def map_documents(docs: DataFrame, doc: str, text: str, f: Callable[[str, str], Iterable[tuple[str, str]]]) -> DataFrame:
-    """(key, value) pairs that f(document, contents) gives for each row."""
+Pairs = Iterable[tuple[str, str]]
+#: Pairs that a task holds before it hands them on, or combines them.
+HELD = 200_000
+
+
+def _frame(pairs: list[tuple[str, str]]) -> pd.DataFrame:
+    return pd.DataFrame(pairs, columns=["key", "value"], dtype=object)
+
+
+def map_documents(docs: DataFrame, doc: str, text: str, f: Callable[[str, str], Pairs], combine: Callable[[str, Iterator[str]], str] | None = None) -> DataFrame:
+    """(key, value) pairs that f(document, contents) gives for each row, handed on HELD at a time. A null text is empty.
+
+    With combine, the values of a key among these are first made one: give it if reducing such values gives what
+    reducing all of them does (sums, not averages). Then a frequent key sends few rows, not one for each pair."""
+
+    def combined(pairs: list[tuple[str, str]]) -> pd.DataFrame:
+        if combine is None:
+            return _frame(pairs)
+        by_key: dict[str, list[str]] = {}
+        for k, v in pairs:
+            by_key.setdefault(k, []).append(v)
+        return _frame([(k, combine(k, iter(v))) for k, v in by_key.items()])
 
     def g(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
             for d, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                yield pd.DataFrame(list(f(d, t)), columns=["key", "value"], dtype=object)
+                for pair in f(d, t):
+                    held.append(pair)
+                    if len(held) >= HELD:
+                        yield combined(held)
+                        held = []
+        if held:
+            yield combined(held)
 
     return docs.select(F.col(doc).cast("string"), F.coalesce(F.col(text), F.lit(""))).mapInPandas(g, sources.KV)
 
 
-def reduce_by_key(kv: DataFrame, f: Callable[[str, list[str]], str]) -> DataFrame:
-    """(key, f(key, values)) for each key. Rows are dealt by key and sorted, and a task goes through them once:
-    only one key's values are in memory. A partition without rows gives none."""
+def reduce_by_key(kv: DataFrame, f: Callable[[str, Iterator[str]], str]) -> DataFrame:
+    """(key, f(key, values)) for each key. Rows are dealt by key and sorted, and a task goes through them once: f gets
+    the values, in order, as an iterator, so that not even one key's are in memory. A partition without rows gives none."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str]]:
         for b in batches:
@@ -116,16 +142,16 @@ def reduce_by_key(kv: DataFrame, f: Callable[[str, list[str]], str]) -> DataFram
     def g(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done = []
         for key, group in groupby(rows(batches), key=lambda kv: kv[0]):
-            done.append((key, f(key, [v for _, v in group])))
+            done.append((key, f(key, (v for _, v in group))))
             if len(done) >= 10_000:
-                yield pd.DataFrame(done, columns=["key", "value"])
+                yield _frame(done)
                 done = []
         if done:
-            yield pd.DataFrame(done, columns=["key", "value"])
+            yield _frame(done)
 
     return kv.repartition("key").sortWithinPartitions("key", "value").mapInPandas(g, sources.KV)
 
 
-def python_job(map_f: Callable[[str, str], Iterable[tuple[str, str]]], reduce_f: Callable[[str, list[str]], str], form: str = "key: value") -> Job:
+def python_job(map_f: Callable[[str, str], Pairs], reduce_f: Callable[[str, Iterator[str]], str], form: str = "key: value", combine: Callable[[str, Iterator[str]], str] | None = None) -> Job:
     """A job of a user's own map and reduce functions."""
-    return Job(lambda spark, spec: map_documents(sources.documents(spark, list(spec.inputs)), "document", "contents", map_f), lambda kv: reduce_by_key(kv, reduce_f), form)
+    return Job(lambda spark, spec: map_documents(sources.documents(spark, list(spec.inputs)), "document", "contents", map_f, combine), lambda kv: reduce_by_key(kv, reduce_f), form)

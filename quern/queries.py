@@ -71,8 +71,10 @@ def inverted_index_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_not_everywhere_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Only the numbers of sources are wanted, so no lists are collected.
     everywhere = _docs(spark, sf_dir).agg(F.count_distinct("source")).first()[0]
-    top = _by_source(spark, sf_dir).filter(F.col("n") < everywhere).orderBy(F.desc("n"), F.desc("word")).limit(10)
+    n = O.count_values(O.distinct_tokens(_docs(spark, sf_dir), "source", "text").distinct().withColumnRenamed("word", "key"))
+    top = n.withColumnRenamed("key", "word").filter(F.col("n") < everywhere).orderBy(F.desc("n"), F.desc("word")).limit(10)
     return top.select(F.row_number().over(Window.orderBy("n", "word")).cast("bigint").alias("rn"), "word", "n")
 
 
@@ -140,7 +142,7 @@ def range_partition_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_partition_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(spark, sf_dir, lambda key, splits: fn.wrapped(fn.splits_below(key, splits), 7).cast("bigint"))
+    return _placed(spark, sf_dir, lambda key, splits: fn.wrapped(fn.trie_partition(key, splits), 7).cast("bigint"))
 
 
 def reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +175,8 @@ def kv_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def implicit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    parts = [O.emit_pairs(docs.filter(F.col("doc_id") % 4 == i), "text") for i in range(4)]
+    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4))  # of every row, whatever its id
+    parts = [O.emit_pairs(docs.filter(part == i), "text") for i in range(4)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -192,10 +195,58 @@ def _letters(doc: str, text: str) -> Iterator[tuple[str, str]]:
         yield "".join(word), "1"
 
 
+def _summed(key: str, values: Iterator[str]) -> str:
+    return str(sum(map(int, values)))
+
+
 def plugin_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = plans.map_documents(_docs(spark, sf_dir), "doc_id", "text", _letters)
-    counted = plans.reduce_by_key(pairs, lambda key, values: str(sum(map(int, values))))
-    return counted.select(F.col("key").alias("word"), F.col("value").cast("bigint").alias("n"))
+    pairs = plans.map_documents(_docs(spark, sf_dir), "doc_id", "text", _letters, combine=_summed)
+    return plans.reduce_by_key(pairs, _summed).select(F.col("key").alias("word"), F.col("value").cast("bigint").alias("n"))
+
+
+# Jobs over files
+
+
+#: Documents whose ids are equal up to their last two digits are one file.
+FILE_IDS = 100
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """documents as text files in a folder each, ids=0, ids=1, ...; a text's lines are its own."""
+    path = new_path(spark, "job-input")
+    ids = F.coalesce(F.floor(F.col("doc_id") / FILE_IDS).cast("string"), F.lit("none"))
+    docs = _docs(spark, sf_dir).select(ids.alias("ids"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("ids").write.partitionBy("ids").text(path)
+    return path
+
+
+def job_wc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.run_job(spark, plans.JobSpec("wc", (_files(spark, sf_dir),), partitions=5))
+
+
+def job_ii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result names documents by their paths; here by what of the path is the test's own."""
+    told = plans.run_job(spark, plans.JobSpec("ii", (_files(spark, sf_dir),), partitions=5))
+    names = F.array_sort(F.regexp_extract_all("value", F.lit("/(ids=[^/]*)/"), F.lit(1)))
+    return told.select("key", F.substring_index("value", " ", 1).cast("bigint").alias("n"), F.array_join(names, ",").alias("docs"))
+
+
+def job_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the partition that each row is in: that of its range between the sample's split points."""
+    data, sample = new_path(spark, "job-records"), new_path(spark, "job-sample")
+    _records(spark, sf_dir).write.text(data)
+    table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_name")).write.text(sample)
+    told = plans.run_job(spark, plans.JobSpec("srt", (data,), partitions=7, sample=sample))
+    return told.withColumn("part", F.spark_partition_id().cast("bigint"))
+
+
+def kv_json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written to a folder for each hash partition, and read back with the folder they were in."""
+    pairs = O.emit_pairs(_docs(spark, sf_dir), "text").groupBy("key").agg(F.count("*").cast("string").alias("value"))
+    path = new_path(spark, "kv-json-parts")
+    sources.write_kv_json(pairs.withColumn("part", fn.hash_partition(F.col("key"), 10)), path, "part")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/part=([0-9]+)/", 1).cast("bigint")
+    return sources.kv_json(spark, path, folder.alias("part"))
 
 
 QUERIES = [
@@ -204,6 +255,7 @@ QUERIES = [
     total_sort_lines, sort_group_concat, sort_within_partition, sample_split_points, hash_partition, hash_partition_sizes,
     shuffle_matrix, range_partition, range_partition_trie, range_partition_wrapped, reduce_sum, reduce_count,
     reduce_sorted_join, merge_last_wins, final_text_lines, kv_json_roundtrip, implicit_union, plugin_word_count,
+    job_wc, job_ii, job_srt, kv_json_parts,
 ]
 
 
@@ -255,7 +307,7 @@ c AS (SELECT source, word, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT sour
 SELECT source, part, sum(n)::BIGINT AS n FROM p GROUP BY source, part""",
         "range_partition": placed(below("key")),
         "range_partition_trie": placed(trie),
-        "range_partition_wrapped": placed(f"{below('key')} % 7"),
+        "range_partition_wrapped": placed(f"{trie} % 7"),
         "reduce_sum": "SELECT l_returnflag AS key, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY 1",
         "reduce_count": "SELECT o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1",
         "reduce_sorted_join": "SELECT n_regionkey::VARCHAR AS key, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS joined FROM nation GROUP BY 1",
@@ -265,4 +317,11 @@ SELECT user_id, part, event_id, event_type FROM o WHERE rn = 1""",
         "kv_json_roundtrip": "SELECT doc_id::VARCHAR AS key, text AS value FROM documents",
         "implicit_union": f"WITH {_COUNTS} SELECT word AS key, n FROM c",
         "plugin_word_count": f"WITH {_COUNTS} SELECT word, n FROM c",
+        "job_wc": f"WITH {_COUNTS} SELECT word AS key, n::VARCHAR AS value FROM c",
+        "job_ii": rf"""WITH d AS (SELECT DISTINCT 'ids=' || coalesce(floor(doc_id / {FILE_IDS}.0)::BIGINT::VARCHAR, 'none') AS doc, unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM documents)
+SELECT word AS key, count(*) AS n, string_agg(doc, ',' ORDER BY doc) AS docs FROM d GROUP BY word""",
+        "job_srt": f"""WITH {_RECORDS}, m AS (SELECT p_name AS line FROM part WHERE p_partkey % 3 = 0),
+o AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS pos, count(*) OVER () // 7 AS step FROM m), s AS (SELECT line AS split FROM o WHERE pos % step = 0),
+u AS (SELECT key, {_BELOW.format(x='key')} AS part FROM (SELECT DISTINCT key FROM k)) SELECT key, value, part FROM k JOIN u USING (key)""",
+        "kv_json_parts": f"WITH {_COUNTS} SELECT word AS key, n::VARCHAR AS value, {_FNV.format(k='word')} AS part FROM c",
     }

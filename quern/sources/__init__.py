@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +44,10 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths, lineSep="\n").filter("value <> ''").withColumnRenamed("value", "line")
 
 
-def kv_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(key, value) from JSON lines; malformed input is an error."""
+def kv_json(spark: SparkSession, path: str | list[str], *more: Column) -> DataFrame:
+    """(key, value) from JSON lines, and more columns (of the file's metadata); malformed input is an error."""
     read = spark.read.schema(KV_JSON).json(path, mode="FAILFAST")
-    return read.select(F.col("Key").alias("key"), F.col("Value").alias("value"))
+    return read.select(F.col("Key").alias("key"), F.col("Value").alias("value"), *more)
 
 
 def write_kv_json(kv: DataFrame, path: str, parts: str | None = None) -> None:
@@ -64,7 +64,8 @@ def final_line(key: str = "key", value: str = "value", form: str = "key: value")
 
 
 def write_final(kv: DataFrame, path: str, form: str = "key: value", single: bool = False) -> None:
-    """Write lines in order of key. Part files follow one another in that order; with single, there is one
-    (all rows then go through one task: for results that a person reads)."""
-    ordered = kv.orderBy("key", "value").select(final_line(form=form).alias("line"))
-    (ordered.coalesce(1) if single else ordered).write.mode("overwrite").text(path)
+    """Write lines as kv has them, a file for each of its partitions: part files of a job's result follow one another in
+    order of key. With single, there is one file in order of key (all rows then go through one task: for results that
+    a person reads)."""
+    rows = kv.orderBy("key", "value").coalesce(1) if single else kv
+    rows.select(final_line(form=form).alias("line")).write.mode("overwrite").text(path)

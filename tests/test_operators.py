@@ -186,7 +186,7 @@ def test_unknown_job(spark):
 def test_python_job_equals_the_built_in_one(spark, tmp_path):
     (tmp_path / "f").write_text("b a b")
     (tmp_path / "g").write_text("a c\n")
-    job = plans.python_job(lambda d, t: ((w, "1") for w in t.split()), lambda k, v: str(len(v)))
+    job = plans.python_job(lambda d, t: ((w, "1") for w in t.split()), lambda k, v: str(sum(map(int, v))))
     plans.JOBS.pop("mine", None)
     plans.register("mine", job)
     inputs = (str(tmp_path / "f"), str(tmp_path / "g"))
@@ -204,6 +204,86 @@ def test_command_line(spark, tmp_path):
     assert [p.read_text() for p in (tmp_path / "o").glob("part-*")] == [f"x: 1 {tmp_path}/f\ny: 1 {tmp_path}/f\n"]
 
 
+def parts_of(folder):
+    return sorted(folder.glob("part-*"))
+
+
+@pytest.mark.parametrize("n", [3, 17])
+def test_command_line_writes_the_partitions_asked_for(spark, tmp_path, n):
+    from quern.__main__ import main
+
+    rows = records(300)
+    (tmp_path / "data").write_text("\n".join(rows))
+    main(["run", "srt", str(tmp_path / "data"), "--output", str(tmp_path / "o"), "--partitions", str(n)])
+    assert len(parts_of(tmp_path / "o")) == n
+    assert [x for p in parts_of(tmp_path / "o") for x in p.read_text().splitlines()] == sorted(rows, key=lambda r: (r.split("  ")[0], r))
+
+
+def test_command_line_writes_a_file_for_each_range_of_the_sample(spark, tmp_path):
+    from quern.__main__ import main
+
+    rows = records(300)
+    (tmp_path / "data").write_text("\n".join(rows))
+    (tmp_path / "sample").write_text("\n".join(rows[:40]))
+    main(["run", "srt", str(tmp_path / "data"), "--output", str(tmp_path / "o"), "--partitions", "20", "--sample", str(tmp_path / "sample")])
+    splits = sorted(rows[:40])[::2]
+    by_range = {}
+    for r in sorted(rows, key=lambda r: (r.split("  ")[0], r)):
+        by_range.setdefault(sum(s < r.split("  ")[0] for s in splits), []).append(r)
+    got = {int(p.name.split("-")[1]): p.read_text().splitlines() for p in parts_of(tmp_path / "o")}
+    assert {i: x for i, x in got.items() if x} == by_range and len(by_range) > 15
+
+
+def test_mapped_pairs_are_combined_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(plans, "HELD", 5)
+    docs = spark.createDataFrame([(1, "a b a a b c a"), (2, None), (None, "a")], "id long, text string").coalesce(1)
+    words = lambda d, t: ((w, "1") for w in t.split())
+    summed = lambda k, v: str(sum(map(int, v)))
+    pairs = plans.map_documents(docs, "id", "text", words, combine=summed)
+    assert sorted(map(tuple, pairs.collect())) == [("a", "2"), ("a", "3"), ("b", "2"), ("c", "1")]
+    assert plans.map_documents(docs, "id", "text", words).count() == 8
+    assert dict(map(tuple, plans.reduce_by_key(pairs, summed).collect())) == {"a": "5", "b": "2", "c": "1"}
+
+
+def test_a_reduce_function_need_not_read_its_values(spark):
+    kv = spark.createDataFrame([(k, str(i)) for k in "ab" for i in range(3)], sources.KV)
+    assert dict(map(tuple, plans.reduce_by_key(kv, lambda k, v: next(v)).collect())) == {"a": "0", "b": "0"}
+
+
+def test_union_of_parts_keeps_rows_of_any_id(tmp_path, spark):
+    from quern import queries
+
+    rows = [(1, "a"), (-1, "b"), (None, "c"), (2, "d"), (-6, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(map(tuple, queries.implicit_union(spark, str(tmp_path)).collect()))
+    assert got == {"a": 2, "b": 1, "c": 1, "d": 1}
+
+
+def test_json_parts_are_folders(spark, tmp_path):
+    rows = [("a", "1", 0), ("b", "2", 3), ("c", "3", 3)]
+    sources.write_kv_json(spark.createDataFrame(rows, "key string, value string, part long"), str(tmp_path / "o"), "part")
+    assert sorted(p.name for p in (tmp_path / "o").glob("part=*")) == ["part=0", "part=3"]
+    assert sorted(map(tuple, sources.kv_json(spark, str(tmp_path / "o" / "part=3")).collect())) == [("b", "2"), ("c", "3")]
+
+
+def trie_number(key, splits):
+    """The number by walking the bytes: brackets of a first-byte level, then of a second that looks at it again."""
+    if not key:
+        return 0
+    key, splits = key.encode(), [s.encode() for s in splits]
+    below = lambda x: sum(s < x for s in splits)
+    c = key[0]
+    after = bytes([c, c + 1]) if c < 255 else bytes([c]) + b"\xff" * 9
+    return max(min(below(key), below(after)), below(bytes([c, c])))
+
+
+def test_trie_ranges_of_bytes_beyond_ascii(spark):
+    splits = sorted(["é", "éa", "éé", "漢", "漢字", "a", "aé", "\U0001f600", "\U0001f600x", "ÿ", "z"], key=str.encode)
+    keys = ["", "é", "éz", "漢", "漢a", "字", "\U0001f600", "\U0001f600y", "\U0010ffff", "ÿÿ", "a", "aa", "ab", "b", "zz"]
+    df = spark.createDataFrame([(k,) for k in keys], "key string").select("key", fn.trie_partition(F.col("key"), splits).alias("p"))
+    assert {r.key: r.p for r in df.collect()} == {k: trie_number(k, splits) for k in keys}
+
+
 def test_a_task_that_fails_once_is_run_again(spark):
     def once(batches):
         from pyspark import TaskContext
