@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..storage import new_table
 from . import _bytes as B
-from ._shared import scratch_dir
 
 #: Bytes of text in a block; texts are deflated, so that a block is a few MB. Rows of a block.
 BLOCK_BYTES = 12 << 20
@@ -52,9 +51,9 @@ def pack(docs: DataFrame, text_col: str) -> DataFrame:
     """A table (block, rows) of docs, dealt to files by block: a join on block moves only the other side."""
     spark = docs.sparkSession
     packed = docs.mapInArrow(_pack(docs.columns.index(text_col)), "block long, rows binary")
-    name = f"quern_blocks_{uuid.uuid4().hex}"
+    name, path = new_table(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "block").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    packed.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch_dir, stored  # noqa: F401
+from ..storage import drop_since, mark, stored
 
 #: The characters that separate words and that exact comparison ignores.
 SPACES = r"[\x20\x09-\x0D]"
@@ -13,6 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A group is hot if it holds more than one row in so many; hence there are fewer hot groups than this.
 HOT_SHARE = 1000
 
+
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """An error unless id_col holds whole numbers."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must hold whole numbers, not {kind}: number the rows first")
+
+
 def with_free_names(df: DataFrame, wanted: list[str]) -> dict[str, str]:
     """For each wanted work column, a name that df does not have (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
@@ -51,9 +59,11 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     Large star and small star alternate until the edges are stars. Each is a minimum by vertex (combined
     before the shuffle), which is written, and a join with it: by broadcast while it is small, later by
     shuffle, where Spark splits the rows of vertices with very many edges. Edges are written to the shared
-    folder each time and never come to the driver.
+    folder each time, where a round's tables go when the next one's are there, and never come to the driver.
     """
+    spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    first = mark(spark)
     e = stored(e, name)
     print_of = lambda x: x.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(38,0)"))).first()
     least_of = lambda x: stored(x.groupBy("a").agg(F.min("b").alias("m")), name)
@@ -70,6 +80,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         # Small star: a vertex and its smaller neighbours go to the least of these.
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        drop_since(spark, first, e)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import components, join_groups, linked_classes, stored, with_free_names
+from ._shared import components, join_groups, linked_classes, stored, whole_ids, with_free_names
 
-#: Rows of the incidence matrix in a block.
-BLOCK_ROWS = 1024
+#: Rows of the incidence matrix in a block, and entries: more than so many on average, and blocks have fewer rows.
+BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1 << 21
+#: Keys that a task holds until those of several sets become one row.
+HELD_KEYS = 1 << 21
 #: n-grams in so many texts or more, of so many bytes of text that follow one another, may be common ones, of
 #: which there are so many at most.
 LOCAL, COUNTED, MOST_COMMON = 4, 8 << 20, 200_000
@@ -92,14 +95,14 @@ def block_keys(grams: np.ndarray, count: np.ndarray, num: int, den: int, common:
     return who, np.concatenate([key[filled], thin_key])
 
 
-def overlaps(grams: list[np.ndarray], left: int) -> np.ndarray:
+def overlaps(column: np.ndarray, size: np.ndarray, left: int) -> np.ndarray:
     """The product of the incidence matrix's first left rows with the transpose of the others (of all
-    rows, if left is their number): how many n-grams each pair of sets shares."""
-    size = np.array([len(g) for g in grams])
-    row = np.repeat(np.arange(len(grams)), size)
-    right = 0 if left == len(grams) else left
-    out = np.zeros((left, len(grams) - right), np.float32)
-    _, column, many = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    rows, if left is their number): how many n-grams each pair of sets shares. column has the rows' entries
+    one after the other, size their numbers. Counts are whole numbers: exact whatever the sizes."""
+    row = np.repeat(np.arange(len(size)), size)
+    right = 0 if left == len(size) else left
+    out = np.zeros((left, len(size) - right), np.int32)
+    many = np.bincount(column)
     rare, dense = (many >= 2) & (many < DENSE), np.flatnonzero(many >= DENSE)
     keep = rare[column]
     order = np.argsort(column[keep], kind="stable")
@@ -118,12 +121,21 @@ def overlaps(grams: list[np.ndarray], left: int) -> np.ndarray:
     at = where[column]
     for lo in range(0, len(dense), 4096):
         own = (at >= lo) & (at < lo + 4096)
-        m = np.zeros((len(grams), min(4096, len(dense) - lo)), np.float32)
+        m = np.zeros((len(size), min(4096, len(dense) - lo)), np.float32)
         m[row[own], at[own] - lo] = 1
-        out += m[:left] @ m[right:].T
+        out += (m[:left] @ m[right:].T).astype(np.int32)  # up to 4096 in each chunk: exact in float32
     return out
 
 
+def linked(both: np.ndarray, size: np.ndarray, left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose overlaps are at least num / den of their unions, by whole numbers; of one block, x < y."""
+    right = 0 if left == len(size) else left
+    total = size[:left, None] + size[None, right:]
+    x, y = np.nonzero((den + num) * both.astype(np.int64) >= num * total)
+    y = y + right
+    return (x, y) if right else (x[x < y], y[x < y])
+
+
 def _signatures(width: int):
     """Of each text its size and two sums of hashes; and the n-grams (g, c) that are in LOCAL texts or more
     of some COUNTED bytes of text that follow one another."""
@@ -180,44 +192,109 @@ def common_grams(often: DataFrame) -> np.ndarray:
 
 
 def _keys(width: int, num: int, den: int, common):
-    """common: a broadcast of at most MOST_COMMON numbers."""
+    """Keys of sets (key, id), but of sets that have a key in common in one task, up to HELD_KEYS at a time, only of
+    the least id; the others are told as connected with it (key null, id, m). common: a broadcast of at most
+    MOST_COMMON numbers."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, at in B.text_batches(b.column(1), 1 << 20):
+        held, count = [], 0
+
+        def met() -> pa.RecordBatch:
+            key, id_ = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((id_, key))
+            key, id_ = key[order], id_[order]
+            new = np.append(True, key[1:] != key[:-1])
+            least = id_[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            a, b = id_[id_ != least], least[id_ != least]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            a, b = a[once], b[once]
+            # Connections have keys of their own, so that they are dealt evenly.
+            keys = np.append(key[new], B.mixed(a.astype(B.U) ^ B.mixed(b.astype(B.U), 30), 31)).view(np.int64)
+            m = pa.array(np.append(least[new], b), mask=np.append(np.ones(int(new.sum()), bool), np.zeros(len(a), bool)))
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.append(least[new], a)), m], ["key", "id", "m"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, data, at in B.text_batches(batch.column(1), 1 << 20):
                 who, key = block_keys(*B.shingle_sets(data, at, width), num, den, common.value)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).slice(i, j - i).take(pa.array(who))], ["key", "id"])
+                if len(key):
+                    held.append((key, ids[i:j][who]))
+                    count += len(key)
+                if count >= HELD_KEYS:
+                    yield met()
+                    held, count = [], 0
+        if held:
+            yield met()
 
     return f
 
 
-def _product(width: int, num: int, den: int):
+def _found(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of linked rows a count of the documents they are linked with, and one connection."""
+    links = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
+    root = B.roots(len(ids), x, y)
+    has = np.flatnonzero(links)
+    return {"id": ids[has], "links": links[has].astype(np.int64), "root": ids[root[has]]}
+
+
+def _pack(ids: np.ndarray, weight: np.ndarray, grams: np.ndarray, size: np.ndarray) -> bytes:
+    """A block of the incidence matrix, deflated: its distinct n-grams once, and each row's by their numbers."""
+    u, at = np.unique(grams, return_inverse=True)
+    parts = {"ids": ids, "weight": weight, "size": size, "u": u.view(np.int64), "at": at.astype(np.int32)}
+    out = io.BytesIO()
+    row = pa.record_batch({k: pa.ListArray.from_arrays(np.array([0, len(v)], np.int32), pa.array(v)) for k, v in parts.items()})
+    with pa.ipc.new_stream(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(row)
+    return out.getvalue()
+
+
+def _unpack(block: bytes) -> dict[str, np.ndarray]:
+    with pa.ipc.open_stream(block) as r:
+        row = r.read_next_batch()
+    return {k: row.column(k).flatten().to_numpy() for k in row.schema.names}
+
+
+WORK = "id long, links long, root long, block long, level int, cut int, rows binary"
+
+
+def _sets(width: int, num: int, den: int):
+    """Of a bin of small families its links; of a block of a large one (cut not null) the packed rows."""
+
     def f(group: pa.Table) -> pa.Table:
-        group = group.sort_by("side")
-        side, weight = group.column("side").to_numpy(), group.column("weight").to_numpy()
-        grams = []
-        for _, _, data, at in B.text_batches(group.column("text")):
-            g, count = B.shingle_sets(data, at, width)
-            grams += np.split(g, np.cumsum(count)[:-1])
-        left = int((side == 0).sum())
-        both = overlaps(grams, left)
-        size = np.array([len(g) for g in grams])
-        right = 0 if left == len(grams) else left
-        total = size[:left, None] + size[None, right:]
-        x, y = np.nonzero((den + num) * both >= num * total)
-        y = y + right
-        if not right:
-            x, y = x[x < y], y[x < y]
-        links = np.bincount(x, weight[y], len(grams)) + np.bincount(y, weight[x], len(grams))
-        root = B.roots(len(grams), x, y)
-        has = np.flatnonzero(links)
-        ids = group.column("id").combine_chunks() if isinstance(group.column("id"), pa.ChunkedArray) else group.column("id")
-        return pa.table({"id": ids.take(pa.array(has)), "links": pa.array(links[has].astype(np.int64)), "root": ids.take(pa.array(root[has]))})
+        ids, weight = group.column("id").to_numpy(), group.column("weight").to_numpy()
+        parts = [B.shingle_sets(data, at, width) for _, _, data, at in B.text_batches(group.column("text"), 1 << 20)]
+        grams, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        block, level, cut = (group.column(k)[0].as_py() for k in ("block", "level", "cut"))
+        if cut is None:
+            column = np.unique(grams, return_inverse=True)[1]
+            told = _found(ids, weight, *linked(overlaps(column, size, len(size)), size, len(size), num, den))
+            empty = {"block": pa.int64(), "level": pa.int32(), "cut": pa.int32(), "rows": pa.binary()}
+            return pa.table({**told, **{k: pa.nulls(len(told["id"]), t) for k, t in empty.items()}})
+        none = {k: pa.nulls(1, pa.int64()) for k in ("id", "links", "root")}
+        own = {"block": pa.array([block]), "level": pa.array([level], pa.int32()), "cut": pa.array([cut], pa.int32()), "rows": pa.array([_pack(ids, weight, grams, size)])}
+        return pa.table({**none, **own})
+
+    return f
+
+
+def _product(num: int, den: int):
+    """Links between two blocks, or within one."""
+
+    def f(pair: pa.Table) -> pa.Table:
+        packs = [_unpack(x.as_py()) for x in pair.sort_by("side").column("rows")]
+        both = {k: np.concatenate([p[k] for p in packs]) for k in ("ids", "weight", "size")}
+        u, at = np.unique(np.concatenate([p["u"] for p in packs]), return_inverse=True)
+        first = np.append(0, np.cumsum([len(p["u"]) for p in packs]))
+        column = np.concatenate([at[o : o + len(p["u"])][p["at"]] for o, p in zip(first, packs, strict=False)])
+        left, size = len(packs[0]["ids"]), both["size"]
+        return pa.table(_found(both["ids"], both["weight"], *linked(overlaps(column, size, left), size, left, num, den)))
 
     return f
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """For each row: id_col, n_shingles, n_links, component_id. Exact: no link is missed, whatever the size.
 
     Two documents link if the Jaccard similarity of their sets of width-word shingles is at least num / den.
@@ -225,19 +302,23 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
 
     1. Equal sets are one class (two 64-bit sums of hashes and the size), so copies cost one row each.
     2. n-grams that are in very many texts are counted, over all texts. block_keys gives keys, without these,
-       that any two linked sets share; sets with a common key, and those they are connected with, are a block of rows of the incidence matrix. Only the least id of a key is linked
-       to the others, never all pairs.
-    3. Large blocks are sorted by set size and cut into blocks of block_rows; a pair of these is left out
-       if the sizes alone keep it below the bound. Small ones are put together.
-    4. Each pair of blocks is a sparse matrix product in one task, which adds up overlap counts of the
+       that any two linked sets share. Sets of one task with a common key are connected there, so that a key has few
+       rows, whatever its number of sets; then only the least id of a key is linked to the others, never all pairs.
+       Connected sets are a family.
+    3. Small families are put together. Of large ones, sets are dealt by level of size and hash of the id to blocks of
+       about block_rows rows and block_entries entries; no set is linked beyond the next level. A block's rows are packed
+       once: its texts do not move again.
+    4. Each block with itself and each pair of blocks of one family and of levels next to each other is a sparse matrix
+       product in one task, which adds up overlap counts of the
        whole sets and drops pairs below size-derived bounds. Links come back as a count and one connection
        for each row.
 
     Texts that are null or without words have empty sets and link with nothing; their component is their
-    own id. A row with a null id links with nothing and has a null component. Ids should be unique: rows
-    that share one count as one vertex. Very long texts are read whole. An empty table gives no rows;
-    other columns are not looked at.
+    own id. A row with a null id links with nothing and has a null component. Ids are whole numbers (others are an
+    error) and should be unique: rows that share one count as one vertex. Very long texts are read whole. An empty
+    table gives no rows; other columns are not looked at, so their names do not clash. Runs jobs when called.
     """
+    whole_ids(docs, id_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = stored(own.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, g long, c long"), "jaccard-rows")
     rows = seen.filter("g is null").drop("g", "c")
@@ -246,43 +327,58 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     classes = rows.filter("id is not null and n > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes, "jaccard-classes")
 
-    keys = own.filter("id is not null and text is not null").mapInArrow(_keys(width, num, den, common), "key long, id long")
+    keys = own.filter("id is not null and text is not null").mapInArrow(_keys(width, num, den, common), "key long, id long, m long")
     least = F.min("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = keys.withColumn("m", least).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
-    near = near.join(classes.select(F.col("rep").alias("a")), "a", "left_semi")
-    blocks = components(near, "jaccard-near").withColumnRenamed("component", "block")
-
-    in_block = classes.join(blocks, F.col("rep") == F.col("id")).select("id", "n", "weight", "block")
-    place = F.row_number().over(Window.partitionBy("block").orderBy("n", "id")) - 1
-    in_block = stored(in_block.withColumn("cut", F.floor(place / block_rows).cast("long")), "jaccard-block")
-    cuts = in_block.groupBy("block", "cut").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("rows"))
-    several = cuts.groupBy("block").agg(F.max("cut").alias("last"), F.sum("rows").alias("rows"))
-    bins = max(1, (in_block.count() // block_rows) * 2)
-    small = in_block.join(several.filter("last = 0").select("block"), "block", "left_semi")
-    small = small.select("id", "weight", F.struct(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("block"), F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")).alias("product"), F.lit(0).alias("side"))
-    large = cuts.join(several.filter("last > 0").select("block"), "block", "left_semi")
-    x, y = large.alias("x"), large.alias("y")
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.cut") <= F.col("y.cut")) & (F.col("x.hi") * den >= F.col("y.lo") * num))
-    pairs = pairs.select(F.col("x.block").alias("block"), F.struct(F.col("x.block").alias("block"), F.col("x.cut").alias("x"), F.col("y.cut").alias("y")).alias("product"))
-    ends = pairs.select("block", "product", F.explode(F.array_distinct(F.array("product.x", "product.y"))).alias("cut"))
-    big = in_block.join(ends, ["block", "cut"]).select("id", "weight", "product", F.when(F.col("cut") == F.col("product.x"), 0).otherwise(1).alias("side"))
-    work = small.unionByName(big).groupBy("id", "weight").agg(F.collect_list(F.struct("product", "side")).alias("work"))
-    texts = own.join(stored(work, "jaccard-work"), "id").withColumn("w", F.explode("work"))
-    texts = texts.select("id", "weight", "text", F.col("w.product").alias("product"), F.col("w.side").alias("side"))
-    found = texts.groupBy("product").applyInArrow(_product(width, num, den), "id long, links long, root long")
-
+    near = keys.withColumn("m", F.coalesce("m", least)).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    families = components(near, "jaccard-near").withColumnRenamed("component", "block")
+
+    members = stored(classes.join(families, F.col("rep") == F.col("id")).select("id", "n", "weight", "block"), "jaccard-members")
+    count, entries, most = members.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    levels = size_levels(most or 0, num, den).tolist()
+    members = members.withColumn("level", F.size(F.filter(F.array(*map(F.lit, levels)), lambda x: x <= F.col("n"))).cast("int"))
+    sizes = members.groupBy("block", "level").agg(F.count("*").alias("rows"), F.sum("n").alias("entries"))
+    needed = lambda r, e: F.greatest(F.ceil(r / block_rows), F.ceil(e / block_entries)).cast("int")
+    family = Window.partitionBy("block")  # a row for each level
+    sizes = sizes.withColumn("small", needed(F.sum("rows").over(family), F.sum("entries").over(family)) == 1)
+    sizes = stored(sizes.withColumn("cuts", needed(F.col("rows"), F.col("entries"))), "jaccard-sizes")
+    bins = max(1, 2 * count // block_rows, 2 * (entries or 0) // block_entries)
+    dealt = join_groups(members, sizes, ["block", "level"], "rows", count)
+    small = lambda a, b: F.when(F.col("small"), a).otherwise(b)
+    dealt = dealt.select(
+        "id", "weight",
+        small(F.pmod(F.xxhash64("block"), F.lit(bins)), F.col("block")).alias("block"),
+        small(F.lit(None), F.col("level")).cast("int").alias("level"),
+        small(F.lit(None), F.pmod(F.xxhash64("id"), F.col("cuts"))).cast("int").alias("cut"),
+    )
+    texts = own.join(stored(dealt, "jaccard-dealt"), "id")
+    work = stored(texts.groupBy("block", "level", "cut").applyInArrow(_sets(width, num, den), WORK), "jaccard-work")
+
+    packs = work.filter("rows is not null").select("block", "level", "cut", "rows")
+    x, y = (packs.select("block", *[F.col(k).alias(f"{k}{side}") for k in ("level", "cut")]) for side in (0, 1))
+    meet = (F.col("level1") == F.col("level0") + 1) | ((F.col("level1") == F.col("level0")) & (F.col("cut0") <= F.col("cut1")))
+    pairs = x.join(y, "block").filter(meet)
+    ends = F.array_distinct(F.array(*[F.struct(F.col(f"level{i}").alias("level"), F.col(f"cut{i}").alias("cut")) for i in (0, 1)]))
+    of = ["block", "level0", "cut0", "level1", "cut1"]
+    sides = pairs.select(*of, F.posexplode(ends).alias("side", "end")).select(*of, "side", "end.level", "end.cut")
+    products = packs.join(sides, ["block", "level", "cut"]).select(*of, "side", "rows")
+    found = products.groupBy(*of).applyInArrow(_product(num, den), "id long, links long, root long")
+
+    found = found.unionByName(work.filter("rows is null").select("id", "links", "root"))
     told = linked_classes(classes, found, "jaccard-found")
     told = stored(told.select(*sets, "weight", "n_links", "component"), "jaccard-told")
     valid = rows.filter("id is not null and n > 0")
-    linked = join_groups(valid, told, sets, "weight", rows.count()).select("id", "n", "n_links", "component")
+    linked_rows = join_groups(valid, told, sets, "weight", rows.count()).select("id", "n", "n_links", "component")
     alone = rows.filter("id is null or n = 0").select("id", "n", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    out = linked.unionByName(alone)
+    out = linked_rows.unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "n_links", F.col("component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one document of each component stays, the one with the smallest id.
-    Rows with a null id stay."""
+
+    Rows with a null id stay, and so do those with null, empty or white texts. Of repeated rows all stay or none.
+    Whole texts are compared, however long; ids are whole numbers. An empty table gives no rows. All columns are kept;
+    work columns take names that docs does not have."""
     x = with_free_names(docs, ["gone"])["gone"]
-    gone = jaccard_classes(docs, width, num, den, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(x))
+    gone = jaccard_classes(docs, width, num, den, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(x)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(x), "left_anti")

@@ -91,6 +91,45 @@ def test_jaccard_is_exact(spark, width, num, den):
     assert {tuple(r) for r in got} == brute_jaccard(list(enumerate(texts)), width, num, den) and len(got) == len(texts)
 
 
+def test_a_long_text_is_a_block_of_its_own(spark):
+    texts = near_copies(3, 20)
+    got = jaccard_join.jaccard_classes(docs(spark, texts), 3, 9, 10, block_rows=50, block_entries=20_000).collect()
+    assert {tuple(r) for r in got} == brute_jaccard(list(enumerate(texts)), 3, 9, 10)
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 21])
+def test_keys_are_met_in_the_task(spark, monkeypatch, held):
+    monkeypatch.setattr(jaccard_join, "HELD_KEYS", held)
+    texts = near_copies(7, 25)
+    got = jaccard_join.jaccard_classes(docs(spark, texts).repartition(3), 5, 4, 5, block_rows=25).collect()
+    assert {tuple(r) for r in got} == brute_jaccard(list(enumerate(texts)), 5, 4, 5)
+
+
+def test_a_family_of_many_distinct_sets(spark):
+    """20,000 sets that share all words but one: each is linked with all others."""
+    n, common = 20_000, " ".join(f"w{i}" for i in range(40))
+    texts = spark.range(n, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit(common + " x"), F.col("id").cast("string")).alias("text"))
+    got = jaccard_join.jaccard_classes(texts, 1, 9, 10).groupBy("n_shingles", "n_links", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(41, n - 1, 0, n)]
+
+
+def test_overlaps_are_whole_numbers():
+    """Pairs exactly at the bound, of sets so large that float32 would round."""
+    shared = 900_011
+    both, size = np.array([[0, 19 * shared], [0, 0]]), np.array([20 * shared - 0, 19 * shared])
+    x, y = jaccard_join.linked(both[:1, 1:], size, 1, 19, 20)
+    assert (x.tolist(), y.tolist()) == ([0], [1])
+    assert not len(jaccard_join.linked(both[:1, 1:] - 1, size, 1, 19, 20)[0])
+    column = np.concatenate([np.arange(6000), np.arange(2000, 9000)] * 5)
+    got = jaccard_join.overlaps(column, np.array([6000, 7000] * 5), 10)
+    assert got[0, 1] == 4000 and got[0, 2] == 6000 and got[1, 3] == 7000 and got.dtype.kind == "i"
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        jaccard_join.jaccard_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_jaccard_odd_rows(spark):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in odd_rows()], "doc_id long, text string, n int, component_id int")
     got = jaccard_join.jaccard_classes(df).collect()
