@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import join_groups, linked_classes, stored
+from ._shared import join_groups, linked_classes, stored, whole_ids
 
 #: Leading principal dimensions that are kept for the grid and the bounding boxes.
 DIMENSIONS = 12
-#: Dimensions whose cells two blocks must share, or be next to each other in, to meet.
-MEET = 3
-#: Bytes of a block of the sequence, as doubles, and rows below which an interval is not cut further.
-BLOCK_BYTES = 8 << 20
-LEAF = 256
+#: Numbers of the vectors that the axes are fitted on: rows x dimensions, at most.
+SAMPLE_NUMBERS = 1 << 20
+#: Bytes of a block of the sequence, blocks that there should be at least, and rows below which an interval is not
+#: cut further.
+BLOCK_BYTES, LEAST_BLOCKS, LEAF = 8 << 20, 8, 512
+#: Blocks, and then intervals of blocks, that make an interval of the next level.
+FAN = 8
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -32,26 +34,15 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _moments(d: int):
-    """Sums of x and of x times x, a row for each place, of what a task reads."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d + 1, d + 1))
-        for b in batches:
-            if b.num_rows:
-                x = np.hstack([unit(_matrix(b.column(0), d)), np.ones((b.num_rows, 1))])
-                total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
-
-    return f
-
-
-def principal(vectors: DataFrame, d: int, leading: int = DIMENSIONS) -> np.ndarray:
-    """The leading eigenvectors of all vectors' covariance: d x d numbers come to the driver, whatever the rows."""
-    sums = vectors.select("v").mapInArrow(_moments(d), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()
-    m = np.array([r["value"] for r in sums]).reshape(d + 1, d + 1)
-    mean = m[d, :d] / max(m[d, d], 1)
-    return np.linalg.eigh(m[:d, :d] / max(m[d, d], 1) - np.outer(mean, mean))[1][:, ::-1][:, :leading].copy()
+def principal(vectors: DataFrame, d: int, leading: int = DIMENSIONS, numbers: int = SAMPLE_NUMBERS) -> np.ndarray:
+    """The leading principal axes of a sample: the numbers // d vectors (at least leading + 1) whose ids have the least
+    hashes, so the same ones each time. Any axes are right; these make the boxes small."""
+    rows = max(numbers // d, leading + 1)
+    sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(rows).select("v").toArrow().column(0)
+    x = unit(_matrix(sample.combine_chunks(), d))
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:leading]
+    # Fewer vectors than axes: any axes at right angles to these.
+    return np.linalg.qr(np.vstack([axes, np.eye(d)]).T)[0][:, :leading].copy()
 
 
 def _cells(axes: np.ndarray, eps: float):
@@ -78,7 +69,7 @@ def _blocks(axes: np.ndarray, rows: int):
             at = unit(m) @ axes
             as_list = lambda y: pa.array([y.tolist()], pa.list_(pa.float64()))
             ids, weights = (x.column(k).to_numpy().astype(np.int64).tobytes() for k in ("rep", "weight"))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), as_list(at.min(0)), as_list(at.max(0)), pa.array([ids]), pa.array([weights]), pa.array([m.astype(np.float64).tobytes()])], ["id", "lo", "hi", "reps", "weights", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), as_list(at.min(0)), as_list(at.max(0)), pa.array([ids]), pa.array([weights]), pa.array([m.tobytes()])], ["part", "n", "lo", "hi", "reps", "weights", "data"])
 
         for b in batches:
             held.append(b)
@@ -95,6 +86,31 @@ def _blocks(axes: np.ndarray, rows: int):
     return f
 
 
+def meeting_blocks(boxes: DataFrame, far: float, fan: int = FAN) -> DataFrame:
+    """Pairs (a, b) of blocks, a <= b, whose boxes (id, lo, hi; id: place in the sequence) are not provably more than
+    the square root of far apart.
+
+    The sequence is joined with itself recursively: fan blocks that follow one another are an interval, with the box
+    around theirs, fan intervals one of the next level, up to a single one. From there down, a pair of intervals
+    that are not distant becomes the pairs of their parts, and distant ones are skipped with all that is in them. Each
+    level is a join on the interval, dealt over all tasks; no pair is looked at whose intervals are distant."""
+    levels = [boxes]
+    count, dims = boxes.agg(F.count("*"), F.max(F.size("lo"))).first()
+    ends = lambda k, f: F.array(*[f(F.col(k)[i]) for i in range(dims)]).alias(k)
+    while count > 1:
+        up = levels[-1].groupBy(F.floor(F.col("id") / fan).cast("long").alias("id")).agg(ends("lo", F.min), ends("hi", F.max))
+        levels.append(stored(up, "ego-boxes"))
+        count = -(-count // fan)
+    pairs = levels[-1].select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for x in levels[-2::-1]:
+        part = lambda side: x.select(F.floor(F.col("id") / fan).cast("long").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in x.columns])  # noqa: B023, E731
+        apart = F.zip_with(F.zip_with("a_lo", "b_hi", lambda p, q: p - q), F.zip_with("b_lo", "a_hi", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+        near = F.aggregate(apart, F.lit(0.0), lambda s, g: s + g * g) <= far
+        down = pairs.join(part("a"), "a").join(part("b"), "b").filter("a_id <= b_id").filter(near)
+        pairs = stored(down.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "ego-pairs")
+    return pairs
+
+
 def join_intervals(x: np.ndarray, y: np.ndarray, axes: np.ndarray, cosine: float, same: bool, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of x and y (unit vectors, in grid order) with a cosine of at least cosine; with
     same, x is y and i < j. Intervals are halved until they are short, and left out once their bounding
@@ -110,6 +126,9 @@ def join_intervals(x: np.ndarray, y: np.ndarray, axes: np.ndarray, cosine: float
         return boxes[k, a, b]
 
     found = []
+    # Products are screened in single precision, with room for its rounding, and decided in double precision.
+    fx, fy = x.astype(np.float32), y.astype(np.float32)
+    least = np.float32(cosine - (x.shape[1] + 16) * 2.0**-23)
     stack = [(0, len(x), 0, len(y))]
     while stack:
         a, b, c, d = stack.pop()
@@ -120,9 +139,14 @@ def join_intervals(x: np.ndarray, y: np.ndarray, axes: np.ndarray, cosine: float
         if gap @ gap > far:
             continue
         if b - a <= leaf and d - c <= leaf:
-            i, j = np.nonzero(x[a:b] @ y[c:d].T >= cosine)
-            i, j = i + a, j + c
-            found.append((i[i < j], j[i < j]) if same else (i, j))
+            hit = np.flatnonzero(fx[a:b] @ fy[c:d].T >= least)
+            i, j = hit // (d - c) + a, hit % (d - c) + c
+            if same:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 1 << 16):
+                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                good = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
+                found.append((p[good], q[good]))
         elif b - a >= d - c:
             m = (a + b) // 2
             stack += [(a, m, c, d), (m, b, c, d)]
@@ -134,12 +158,14 @@ def join_intervals(x: np.ndarray, y: np.ndarray, axes: np.ndarray, cosine: float
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def _join(axes: np.ndarray, cosine: float):
+def _join(axes: np.ndarray, cosine: float, kind: str):
+    """Links between two blocks, or within one, whose vectors' components are of kind."""
+
     def f(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")
-        read = lambda k, kind: [np.frombuffer(v.as_py(), kind) for v in group.column(k)]
+        read = lambda k, of: [np.frombuffer(v.as_py(), of) for v in group.column(k)]
         reps, weights = read("reps", np.int64), read("weights", np.int64)
-        m = [unit(v.reshape(-1, len(axes))) for v in read("data", np.float64)]
+        m = [unit(v.reshape(-1, len(axes))) for v in read("data", kind)]
         same = len(m) == 1
         i, j = join_intervals(m[0], m[-1], axes, cosine, same)
         ids, weight = (reps[0], weights[0]) if same else (np.concatenate(reps), np.concatenate(weights))
@@ -152,58 +178,57 @@ def _join(axes: np.ndarray, cosine: float):
     return f
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """One row for each vector: id_col, n_links, component_id, kept. Exact, in double precision.
 
     Vectors link if their cosine is at least cosine (over 0). For unit vectors this is a distance, eps.
     Equal vectors are one row with a weight. The others are sorted by their cells, of width eps, on the
-    leading principal dimensions of all vectors (epsilon grid order), range by range over all tasks, and cut
-    into blocks of block_bytes. Blocks meet on the cells of the first MEET dimensions and only if their bounding
-    boxes are within eps; there, intervals of the sequence are joined recursively and those that are
-    provably distant skipped, so only short intervals are multiplied. Each task returns a count and a
+    leading principal dimensions (epsilon grid order; the axes are fitted on a sample of SAMPLE_NUMBERS numbers), range
+    by range over all tasks, and cut into blocks of up to block_bytes. meeting_blocks joins intervals of the
+    sequence of blocks recursively, skipping provably distant ones; join_intervals goes on in the same way within two
+    blocks, so only short intervals are multiplied. Each task returns a count and a
     connection for each vector, not pairs.
 
+    What is skipped depends on the vectors: if the leading dimensions keep them apart, most blocks; if they spread
+    evenly in very many dimensions, no boxes are distant and the work is that of all pairs of blocks.
+
     Null, empty and zero vectors and those with null or non-finite components link with nothing and are
     their own component; so does a null id, with a null component. Vectors of different lengths do not
-    link. Ids should be unique: rows that share one count as one vertex. An empty table gives no rows;
-    other columns, labels included, are not looked at.
+    link. Ids are whole numbers (others are an error) and should be unique: rows that share one count as one vertex. An
+    empty table gives no rows; other columns, labels included, are not looked at. Runs jobs when called.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be over 0, up to 1")
+    whole_ids(vectors, id_col)
     eps = float(np.sqrt(2 - 2 * cosine)) or 1e-3
+    far = 2 - 2 * cosine + 1e-9
     v = F.col(vector_col)
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    v = v if single else v.cast("array<double>")
     good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
     classes = rows.filter("good").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes.withColumn("d", F.size("v")), "ego-classes")
     found = None
     for d, n in [tuple(r) for r in classes.groupBy("d").count().collect()]:
         own = classes.filter(F.col("d") == d).select("rep", "weight", "v")
         axes = principal(own, d, min(d, DIMENSIONS))
-        size = max(LEAF, block_bytes // (8 * d))
+        size = max(min(-(-n // LEAST_BLOCKS), block_bytes // ((4 if single else 8) * d)), min(LEAF, n))
         cells = own.mapInArrow(_cells(axes, eps), own.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ") + ", cell array<int>")
         parts = max(1, round(n / size))
         ordered = cells.repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep")
-        blocks = ordered.drop("cell").mapInArrow(_blocks(axes, size), "id long, lo array<double>, hi array<double>, reps binary, weights binary, data binary")
+        blocks = ordered.drop("cell").mapInArrow(_blocks(axes, size), "part long, n long, lo array<double>, hi array<double>, reps binary, weights binary, data binary")
         blocks = stored(blocks, "ego-blocks")
-        head = blocks.select("id", "lo", "hi")
-        # Blocks meet on cells of the first dimensions; on one side, bounds reach one cell further.
-        dims = min(MEET, d)
-
-        def cells_of(side: str, reach: int) -> DataFrame:
-            x = head.select(F.col("id").alias(side), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi"))
-            for i in range(dims):
-                first, last = (F.floor(F.col(f"{side}_{k}")[i] / eps).cast("int") for k in ("lo", "hi"))
-                x = x.withColumn(f"c{i}", F.explode(F.sequence(first - reach, last + reach)))
-            return x
-
-        a, b = cells_of("a", 0), cells_of("b", 1)
-        gap = F.zip_with(F.zip_with("a_lo", "b_hi", lambda p, q: p - q), F.zip_with("b_lo", "a_hi", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
-        apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-        pairs = a.join(b, [f"c{i}" for i in range(dims)]).filter(F.col("a") <= F.col("b")).filter(apart <= 2 - 2 * cosine + 1e-9).select("a", "b").distinct()
+        # A block's place in the sequence: its place in the task, after the blocks of the tasks before.
+        tasks = blocks.groupBy("part").agg(F.count("*").alias("many"))
+        tasks = tasks.select("part", (F.sum("many").over(Window.orderBy("part")) - F.col("many")).alias("before"))
+        placed = blocks.join(F.broadcast(tasks), "part").withColumn("id", F.col("before") + F.col("n"))
+        boxes = stored(placed.select("id", "lo", "hi"), "ego-boxes")
+        pairs = meeting_blocks(boxes, far, fan)
         sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
-        work = blocks.select("id", "reps", "weights", "data").join(sides, "id").withColumn("side", (F.col("id") != F.col("a")).cast("int"))
-        part = work.select("a", "b", "side", "reps", "weights", "data").groupBy("a", "b").applyInArrow(_join(axes, cosine), "id long, links long, root long")
+        work = placed.select("id", "reps", "weights", "data").join(sides, "id").withColumn("side", (F.col("id") != F.col("a")).cast("int"))
+        work = work.select("a", "b", "side", "reps", "weights", "data").groupBy("a", "b")
+        part = work.applyInArrow(_join(axes, cosine, "f4" if single else "f8"), "id long, links long, root long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, links long, root long")

@@ -188,14 +188,16 @@ def brute_vectors(rows, cosine=0.9):
     return {(i, sum(i in e for e in links), comp[i], comp[i] == i) for i in ids}
 
 
-def test_vectors_are_exact(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_exact(spark, monkeypatch, kind):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 32)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 12))
     rows = [(i, (centres[i % 6] + rng.normal(size=12) * (0.1 + 0.4 * (i % 5) / 4)).astype(np.float32).tolist()) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(40)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 12), (2003, [float("nan")] * 12), (2004, [None] + [1.0] * 11), (2005, [float("inf")] * 12), (2006, [1e-40] * 12), (2007, [3e38] * 12), (2008, [1.0, 2.0]), (2009, [1.0, 2.1])]
-    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, v int, id string").repartition(4)
-    got = embedding_dedup.near_vectors(df, 0.9, block_bytes=12 * 8 * 64)
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, v int, id string").repartition(4)
+    got = embedding_dedup.near_vectors(df, 0.9, block_bytes=12 * 4 * 40, fan=3)
     assert {tuple(r) for r in got.collect()} == brute_vectors(rows)
     assert embedding_dedup.near_vectors(df.filter("false")).count() == 0
     assert embedding_dedup.near_vectors(df.filter("vec_id = 2000")).collect()[0].kept
@@ -203,6 +205,33 @@ def test_vectors_are_exact(spark):
         embedding_dedup.near_vectors(df, 0.0)
 
 
+def test_blocks_meet_as_their_boxes_say(spark):
+    rng = np.random.default_rng(5)
+    lo = np.sort(rng.random((90, 3)), axis=0) * 4
+    hi = lo + rng.random((90, 3)) * 0.3
+    boxes = spark.createDataFrame([(i, lo[i].tolist(), hi[i].tolist()) for i in range(90)], "id long, lo array<double>, hi array<double>").repartition(5)
+    got = sorted(map(tuple, embedding_dedup.meeting_blocks(boxes, 0.2, 4).collect()))
+    gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
+    want = [(a, b) for a, b in np.argwhere((gap**2).sum(2) <= 0.2).tolist() if a <= b]
+    assert got == want and len(want) < 90 * 91 / 6
+    assert [tuple(r) for r in embedding_dedup.meeting_blocks(boxes.filter("id = 0"), 0.2).collect()] == [(0, 0)]
+
+
+def test_clustered_vectors_meet_few_blocks(spark, monkeypatch):
+    """Vectors whose leading dimensions keep them apart: pairs of blocks grow as the blocks do, not as their square."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    rng, met = np.random.default_rng(6), []
+    real = embedding_dedup.meeting_blocks
+    monkeypatch.setattr(embedding_dedup, "meeting_blocks", lambda *a: met.append((a[0].count(), (out := real(*a)).count())) or out)
+    for n in (12, 48):
+        turn = rng.random(n) * 2 * np.pi
+        centres = np.stack([np.cos(turn), np.sin(turn), 2 * rng.random(n) - 1, 2 * rng.random(n) - 1], 1)
+        rows = [(i, (centres[i % n] + rng.normal(size=4) * 0.01).tolist()) for i in range(40 * n)]
+        embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.99, block_bytes=4 * 8 * 20, fan=4).count()
+    (few, some), (many, more) = met
+    assert many > 3 * few and more < 0.25 * many * many / 2 and some <= few * (few + 1) / 2
+
+
 def test_intervals_far_apart_are_left_out():
     rng = np.random.default_rng(3)
     x = embedding_dedup.unit(rng.normal(size=(900, 5)))
