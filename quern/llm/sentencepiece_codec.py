@@ -33,10 +33,33 @@ class Vocabulary:
     unknown: int
     prefix: bool
     own: dict[int, bytes] = field(default_factory=dict)
+    #: Of a model of merges, how many characters of each piece its last merge had on the left (1 character: 0; -1: merges
+    #: do not make the piece). None: a unigram model.
+    splits: list[int] | None = None
+
+
+def last_merges(pieces: list[str], scores: list[float], usable: list[int]) -> list[int]:
+    """Vocabulary.splits: each piece's own characters are merged, best score first, of equal ones the leftmost."""
+    score = {pieces[i]: scores[i] for i in usable}
+    splits = [-1] * len(pieces)
+    for i in usable:
+        parts = list(pieces[i])
+        split = 0
+        while len(parts) > 1:
+            pairs = [(-score[m], k) for k in range(len(parts) - 1) if (m := parts[k] + parts[k + 1]) in score]
+            if not pairs:
+                break
+            k = min(pairs)[1]
+            split = len(parts[k])
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(parts) == 1:
+            splits[i] = split
+    return splits
 
 
 def load(model_file: str) -> Vocabulary:
-    """Read a model file. Texts must not be changed before they are segmented (normaliser "identity")."""
+    """Read a model file, of unigrams or of merges (BPE). Texts must not be changed before they are segmented
+    (normaliser "identity"). Nothing is trained: pieces and scores are the file's."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
@@ -52,32 +75,111 @@ def load(model_file: str) -> Vocabulary:
     unknown = next(i for i, p in enumerate(m.pieces) if p.type == kind.UNKNOWN)
     own = {i: b"" for i, p in enumerate(m.pieces) if p.type == kind.CONTROL} | {i: bytes([b]) for b, i in by_byte.items()}
     own[unknown] = " ⁇ ".encode()
-    return Vocabulary([p.piece for p in m.pieces], scores, usable, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else None, unknown, m.normalizer_spec.add_dummy_prefix, own)
+    pieces, splits = [p.piece for p in m.pieces], None
+    if m.trainer_spec.model_type == pb.TrainerSpec.BPE:
+        if any(p.type == kind.USER_DEFINED for p in m.pieces):
+            raise ValueError("models of merges with user-defined pieces are not read")
+        splits = last_merges(pieces, scores, usable)
+        score = {pieces[i]: scores[i] for i in usable}
+        for i in usable:  # else merges do not come in the order of scores
+            if splits[i] > 0 and any(len(x) > 1 and score[x] < scores[i] for x in (pieces[i][: splits[i]], pieces[i][splits[i] :])):
+                raise ValueError("pieces that are merged must score better than what they make")
+    return Vocabulary(pieces, scores, usable, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else None, unknown, m.normalizer_spec.add_dummy_prefix, own, splits)
 
 
 class Encoder:
-    """Best segmentation of texts under the sum of piece scores (that of a unigram model).
+    """Segmentation of texts as the library does it: by the best sum of scores (unigram), or by merges (BPE).
 
     The automaton reads a text once. At each position its output links give all pieces that end there, the
     longest first; each relaxes the best score of the position by that of its own start. Of equal sums
     the one found first stays. A character that is no piece itself may stand alone for UNKNOWN_PENALTY
     below the worst piece, and becomes its bytes' pieces.
+
+    In a model of merges a score is the place of a merge, and sums of these mean nothing. There, a path is a segmentation
+    by merges if and only if any two neighbours in it are what merging gives of their characters. So a piece
+    relaxes a position only if it is compatible with the last piece of the best path to its start; exactly one
+    is, and is the last of the position's best path.
     """
 
     def __init__(self, v: Vocabulary):
         import ahocorasick
 
         self.v = v
+        usable = [i for i in v.usable if v.splits is None or v.splits[i] >= 0]
         self.automaton = ahocorasick.Automaton()
-        for i in v.usable:
+        for i in usable:
             self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i))
         self.automaton.make_automaton()
-        self.alone = {v.pieces[i] for i in v.usable if len(v.pieces[i]) == 1}
-        self.worst = min((v.scores[i] for i in v.usable), default=0.0) - UNKNOWN_PENALTY
+        self.alone = {v.pieces[i] for i in usable if len(v.pieces[i]) == 1}
+        self.worst = min((v.scores[i] for i in usable), default=0.0) - UNKNOWN_PENALTY
         # Pieces have spaces in front only: then no piece reaches over the end of a word and words are segmented by themselves.
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", v.pieces[i]) for i in v.usable)
+        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", v.pieces[i]) for i in usable)
         self.word = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.seen: dict[str, bytes] = {}
+        self.id_of = {v.pieces[i]: i for i in usable}
+        self.place = {v.pieces[i]: -v.scores[i] for i in usable}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.compatible: dict[int, bool] = {}
+        if v.splits is not None:
+            self.segment = self._by_merges
+
+    def _edge(self, i: int, right: bool) -> list[tuple[str, float]]:
+        """What the character at an end of piece i becomes, merge by merge, and the place of the merge that takes each."""
+        edge = self.edges[right].get(i)
+        if edge is None:
+            p, split = self.v.pieces[i], self.v.splits[i]
+            edge = [(p, float("inf"))]
+            if split:
+                part = self._edge(self.id_of[p[split:] if right else p[:split]], right)
+                edge = [*part[:-1], (part[-1][0], self.place[p]), *edge]
+            self.edges[right][i] = edge
+        return edge
+
+    def _fit(self, p: int, i: int) -> bool:
+        """Whether merging the characters of pieces p and i gives these two: no merge across the edge comes before
+        those that take what it would take. Of merges of one place the leftmost comes first."""
+        left, right, place = self._edge(p, True), self._edge(i, False), self.place
+        a = b = 0
+        while True:
+            (x, end_x), (y, end_y) = left[a], right[b]
+            across = place.get(x + y)
+            if across is not None and across < end_x and across <= end_y:
+                return False
+            if end_x <= end_y:
+                a += 1
+                if a == len(left):
+                    return True
+            else:
+                b += 1
+
+    def _by_merges(self, s: str) -> list[int]:
+        n = len(s)
+        last, size_of = [-1] * (n + 1), [1] * (n + 1)  # -1: a character without a piece
+        known, fit = self.compatible, self._fit
+        for end, (size, _, i) in self.automaton.iter(s):
+            end += 1
+            if last[end] >= 0:
+                continue
+            p = last[end - size]
+            if p >= 0:
+                good = known.get(p << 24 | i)
+                if good is None:
+                    if len(known) >= 10 * REMEMBERED:
+                        known.clear()
+                    good = known[p << 24 | i] = fit(p, i)
+                if not good:
+                    continue
+            last[end], size_of[end] = i, size
+        out: list[int] = []
+        while n:
+            i = last[n]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += reversed(self._unknown(s[n - 1]))
+            n -= size_of[n]
+        out.reverse()
+        return out
 
     def _unknown(self, c: str) -> list[int]:
         if self.v.byte_ids is None:
@@ -158,11 +260,11 @@ def _decode(model, place: int):
         for b in batches:
             out = []
             for ids in b.column(place):
-                ids = ids.values
+                ids = ids.as_py()
                 if ids is None:
                     out.append(None)
                     continue
-                text = b"".join([as_bytes[i] for i in ids.to_numpy(zero_copy_only=False).tolist()])
+                text = b"".join([as_bytes[i] if i is not None and 0 <= i < len(as_bytes) else as_bytes[v.unknown] for i in ids])
                 out.append((text[1:] if v.prefix and text[:1] == b" " else text).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "__text"])
 
@@ -178,24 +280,34 @@ def _with(df: DataFrame, f, col: str, new: str, kind: T.DataType) -> DataFrame:
 
 
 def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """docs with ids_col, the ids of each whole text's best segmentation.
+    """docs with ids_col, the ids of each whole text's segmentation (see Encoder).
 
     Null has null ids, the empty text none. Texts of any length are read once, from left to right. The
-    vocabulary, of a fixed size, is broadcast; a task remembers up to REMEMBERED words' pieces.
+    vocabulary, of a fixed size, is broadcast; a task remembers up to REMEMBERED words' pieces, and whether up to ten
+    times as many pairs of pieces are compatible.
     decode() gives each text back exactly if the model has pieces for bytes: a MARK in the text becomes bytes.
+    Repeated rows are coded each, an empty table gives no rows. All columns are kept, whatever their names; a column
+    ids_col must not exist.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vars(v))
     return _with(docs, lambda place: _encode(sent, place), text_col, ids_col, T.ArrayType(T.IntegerType()))
 
 
 def decode(docs: DataFrame, v: Vocabulary, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
-    """docs with text_col, the text that ids_col stands for; null has none."""
+    """docs with text_col, the text that ids_col stands for; null has none, an empty list the empty text.
+
+    A null in a list, or an id that the vocabulary does not have, is read as the unknown piece. Bytes that are no
+    UTF-8 become U+FFFD. Lists of any length are read whole, repeated rows each; an empty table gives no rows. All
+    columns are kept, whatever their names; a column text_col must not exist."""
     sent = docs.sparkSession.sparkContext.broadcast(vars(v))
     return _with(docs, lambda place: _decode(sent, place), ids_col, text_col, T.StringType())
 
 
 def codec_report(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_byte_tokens, ids_hash, decoded_sha256, exact: whether decoding gives the text back."""
+    """id_col, n_tokens, n_byte_tokens, ids_hash, decoded_sha256, exact: whether decoding gives the text back.
+
+    A row for each row of docs. A null text has no tokens, a null hash of its text, and is exact; an empty one has no
+    tokens. Texts are read whole, repeated rows each; an empty table gives no rows; other columns are not looked at."""
     both = decode(encode(docs.select(id_col, text_col), v, text_col), v)
     in_bytes = F.size(F.filter("token_ids", lambda i: i.between(min(v.byte_ids), max(v.byte_ids)))) if v.byte_ids else F.lit(0)
     return both.select(

@@ -212,6 +212,46 @@ def test_same_ids_as_the_library(tmp_path, byte_fallback):
             assert squeeze(ids) == lib.encode(t), t
 
 
+def by_merging(v, s):
+    """Merge neighbours, best score first, of equal ones the leftmost."""
+    score = {v.pieces[i]: (v.scores[i], i) for i in v.usable}
+    parts = list(s)
+    while pairs := [(-score[m][0], k) for k in range(len(parts) - 1) if (m := parts[k] + parts[k + 1]) in score]:
+        k = min(pairs)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [i for p in parts for i in ([score[p][1]] if p in score else [v.byte_ids[b] for b in p.encode()])]
+
+
+def test_merges_are_those_of_the_library():
+    import sentencepiece
+    from conftest import DATA as folder
+
+    v = sentencepiece_codec.load(queries.MODEL_FILE)
+    e = sentencepiece_codec.Encoder(v)
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    import pyarrow.parquet as pq
+
+    real = [t for t in pq.read_table(f"{folder}/documents.parquet").column("text").to_pylist() if t]
+    letters = random_texts(300, "aeinorst  ") + random_texts(100, "a ") + random_texts(100, "the and ing0123.,\n")
+    for t in [*real, *letters, *random_texts(200), "a" * 5000, "ab" * 3000, " " * 500, "\U0001f600 é 漢字"]:
+        ids = np.frombuffer(e.encode(t), np.int32).tolist()
+        assert ids == lib.encode(t), t[:80]
+        if 0 < len(t) < 200:
+            assert e.segment("▁" + t.replace(" ", "▁")) == by_merging(v, "▁" + t.replace(" ", "▁")) == ids
+
+
+def test_merges_out_of_order_are_an_error(tmp_path):
+    with pytest.raises(ValueError, match="score better"):
+        sentencepiece_codec.load(small_model(tmp_path / "m.model", bpe=True))
+
+
+def test_decode_of_odd_lists(spark):
+    v = sentencepiece_codec.load(queries.MODEL_FILE)
+    ids = v.pieces.index("▁a")
+    df = spark.createDataFrame([(1, [ids, None]), (2, [len(v.pieces) + 5, -1]), (3, None), (4, [])], "id long, token_ids array<int>")
+    assert [r.decoded for r in sentencepiece_codec.decode(df, v).orderBy("id").collect()] == ["a ⁇ ", "⁇  ⁇ ", None, ""]
+
+
 def test_best_of_all_segmentations(tmp_path):
     v = sentencepiece_codec.load(small_model(tmp_path / "m.model"))
     e = sentencepiece_codec.Encoder(v)
