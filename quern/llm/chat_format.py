@@ -10,6 +10,8 @@ from ._shared import WORD
 #: Tokens (words, and one for the marks of a turn) of new turns, and of repeated ones, in a window.
 BUDGET = 768
 HISTORY = 192
+#: Turns that are folded into windows at a time: a conversation's windows end there too, so no fold grows with it.
+PIECE = 256
 #: Marks of the template; roles and texts are escaped, so "<" is in marks only.
 OPEN, AGAIN, BETWEEN, CLOSE = "<turn ", "<again ", ">\n", "</turn>\n"
 
@@ -32,40 +34,61 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.replace(role, F.lit("&gt;"), F.lit(">")))
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row for each window of a conversation: conv_id, window, formatted, loss.
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, piece: int = PIECE) -> DataFrame:
+    """One row for each window of a conversation: conv_id, window (from 0), formatted, loss.
 
-    turns: conv_id, turn, role, text. A turn's tokens are its words and one; prefix sums of them choose
-    the spans: a turn belongs to window floor(tokens before it / budget), so a window's new turns hold
-    under budget tokens besides the last one, and no turn is cut. A window after the first repeats the
-    leading system turn and the last turns before it, of up to history tokens (history <= budget). loss
+    turns: conv_id, turn, role, text. A turn's tokens are its words and one; prefix sums of them choose turn-aligned
+    spans: a window takes new turns while their sum is within its room, which is the budget in the first window and in
+    later ones what the leading system turn, repeated in each, and the history leave of it. It also ends after every piece
+    turns. A window after the first repeats the last turns of the one before, up to history tokens and what its own
+    turns leave of the budget. So new turns, system turn and history together are within the budget; only a window
+    of a single new turn, which with the system turn is over it, is longer (and has no history). No turn is cut. loss
     is an array of (start, length) in code points of formatted: the texts of assistant turns, but not of
     repeated ones, so each assistant text is a target once.
 
     A turn is written as a mark with its place in the conversation and its role, its text, and an end
     mark. Null text is empty, null role is the empty role, and a null conv_id is a conversation of its
     own. Turns with equal numbers follow in order of role and text; equal rows are kept, as turns of their own.
-    An empty table gives no rows; other columns are not looked at. Sums run over sorted rows that spill,
-    and only a window's rows are collected, so a long conversation needs no memory.
+    An empty table gives no rows; other columns are not looked at, so their names do not clash. Sums run over sorted rows
+    that spill, a fold holds the token counts of up to piece turns, and only a window's rows are collected, so a
+    long conversation needs no memory; very long texts are windows of their own.
     """
-    if not 0 <= history <= budget or budget < 1:
-        raise ValueError("history must be from 0 to budget, and budget at least 1")
+    if not 0 <= history <= budget or budget < 1 or piece < 1:
+        raise ValueError("history must be from 0 to budget, budget and piece at least 1")
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))) + 1)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.withColumn("n", F.row_number().over(order).cast("long"))
-    leads = (F.col("n") == 1) & (F.col("role") == "system")
+    t = t.withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long"))
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    order = Window.partitionBy("conv_id").orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("leads", leads).withColumn("before", F.sum(F.when(leads, 0).otherwise(F.col("tokens"))).over(so_far) - F.when(leads, 0).otherwise(F.col("tokens")))
-    t = t.withColumn("window", F.floor(F.col("before") / budget).cast("long"))
-    system = F.first(F.when(F.col("leads"), F.col("text")), ignorenulls=True).over(so_far)
-    t = t.withColumn("system", system)
-    # The next window that has turns, seen from each turn: rows run backwards, so that sums stay running ones.
-    t = t.withColumn("starts", F.coalesce(F.lag("window").over(order) != F.col("window"), F.lit(True)))
-    back = Window.partitionBy("conv_id").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("next", F.last(F.when(F.col("starts"), F.struct("window", "before")), ignorenulls=True).over(back))
-
-    repeats = F.col("next").isNotNull() & ~F.col("leads") & (F.col("next.before") - F.col("before") <= history) & (F.col("next.window") != F.col("window"))
+    leads = (F.col("n") == 1) & (F.col("role") == "system")
+    own = F.when(leads, 0).otherwise(F.col("tokens"))
+    t = t.withColumn("leads", leads).withColumn("before", F.sum(own).over(so_far) - own)
+    t = t.withColumn("system", F.first(F.when(F.col("leads"), F.col("text")), ignorenulls=True).over(so_far))
+    charged = F.coalesce(F.first(F.when(F.col("leads"), F.col("tokens")), ignorenulls=True).over(so_far), F.lit(0))
+    t = t.withColumn("charged", charged.cast("long")).withColumn("piece", F.floor((F.col("n") - 1) / piece).cast("long"))
+
+    # The window that each turn is in: greedily, over the token counts from the start of its piece.
+    counts = F.collect_list("tokens").over(Window.partitionBy("conv_id", "piece").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    room = F.greatest(F.lit(1), budget - history - F.col("charged"))
+
+    def take(at, tokens):
+        first = (at["start"] == 0) & (F.col("piece") == 0)
+        fits = (at["k"] == 0) | (at["used"] + tokens <= F.when(first, F.lit(budget)).otherwise(room))
+        used = F.when(fits, at["used"] + tokens).otherwise(tokens)
+        return F.struct(used.alias("used"), F.when(fits, at["start"]).otherwise(at["k"]).alias("start"), (at["k"] + 1).alias("k"))
+
+    zero = F.lit(0).cast("long")
+    t = t.withColumn("fold", F.aggregate(counts, F.struct(zero.alias("used"), zero.alias("start"), zero.alias("k")), take))
+    t = t.withColumn("starts", F.col("fold.start") + 1 == F.col("fold.k")).withColumn("used", F.col("fold.used")).drop("fold")
+    t = t.withColumn("window", (F.sum(F.col("starts").cast("long")).over(so_far) - 1).cast("long"))
+    # The tokens of its window, and the next window, seen from each turn: rows run backwards, so that sums stay running ones.
+    t = t.withColumn("ends", F.coalesce(F.lead("starts").over(order), F.lit(True)))
+    back = Window.partitionBy("conv_id").orderBy(F.col("n").desc())
+    t = t.withColumn("total", F.last(F.when(F.col("ends"), F.col("used")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    t = t.withColumn("next", F.last(F.when(F.col("starts"), F.struct("window", "before", "total")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    allowed = F.least(F.lit(history), F.greatest(F.lit(0), budget - F.col("charged") - F.col("next.total")))
+
+    repeats = F.col("next").isNotNull() & ~F.col("leads") & (F.col("next.before") - F.col("before") <= allowed)
     places = F.array_compact(F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("again")), F.when(repeats, F.struct(F.col("next.window").alias("w"), F.lit(True).alias("again")))))
     t = t.withColumn("place", F.explode(places))
     mark = F.concat(F.when(F.col("place.again"), AGAIN).otherwise(OPEN), F.col("n").cast("string"), F.lit(" "), escaped_role(F.col("role")), F.lit(BETWEEN))
@@ -85,7 +108,11 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """The turns that are not repeats, read back from formatted: conv_id, window, n, role, text."""
+    """The turns that are not repeats, read back from formatted: conv_id, window, n, role, text.
+
+    What format_windows wrote comes back exactly, with null roles and texts as empty ones; windows of any length are read
+    whole. A null formatted has no turns; repeated windows are read each; an empty table gives no rows. Other columns
+    are not looked at."""
     turn = rf"{OPEN}(\d+) ([^<>]*){BETWEEN}([^<]*){CLOSE}"
     parts = F.arrays_zip(*[F.regexp_extract_all("formatted", F.lit(turn), F.lit(i)).alias(k) for i, k in enumerate(("n", "role", "text"), 1)])
     read = windows.select("conv_id", "window", F.explode(parts).alias("t"))

@@ -163,7 +163,7 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
     "op7_chat_format": r"""
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), numbered AS (
@@ -171,20 +171,29 @@ WITH raw AS (
          len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1 AS tokens,
          replace(replace(text, '&', '&amp;'), '<', '&lt;') AS body, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown
   FROM raw
-), placed AS (
-  SELECT *, n = 1 AND role = 'system' AS leads,
-         sum(CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING)
+), system AS (SELECT conv_id, tokens AS charged FROM numbered WHERE n = 1 AND role = 'system'),
+placed AS (
+  SELECT x.*, n = 1 AND role = 'system' AS leads, coalesce(charged, 0) AS charged,
+         sum(CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY x.conv_id ORDER BY n ROWS UNBOUNDED PRECEDING)
          - CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE tokens END AS before
-  FROM numbered
+  FROM numbered x LEFT JOIN system s ON s.conv_id IS NOT DISTINCT FROM x.conv_id
+), taken(conv_id, n, start, used) AS (
+  SELECT conv_id, n, n, tokens FROM placed WHERE n = 1
+  UNION ALL
+  SELECT x.conv_id, x.n, CASE WHEN f.fits THEN t.start ELSE x.n END, CASE WHEN f.fits THEN t.used + x.tokens ELSE x.tokens END
+  FROM taken t JOIN placed x ON x.conv_id IS NOT DISTINCT FROM t.conv_id AND x.n = t.n + 1,
+  LATERAL (SELECT (x.n - 1) % 256 <> 0 AND t.used + x.tokens <= CASE WHEN t.start = 1 THEN 768 ELSE greatest(1, 768 - 192 - x.charged) END AS fits) f
 ), windows AS (
-  SELECT *, before // 768 AS w, length(body) + length(shown) + length(n::VARCHAR) AS inner_chars FROM placed
-), firsts AS (SELECT conv_id, w, min(before) AS first_before FROM windows GROUP BY ALL),
-starts AS (SELECT *, lead(first_before) OVER (PARTITION BY conv_id ORDER BY w) AS next_before FROM firsts),
-costs AS (
+  SELECT x.*, t.start AS w, length(body) + length(shown) + length(x.n::VARCHAR) AS inner_chars
+  FROM placed x JOIN taken t ON t.conv_id IS NOT DISTINCT FROM x.conv_id AND t.n = x.n
+), firsts AS (SELECT conv_id, w, min(before) AS first_before, sum(tokens) AS total FROM windows GROUP BY ALL),
+starts AS (
+  SELECT *, lead(first_before) OVER o AS next_before, lead(total) OVER o AS next_total FROM firsts WINDOW o AS (PARTITION BY conv_id ORDER BY w)
+), costs AS (
   SELECT x.conv_id, x.inner_chars + length('<turn ') + 1 + length('>' || chr(10)) + length('</turn>' || chr(10))
-         + CASE WHEN NOT x.leads AND s.next_before - x.before <= 192
+         + CASE WHEN NOT x.leads AND s.next_before - x.before <= least(192, greatest(0, 768 - x.charged - s.next_total))
            THEN x.inner_chars + length('<again ') + 1 + length('>' || chr(10)) + length('</turn>' || chr(10)) ELSE 0 END
-         + CASE WHEN x.leads THEN (SELECT count(*) FROM firsts f WHERE f.conv_id = x.conv_id AND f.w > 0)
+         + CASE WHEN x.leads THEN (SELECT count(*) FROM firsts f WHERE f.conv_id = x.conv_id AND f.w > 1)
            * (length('<again 1 system>' || chr(10)) + length(x.body) + length('</turn>' || chr(10))) ELSE 0 END AS chars
   FROM windows x JOIN starts s ON s.conv_id IS NOT DISTINCT FROM x.conv_id AND s.w = x.w
 ), total AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM costs GROUP BY 1),

@@ -169,31 +169,61 @@ def windows_of(spark, rows, budget, history):
     return chat_format.format_windows(spark.createDataFrame(rows, TURNS), budget, history)
 
 
-def test_windows_keep_budget_history_and_system(spark):
+def brute_windows(tokens, leads, budget, history, piece):
+    """New turns and repeated ones (from 0) of each window."""
+    charged = tokens[0] if leads else 0
+    out, new = [], []
+    for k, x in enumerate(tokens):
+        room = budget if not out else max(1, budget - history - charged)
+        if new and (k % piece == 0 or sum(tokens[i] for i in new) + x > room):
+            out.append(new)
+            new = []
+        new.append(k)
+    told = []
+    for i, new in enumerate([*out, new]):
+        old, left = [], min(history, max(0, budget - charged - sum(tokens[k] for k in new)))
+        for k in reversed(told[-1][0] if i else []):
+            left -= tokens[k]
+            if left < 0 or (leads and k == 0):
+                break
+            old.insert(0, k)
+        told.append((new, old))
+    return told
+
+
+@pytest.mark.parametrize("piece", [7, 256])
+def test_windows_keep_budget_history_and_system(spark, piece):
     rng = random.Random(4)
     roles = ["user", "assistant"]
-    rows = [(c, t, "system" if t == 0 and c % 2 else roles[t % 2], " ".join(["w"] * rng.randint(0, 12)), 0) for c in range(6) for t in range(60)]
-    out = windows_of(spark, rows, 40, 15)
+    rows = [(c, t, "system" if t == 0 and c % 2 else roles[t % 2], " ".join(["w"] * (60 if rng.random() < 0.03 else rng.randint(0, 12))), 0) for c in range(6) for t in range(60)]
+    out = chat_format.format_windows(spark.createDataFrame(rows, TURNS), 40, 15, piece)
     by = {}
     for r in out.collect():
         by.setdefault(r.conv_id, []).append(r)
     for c, ws in by.items():
         ws.sort(key=lambda r: r.window)
-        seen = []
-        for k, r in enumerate(ws):
+        tokens = [len(r[3].split()) + 1 for r in rows if r[0] == c]
+        want = brute_windows(tokens, c % 2, 40, 15, piece)
+        assert [r.window for r in ws] == list(range(len(want)))
+        for k, (r, (new, old)) in enumerate(zip(ws, want, strict=True)):
             marks = [m.split(" ", 2) for m in r.formatted.split("\n") if m.startswith(("<turn ", "<again "))]
-            new = [int(m[1]) for m in marks if m[0] == "<turn"]
-            old = [int(m[1]) for m in marks if m[0] == "<again"]
-            if k and c % 2:
-                assert old[0] == 1
-                old = old[1:]
-            assert new == list(range(new[0], new[-1] + 1)) and old == list(range(new[0] - len(old), new[0]))
-            cost = lambda n, c=c: len(rows[c * 60 + n - 1][3].split()) + 1
-            body = [n for n in new if not (c % 2 and n == 1)]
-            assert sum(map(cost, body[:-1])) < 40
-            assert sum(map(cost, old)) <= 15
-            seen += new
-        assert seen == list(range(1, 61)) and len(ws) > 3
+            again = [0] if k and c % 2 else []
+            assert [int(m[1]) - 1 for m in marks] == again + old + new
+            assert [m[0] for m in marks] == ["<again"] * len(again + old) + ["<turn"] * len(new)
+            assert sum(tokens[i] for i in again + old + new) <= 40 or len(new) == 1 and not old
+        assert [i for new, _ in want for i in new] == list(range(60)) and len(ws) > 3
+
+
+def test_no_window_of_the_test_table_is_over_the_budget(spark):
+    from conftest import DATA
+
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    texts = F.regexp_extract_all("formatted", F.lit(r">\n([^<]*)</turn>\n"), F.lit(1))
+    tokens = F.aggregate(texts, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) + 1)
+    got = chat_format.format_windows(turns).select(tokens.alias("n"), F.size(texts).alias("turns")).collect()
+    assert max(r.n for r in got if r.turns > 1) <= chat_format.BUDGET
+    alone = max(len((r.text or "").split()) + 1 for r in turns.collect())
+    assert max(r.n for r in got) <= max(alone, chat_format.BUDGET)
 
 
 def test_chat_round_trip_and_mask(spark):
