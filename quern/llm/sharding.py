@@ -25,15 +25,16 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with the columns shard, bucket and slot: a seeded random order within each shard.
 
-    Pass 1 scatters rows by seeded hashes of the id: to a shard, and within it to one of as many buckets
-    as keep each near bucket_bytes. Pass 2 deals rows to tasks by bucket, numbers them in a sorted (and
+    Pass 1 scatters rows by seeded hashes: of the id to a shard, and of id and text to one of as many buckets of it
+    as keep each near bucket_bytes. Pass 2 deals each bucket to a task of its own, numbers its rows in a sorted (and
     so repeatable, and spillable) order and puts them in the order of a Fisher-Yates permutation of the
     bucket, which is what Spark's shuffle() draws. Only the permutation, of integers, is held in memory;
     texts stream. slot counts from 0 in each shard without gaps, bucket after bucket.
 
-    Law "key": id and number of shards alone decide the shard. Null ids share a shard; rows with equal
-    ids go to the same one. Null and empty texts are rows like any other; an empty table gives none. The
-    columns shard, bucket and slot must not exist.
+    Law "key": id and number of shards alone decide the shard. Null ids share a shard, and rows with equal
+    ids are in the same one, over all its buckets by their texts; rows with equal ids and texts share a bucket and
+    are interchangeable in it. Null and empty texts are rows like any other; very long texts move whole; an empty table
+    gives no rows. All columns are kept; shard, bucket and slot must not be among them. Runs jobs when called.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -41,25 +42,34 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_co
         raise ValueError(f"columns exist already: {sorted(clash)}")
     total = docs.agg(F.sum(text_bytes(F.col(text_col)))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    key = F.col(id_col)
-    placed = docs.withColumn("shard", shard_of(key, shards, seed)).withColumn("bucket", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(buckets)).cast("long"))
+    key, text = F.col(id_col), F.col(text_col)
+    bucket = F.pmod(F.xxhash64(key, F.xxhash64(text), F.lit(seed + 1)), F.lit(buckets)).cast("int")
+    n = with_free_names(docs, ["number", "n", "before", "order", "rn"])
+    placed = docs.withColumn("shard", shard_of(key, shards, seed)).withColumn("bucket", bucket)
+    placed = placed.withColumn(n["number"], F.col("shard") * buckets + F.col("bucket"))
 
-    n = with_free_names(placed, ["n", "before", "order", "rn"])
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias(n["n"]))
+    counts = placed.groupBy("shard", "bucket", n["number"]).agg(F.count("*").alias(n["n"]))
     before = F.sum(n["n"]).over(Window.partitionBy("shard").orderBy("bucket")) - F.col(n["n"])
     order = F.shuffle(F.sequence(F.lit(0), (F.col(n["n"]) - 1).cast("int")), F.lit(seed))
     # Spark draws by task, in row order: buckets are dealt and sorted the same way each time.
     counts = counts.repartition(-(-shards * buckets // 64), "shard", "bucket").sortWithinPartitions("shard", "bucket")
-    counts = stored(counts.select("shard", "bucket", before.alias(n["before"]), order.alias(n["order"])), "shard-buckets")
+    counts = stored(counts.select(n["number"], before.alias(n["before"]), order.alias(n["order"])), "shard-buckets")
 
-    within = Window.partitionBy("shard", "bucket").orderBy(F.xxhash64(key, F.lit(seed + 2)), key, F.xxhash64(F.col(text_col)))
-    rows = placed.withColumn(n["rn"], F.row_number().over(within))
+    # By number: task i has bucket i and nothing else.
+    deal = lambda df: df.repartitionById(shards * buckets, F.col(n["number"]))
+    within = Window.partitionBy(n["number"]).orderBy(F.xxhash64(key, F.lit(seed + 2)), key, F.xxhash64(text))
+    rows = deal(placed).withColumn(n["rn"], F.row_number().over(within))
     slot = (F.col(n["before"]) + F.element_at(n["order"], F.col(n["rn"]))).cast("long")
-    return rows.join(counts, ["shard", "bucket"]).select(*docs.columns, "shard", "bucket", slot.alias("slot"))
+    return rows.join(deal(counts), n["number"]).select(*docs.columns, "shard", F.col("bucket").cast("long").alias("bucket"), slot.alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write the shuffled shards as Parquet, a folder for each shard and a file for each bucket in slot order."""
+    """Write the shuffled shards as Parquet: a folder shard=i for each shard that has rows, in it a file for each bucket
+    that has rows, in slot order; files by name are in order of bucket.
+
+    Rows with null ids, null, empty or very long texts and repeated rows are written like any other (see
+    shuffle_into_shards); an empty table gives no files. All columns are kept; shard, bucket and slot must
+    not be among them. path must not exist."""
     placed = shuffle_into_shards(docs, shards, seed, id_col, text_col, bucket_bytes)
-    ordered = placed.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "slot")
-    ordered.write.partitionBy("shard").parquet(path)
+    # The task that shuffled a bucket writes it.
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -91,6 +91,66 @@ def test_shards_of_odd_rows(spark, tmp_path):
     assert df.filter("doc_id = 4").select(F.crc32("text")).first()[0] == zlib.crc32(b"one")
 
 
+def test_a_file_for_each_bucket(spark, tmp_path):
+    texts = prose(random.Random(2), 900)
+    df = docs(spark, texts).repartition(5)
+    sharding.write_shards(df, str(tmp_path / "s"), 4, 3, bucket_bytes=3000)
+    placed = sharding.shuffle_into_shards(df, 4, 3, bucket_bytes=3000)
+    want, sizes = {}, {}
+    for r in placed.collect():
+        want.setdefault((r.shard, r.bucket), []).append((r.slot, r.doc_id))
+        sizes[r.shard, r.bucket] = sizes.get((r.shard, r.bucket), 0) + len(r.text.encode()) + 1
+    import pyarrow.parquet as pq
+
+    assert len(want) > 30 and max(sizes.values()) < 2 * 3000
+    for shard in range(4):
+        files = [pq.ParquetFile(f).read(["doc_id", "bucket", "slot"]).to_pylist() for f in sorted((tmp_path / "s" / f"shard={shard}").glob("part-*"))]
+        buckets = [b for s, b in sorted(want) if s == shard]
+        assert [[(r["slot"], r["doc_id"]) for r in f] for f in files] == [sorted(want[shard, b]) for b in buckets]
+        assert [r["slot"] for f in files for r in f] == list(range(sum(len(want[shard, b]) for b in buckets)))
+    tasks = placed.select("shard", "bucket", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in tasks}) == len(tasks) == len(want)
+
+
+def test_rows_of_one_id_are_in_many_buckets(spark):
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(prose(random.Random(3), 400))]
+    got = sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4, 3, bucket_bytes=1000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.shard, r.bucket))
+    assert all(len({s for s, _ in x}) == 1 and len(x) > 8 for x in by.values()) and len(got) == 400
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of whole numbers: each one's bytes, seeded with the hash of those before; nulls are passed over."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v, form in values:
+        h = h if v is None else xxhash.xxh64_intdigest(struct.pack(form, v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_the_query_by_brute_force(spark):
+    from conftest import DATA
+
+    from quern.llm import queries
+
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op1_sharding(spark, str(DATA)).collect()
+    drawn = lambda i, n: max((spark_hash((i, "<q"), (s, "<i"), (17, "<i")), s) for s in range(n))[1]
+    slots = {}
+    for r in got:
+        b = None if text[r.doc_id] is None else text[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(b or b"") + 1, None if b is None else zlib.crc32(b), "key")
+        assert (r.shard, r.grown_shard) == (drawn(r.doc_id, 16), drawn(r.doc_id, 17))
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 # Mixing
 
 
