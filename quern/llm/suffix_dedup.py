@@ -1,4 +1,4 @@
-"""Repeated byte strings by merging sorted shards of suffixes and extending them backwards (as a BWT does)."""
+"""Repeated byte strings: suffixes at anchors, dealt by anchor, sorted, and extended backwards (as a BWT does)."""
 
 from __future__ import annotations
 
@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._blocks import ROW, each, pack, texts, unpack
-from ._shared import join_groups, stored
+from ._shared import join_groups, stored, whole_ids
 
 #: Bytes of a repeated string, and of an anchor within it.
 LENGTH = 100
 ANCHOR = 32
-#: Suffixes that one task merges, on average.
+#: Suffixes that one task sorts, on average.
 SHARD_ROWS = 60_000
 #: Strings of anchors that are there more often are dealt by string, not by anchor; as many of their rows
 #: (up to LENGTH - ANCHOR + 1 strings of an anchor, without text) as one suffix is counted for.
@@ -213,8 +213,8 @@ def later_strings(key: np.ndarray, rank: np.ndarray, near: np.ndarray, far: np.n
     around has LENGTH - ANCHOR bytes before each anchor and LENGTH from it on; strings with a from near to far
     are inside. rank says which anchors come earlier.
 
-    Suffixes that start at the anchors are merged first: the interleave of the shards' runs is refined by a
-    stable sort on one more byte at a time, and then by anchor; where neighbours first differ is their
+    Suffixes that start at the anchors are sorted first, byte by byte from the last, by stable sorts (blocks send no
+    sorted runs: this takes the place of a merge of these); where neighbours first differ is their
     common prefix. Then all suffixes move one byte to the left at a time: sorting the interleave by the bytes
     in front of them (their Burrows-Wheeler column), stably, is the order of the longer suffixes, with no
     suffix compared again. An interval whose members share the bytes on the left, and on the right a
@@ -318,25 +318,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a row with a smaller id
     (null last; of equal ids, the row read first), or earlier in the same row. All strings of the input
     count, whatever is removed. Strings do not cross rows. Null text is empty; texts under LENGTH bytes stay
-    whole; very long ones are read whole. An empty table gives no rows; other columns are not looked at.
+    whole; very long ones are read whole. Ids are whole numbers; others are an error. An empty table gives no rows; other
+    columns are not looked at, so their names do not clash. Runs jobs when called.
 
     1. Texts are packed in blocks. Texts equal to an earlier one go whole, and need no more work.
     2. Each string has an anchor, its piece with the least hash, so equal strings have equal anchors, and only
        anchors that are there twice can be in repeated strings. Blocks ask which of theirs are.
     3. The surroundings of these anchors (once for equal ones in a block) are dealt to shards by anchor, where
-       later_strings merges them. Of anchors that are there more than HOT_ROWS times each block sends the distinct
+       later_strings finds equal strings. Of anchors that are there more than HOT_ROWS times each block sends the distinct
        strings' hashes and first places instead, dealt by hash: a string has a row for each block at most.
     4. Spans go back to the blocks.
     """
+    whole_ids(docs, id_col)
     blocks = pack(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text")
     whole = stored(blocks.mapInArrow(_texts, "row long, id long, sha binary"), "repeat-texts")
     firsts = whole.groupBy("sha").agg(F.count("*").alias("c"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).filter("c > 1")
     copies = join_groups(whole, firsts, ["sha"], "c", whole.count()).filter("row <> best.row").select(F.floor(F.col("row") / ROW).cast("long").alias("block"), "row")
     copies = stored(copies, "repeat-copies")
 
-    keys = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_keys, "key long, block long, c long")
-    twice = F.sum("c").over(Window.partitionBy("key"))
-    keys = stored(keys.withColumn("all", twice).filter("all > 1").select("key", "block", "c", (F.col("all") > HOT_ROWS).alias("hot")), "repeat-keys")
+    keys = stored(blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_keys, "key long, block long, c long"), "repeat-anchors")
+    twice = keys.groupBy("key").agg(F.sum("c").alias("all")).filter("all > 1").select("key", (F.col("all") > HOT_ROWS).alias("hot"))
+    keys = stored(keys.join(twice, "key").select("key", "block", "c", "hot"), "repeat-keys")
     rows = F.col("c") * F.when(F.col("hot"), HOT_WEIGHT).otherwise(1)
     shards = max(1, -(-(keys.agg(F.sum(rows)).first()[0] or 0) // SHARD_ROWS))
     none = F.lit(None).cast("long")

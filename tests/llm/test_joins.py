@@ -305,6 +305,29 @@ def test_no_task_merges_all_rows_of_a_hot_anchor(spark, monkeypatch):
         assert (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) in want[r.doc_id], r.doc_id
 
 
+def test_one_passage_in_very_many_documents(spark, monkeypatch):
+    """The strings across its edges have few anchors, each in all documents: no task gets their rows."""
+    n, passage = 50_000, "".join(random.Random(3).choices("abcdefgh", k=300))
+    merge = suffix_dedup._merge
+
+    def bounded(group):
+        keys = group.filter(pc.is_valid(group.column("text"))).column("key").to_pylist()
+        assert max(Counter(keys).values(), default=0) <= 5_000 and group.num_rows <= 60_000
+        return merge(group)
+
+    monkeypatch.setattr(suffix_dedup, "_merge", bounded)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 5_000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_ROWS", 5_000)
+    text = F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(passage), F.sha2(F.concat(F.lit("x"), "id"), 256))
+    df = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = suffix_dedup.remove_repeats(df)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda k, s: k + s["end"] - s["start"])
+    by = {r.n: r.c for r in got.groupBy(F.size("spans").alias("n")).agg(F.count("*").alias("c")).collect()}
+    assert by == {0: 1, 1: n - 1}
+    least, most = got.filter("doc_id > 0").agg(F.min(removed), F.max(removed)).first()
+    assert 300 <= least and most < 300 + 2 * 12  # what the neighbours happen to share with earlier ones
+
+
 def test_repeats_of_repeated_rows(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh") for _ in range(300))
