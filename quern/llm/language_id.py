@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 
-#: Byte n-grams of this order are hashed to so many places: a model is languages x PLACES numbers at most.
+#: Byte n-grams of this order are hashed to so many places: a model is languages x PLACES numbers.
 ORDER = 3
 PLACES = 1 << 16
+#: Languages that train takes unless told otherwise: their model (64 MB) is on the driver and sent to all tasks.
 MOST_LANGUAGES = 256
 #: Added to each count.
 SMOOTH = 0.05
-#: Languages that a document may have, and rounds of expectation-maximisation for each set.
-MOST_IN_SET = 4
+#: Rounds of expectation-maximisation over all languages; half as many for each set.
 ROUNDS = 8
 UNKNOWN = "und"
 
@@ -52,15 +52,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and the probability of each hashed n-gram in them, from all rows with a text and a language.
 
-    Counts are summed over all tasks; at most MOST_LANGUAGES x PLACES numbers come to the driver.
+    Counts are summed over all tasks; languages x PLACES numbers come to the driver, of at most most_languages
+    languages: more are an error (give a higher number if the driver has the memory), none is left out. Rows with a null
+    text or language teach nothing, an empty text only that its language is there; very long texts count
+    whole, repeated rows each time. Without rows there are no languages. Other columns are not looked at. Runs jobs.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    langs = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    langs = sorted(r[0] for r in known.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(langs) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: see most_languages")
     counts = np.full((len(langs), PLACES), SMOOTH)
     at = {x: i for i, x in enumerate(langs)}
     totals = known.mapInArrow(_count, "lang string, place long, count long").groupBy("lang", "place").agg(F.sum("count").alias("count"))
@@ -70,29 +73,29 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, counts / counts.sum(1, keepdims=True)
 
 
-def mixtures(place: np.ndarray, row: np.ndarray, rows: int, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the main language of each row that has n-grams, and its proportion (-1 and 0 for others).
+def mixtures(place: np.ndarray, row: np.ndarray, rows: int, model: np.ndarray) -> np.ndarray:
+    """Proportions of the languages (rows x languages) in each row; all 0 in rows without n-grams.
 
-    Expectation-maximisation over all languages gives proportions. The sets of the 1, 2, ... MOST_IN_SET
-    largest ones are fitted again each, and the set with the highest penalised likelihood is chosen: the
+    Expectation-maximisation over all languages gives proportions. The set of the largest one, of the two largest, ...
+    is fitted again, and the set grows, up to all languages, as long as its penalised likelihood does: the
     logarithm over ORDER, as neighbouring n-grams share their bytes, less half the logarithm of the
     number of n-grams for each further language.
     """
-    main, share = np.full(rows, -1), np.zeros(rows)
+    out = np.zeros((rows, len(model)), np.float32)
     if not len(place) or not len(model):
-        return main, share
+        return out
     code = np.sort((row * PLACES + place).astype(B.U))
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     many = np.diff(np.append(first, len(code))).astype(np.float32)
     code = code[first].astype(np.int64)
     owner = code // PLACES
     edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    who = owner[edge]
-    at = np.repeat(np.arange(len(who)), np.diff(np.append(edge, len(owner))))
+    who, size = owner[edge], np.diff(np.append(edge, len(owner)))
     p = np.ascontiguousarray(model.T.astype(np.float32)[code % PLACES])
     total = np.add.reduceat(many, edge)
 
     def fit(mix: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        edge, at = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
         for _ in range(rounds):
             fits = np.einsum("gl,gl->g", p, mix[at])
             mix = mix * np.add.reduceat(p * (many / fits)[:, None], edge) / total[:, None]
@@ -103,19 +106,23 @@ def mixtures(place: np.ndarray, row: np.ndarray, rows: int, model: np.ndarray) -
     all_, _ = fit(np.full((len(who), len(model)), 1 / len(model), np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-all_, axis=1, kind="stable"), axis=1, kind="stable")
     best = np.full(len(who), -np.inf)
-    for k in range(1, min(MOST_IN_SET, len(model)) + 1):
+    for k in range(1, len(model) + 1):
         mix = np.where(rank < k, np.maximum(all_, 1e-6), 0).astype(np.float32)
         mix, fits = fit(mix / mix.sum(1, keepdims=True), 0 if k == 1 else ROUNDS // 2)
         value = fits / ORDER - (k - 1) * np.log(total) / 2
         better = value > best
-        best = np.where(better, value, best)
-        main[who[better]] = mix[better].argmax(1)
-        share[who[better]] = mix[better].max(1)
-    return main, share
+        out[who[better]] = mix[better]
+        if not better.any():
+            break
+        # Only rows whose sets still grow go on.
+        entries = np.repeat(better, size)
+        p, many = p[entries], many[entries]
+        who, size, total, all_, rank, best = (x[better] for x in (who, size, total, all_, rank, value))
+    return out
 
 
 def _predict(langs: list[str], model):
-    """model: a broadcast of at most MOST_LANGUAGES x PLACES numbers."""
+    """model: a broadcast of languages x PLACES numbers."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*langs, UNKNOWN], object)
@@ -124,24 +131,35 @@ def _predict(langs: list[str], model):
             for i, j, data, at in B.text_batches(b.column(1), 1 << 20):
                 place, row = _places(data, at)
                 use = letters[i:j][row]
-                main, share = mixtures(place[use], row[use], j - i, model.value)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names[main], pa.string()), pa.array(np.clip(share, 0, 1).astype(float))], ["id", "lang_pred", "score"])
+                mix = mixtures(place[use], row[use], j - i, model.value)
+                share = mix.max(1) if len(langs) else np.zeros(j - i)
+                main = np.where(share > 0, mix.argmax(1), -1) if len(langs) else np.full(j - i, -1)
+                # The languages of a row's set, the largest first.
+                order = np.argsort(-mix, axis=1, kind="stable")
+                ranked = np.take_along_axis(mix, order, 1)
+                ends = np.append(0, np.cumsum((ranked > 0).sum(1))).astype(np.int32)
+                parts = [pa.array(names[order[ranked > 0]], pa.string()), pa.array(ranked[ranked > 0].astype(float))]
+                found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["lang", "share"]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names[main], pa.string()), pa.array(np.clip(share, 0, 1).astype(float)), found], ["id", "lang_pred", "score", "languages"])
 
     return f
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, lang_pred, score (the proportion of lang_pred in the text).
+    """One row for each row of docs: id_col, lang_pred, score (the proportion of lang_pred in the text), languages (all
+    that the text is found to have, with their proportions, the largest first).
 
-    Only the text is looked at. UNKNOWN with score 0 if the text is null or has no letter, or if nothing was
-    learned. Whole texts are read; equal likelihoods go to the first language in code point order; an
-    empty table gives no rows.
+    Only the text is looked at. UNKNOWN with score 0 and no languages if the text is null or has no letter, or if nothing
+    was learned. Whole texts are read, repeated rows each; equal likelihoods go to the first language in code point order;
+    an empty table gives no rows; names of other columns do not clash. The model, languages x PLACES numbers, is
+    broadcast: train bounds the number of languages.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
     kind = docs.schema[id_col].dataType.simpleString()
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), letter.alias("letter")).mapInArrow(_predict(langs, sent), f"id {kind}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), "lang_pred", "score")
+    schema = f"id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), letter.alias("letter")).mapInArrow(_predict(langs, sent), schema)
+    return out.select(F.col("id").alias(id_col), "lang_pred", "score", "languages")
 
 
 def fold(id_: Column) -> Column:

@@ -36,6 +36,61 @@ def test_mixtures_find_their_proportions(spark):
     assert got[0].score > 0.99 and got[1].score == pytest.approx(0.75, abs=0.03)
 
 
+def plain_mixture(counts, model):
+    """Expectation-maximisation over all languages, then over growing sets, written as loops."""
+
+    def fit(mix, rounds):
+        for _ in range(rounds):
+            new = dict.fromkeys(mix, 0.0)
+            for g, c in counts.items():
+                whole = sum(mix[k] * model[k][g] for k in mix)
+                for k in mix:
+                    new[k] += c * mix[k] * model[k][g] / whole
+            mix = {k: v / sum(new.values()) for k, v in new.items()}
+        return mix, sum(c * math.log(sum(mix[k] * model[k][g] for k in mix)) for g, c in counts.items())
+
+    n = sum(counts.values())
+    whole, _ = fit(dict.fromkeys(range(len(model)), 1 / len(model)), language_id.ROUNDS)
+    order, best, found = sorted(whole, key=lambda k: (-whole[k], k)), -math.inf, None
+    for k in range(1, len(model) + 1):
+        mix = {x: max(whole[x], 1e-6) for x in order[:k]}
+        mix, fits = fit({x: v / sum(mix.values()) for x, v in mix.items()}, 0 if k == 1 else language_id.ROUNDS // 2)
+        if (value := fits / language_id.ORDER - (k - 1) * math.log(n) / 2) <= best:
+            break
+        best, found = value, mix
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixtures_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    model = rng.dirichlet(np.full(300, 0.15), 7) * 0.98 + 0.02 / 300
+    wide = np.full((7, language_id.PLACES), 1e-9)
+    wide[:, :300] = model
+    texts = []
+    for k in range(12):  # of 1 to 7 languages
+        share = np.zeros(7)
+        share[rng.choice(7, k % 7 + 1, False)] = 1 / (k % 7 + 1)
+        texts.append(rng.choice(300, 1500 + 500 * k, p=share @ model))
+    got = language_id.mixtures(np.concatenate(texts), np.repeat(np.arange(12), [len(t) for t in texts]), 13, wide)
+    assert not got[12].any()
+    for t, mix in zip(texts, got, strict=False):
+        want = plain_mixture(Counter(t.tolist()), model)
+        assert set(np.flatnonzero(mix)) == set(want)
+        assert all(mix[k] == pytest.approx(v, abs=2e-3) for k, v in want.items())
+    assert (got > 0).sum(1).max() > 4  # no set is capped
+
+
+def test_languages_of_a_text_come_with_their_shares(spark):
+    langs, model = languages(spark)
+    part = lambda a, n: " ".join(a[i % 5 :] + a[: i % 5] for i in range(n))
+    got = language_id.predict(docs(spark, [part("abcde", 30) + " " + part("vwxyz", 60), "12", part("mnopq", 9)]), langs, model).orderBy("doc_id").collect()
+    assert [[x.lang for x in r.languages] for r in got] == [["y", "x"], [], ["z"]]
+    assert all(not r.languages or (r.languages[0].lang, r.languages[0].share) == (r.lang_pred, r.score) and sum(x.share for x in r.languages) == pytest.approx(1) for r in got)
+    with pytest.raises(ValueError, match="most_languages"):
+        language_id.train(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"), most_languages=1)
+
+
 def test_languages_of_odd_rows(spark):
     langs, model = languages(spark)
     df = spark.createDataFrame([(i, t, 1) for i, t in odd_rows()] + [(30, "123 !?", 1), (31, "a", 1)], "doc_id long, text string, lang_pred int")
