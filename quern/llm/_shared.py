@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop_since, mark, stored
@@ -39,6 +39,20 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """df with, for each column (of whole numbers) in sums, the sum over all rows before in a total order, 0 in the first.
+    No task sees all rows: they are sorted by range partition, written once, and summed within their partition;
+    to this come the sums of the partitions before, of which there is one row each."""
+    x = with_free_names(df, ["id", "part", *(f"before_{k}" for k in sums)])
+    within = Window.partitionBy(x["part"]).orderBy(x["id"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = stored(df.orderBy(*order).withColumn(x["id"], F.monotonically_increasing_id()), "running")
+    placed = placed.withColumn(x["part"], F.shiftright(x["id"], 33))  # Spark's row ids: the partition's number above
+    parts = placed.groupBy(x["part"]).agg(*[F.sum(k).alias(k) for k in sums])
+    parts = parts.select(x["part"], *[(F.sum(k).over(Window.orderBy(x["part"])) - F.col(k)).alias(x[f"before_{k}"]) for k in sums])
+    out = placed.select("*", *[(F.sum(k).over(within) - F.col(k)).alias(name) for k, name in sums.items()]).join(F.broadcast(parts), x["part"])
+    return out.select(*df.columns, *[(F.col(name) + F.col(x[f"before_{k}"])).cast("long").alias(name) for k, name in sums.items()])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows with the columns of their group; groups has one row for each value of keys and its size.
 

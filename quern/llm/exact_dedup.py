@@ -56,7 +56,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns.
 
-    Rows of one id that are in the same group count as repeats of one row; one of them stays.
+    Rows of one id that are in the same group count as repeats of one row; one of them stays. Null text is empty text, a
+    null id an id of its own; very long texts are compared whole. An empty table gives no rows. All columns are
+    kept; work columns take names that docs does not have. Runs jobs when called.
     """
     x = with_free_names(docs, ["id", "sha", "n", "rank"])
     a_key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))

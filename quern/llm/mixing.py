@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, stored, with_free_names
+from ..operators import ranked
+from ._shared import WORD, running_sums, stored, with_free_names
 
 #: Weights that sources get in turn, in code point order with null last.
 WEIGHTS = (1, 2, 3)
@@ -14,38 +15,36 @@ MOST_REPEATS = 3
 #: How a source's weight changes over training, in turn: it goes from 1 - tilt to 1 + tilt of its mean.
 TILTS = (-0.5, 0.0, 0.5)
 #: Rows of a source that one running sum covers, on average.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 
 
 def n_words(text: Column) -> Column:
     """Number of words (null: 0)."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS) -> DataFrame:
-    """sources (source, source_size: one row each) with weight, tilt rank and target.
+    """sources (source, source_size: one row each; sizes are long) with weight, rank and target.
 
     The targets share the sum of all sizes by weight; a target over cap times its source's size stops
     there and the excess goes to the others by weight, until none is above. In order of size over weight,
     the sources that stop come first, so running sums decide it: a source stops if its share of what the
-    ones before it leave is at least its cap. Sizes are summed as whole numbers and divided once.
+    ones before it leave is at least its cap. Sizes are summed as whole numbers and divided once. Ranks and running sums
+    go by range partitions: no task has all sources, and four totals come to the driver.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    s = sources.withColumn("rank", rank).withColumn("weight", weight)
-    full = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = Window.orderBy(F.col("source_size") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(full)).withColumn("total_weight", F.sum("weight").over(full))
-    s = s.withColumn("left", F.col("total") - cap * F.coalesce(F.sum("source_size").over(first), F.lit(0)))
-    s = s.withColumn("left_weight", F.col("total_weight") - F.coalesce(F.sum("weight").over(first), F.lit(0)))
+    s = ranked(sources, [F.col("source").asc_nulls_last()], "rank", 0)
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    s = running_sums(s, [F.col("source_size") / F.col("weight"), "rank"], {"source_size": "sizes", "weight": "weights"})
+    total, total_weight = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    s = s.withColumn("left", F.lit(total or 0) - cap * F.col("sizes")).withColumn("left_weight", F.lit(total_weight or 0) - F.col("weights"))
     s = s.withColumn("stops", F.col("weight") * F.col("left") > cap * F.col("source_size") * F.col("left_weight"))
-    open_ = ~F.col("stops")
-    s = s.withColumn("rest", F.max(F.when(open_, F.col("left"))).over(full)).withColumn("rest_weight", F.max(F.when(open_, F.col("left_weight"))).over(full))
+    rest = s.filter(~F.col("stops")).agg(F.max("left"), F.max("left_weight")).first()
+    s = s.withColumn("rest", F.lit(rest[0]).cast("long")).withColumn("rest_weight", F.lit(rest[1]).cast("long"))
     target = F.when(F.col("stops"), (cap * F.col("source_size")).cast("double")).otherwise((F.col("weight") * F.col("rest")).cast("double") / F.col("rest_weight").cast("double"))
     return s.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS, tilts: tuple[float, ...] = TILTS, seed: int = 29, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REPEATS, tilts: tuple[float, ...] = TILTS, seed: int = 29, block_rows: int = BLOCK_ROWS, size_col: str | None = None) -> DataFrame:
     """docs with size, source_size, target, copies, taken and positions (where in training each copy stands).
 
     A source's documents lie in a seeded random order on a line, one after the other, and the line repeats.
@@ -58,16 +57,22 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Running sums go by block: the order key's leading bits cut each source into blocks of about block_rows,
     so a source with most rows is no single task; the blocks' sums, a small table, are added on.
 
-    Null sources are one source, the last. Null, empty and white texts have size 0 and are never taken
-    beyond what their place allows; if a source has size 0, its target is 0. Equal rows are interchangeable.
-    An empty table gives no rows. Names of existing columns may be anything but the new ones.
+    size_col: a column of docs (long, not null) that has the sizes already; else they are the texts' words, which are
+    counted twice (a scan each is less than moving the texts).
+
+    Null sources are one source, the last. Null, empty and white texts have size 0 and are never taken; if a source has
+    size 0, its target is 0. Very long texts count whole. Rows with null ids are placed by their texts; rows with
+    equal ids (and, of null ids, equal texts) lie next to each other, and equal rows are interchangeable.
+    An empty table gives no rows. Names of existing columns may be anything but the new ones. Runs jobs when called.
     """
     new = ["size", "source_size", "target", "copies", "taken", "positions"]
     if clash := set(new) & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     x = with_free_names(docs, ["source", "key", "block", "n", "bsum", "before", "start", "rank", "all", "lean", "weight"])
     c = {k: F.col(v) for k, v in x.items()}
-    sized = docs.withColumn("size", n_words(F.col(text_col))).withColumn(x["key"], F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    of = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    size = n_words(F.col(text_col)) if size_col is None else F.col(size_col)
+    sized = docs.withColumn("size", size).withColumn(x["key"], F.md5(F.concat_ws(":", F.lit(seed).cast("string"), of)))
     lead = F.conv(F.substring(c["key"], 1, 8), 16, 10).cast("long")
     narrow = sized.select(F.col(source_col).alias("source"), "size", lead.alias("lead"))
     blocks = max(1, -(-narrow.count() // block_rows))
@@ -75,9 +80,10 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = source_targets(by_block.groupBy("source").agg(F.sum("bsum").alias("source_size")), weights, cap)
     lean = F.element_at(F.array(*map(F.lit, tilts)), (F.col("rank") % len(tilts) + 1).cast("int")).cast("double")
     sources = sources.withColumn("lean", lean)
-    ends = Window.partitionBy(F.lit(1))
-    sources = sources.withColumn("all_target", F.sum("target").over(ends)).withColumn("all_lean", F.sum(F.col("target") * F.col("lean")).over(ends))
-    before = F.sum("bsum").over(Window.partitionBy("source").orderBy("block")) - F.col("bsum")
+    sources = stored(sources, "mix-sources")
+    ends = sources.agg(F.sum("target"), F.sum(F.col("target") * F.col("lean"))).first()
+    sources = sources.withColumn("all_target", F.lit(ends[0] or 0.0)).withColumn("all_lean", F.lit(ends[1] or 0.0))
+    before = F.sum("bsum").over(Window.partitionBy("source").orderBy("block")) - F.col("bsum")  # one row for block_rows rows
     table = by_block.withColumn("before", before)
     table = table.join(sources, table["source"].eqNullSafe(sources["source"])).select(
         table["source"].alias(x["source"]), F.col("block").alias(x["block"]), F.col("before").alias(x["before"]), "source_size", "target",
@@ -105,13 +111,20 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Range-sort documents by the position of their first copy; those never taken come last, by id, so that
-    they are no single range."""
+    """The rows of mixed (what curriculum gives), range-sorted by the position of their first copy; those never taken come
+    last, by id, so that they are no single range.
+
+    All rows stay, those with null ids or texts and repeated ones too; equal positions follow by id. An empty table gives
+    no rows. All columns are kept. Sorting runs a job that samples positions."""
     first = F.coalesce(F.element_at(F.col("positions"), F.when(F.size("positions") > 0, F.lit(1))), F.lit(float("inf")))
     return mixed.orderBy(first, id_col)
 
 
 def copies_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each copy that is taken, with columns, range-sorted by training position."""
+    """One row for each copy that is taken, with columns (of mixed, what curriculum gives), range-sorted by position.
+
+    Rows never taken give none: those of null, empty or white texts, and of what is beyond a source's target.
+    Repeated rows are each there as often as they are taken. An empty table gives no rows. The work column takes a
+    name that mixed does not have. Sorting runs a job that samples positions."""
     name = with_free_names(mixed, ["position"])["position"]
     return mixed.select(*columns, F.explode("positions").alias(name)).orderBy(name).select(*columns)

@@ -277,7 +277,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that classify keeps."""
+    """The rows of docs that classify keeps, with all their columns.
+
+    Null and empty texts go, as they have no perplexity; of a language without trusted texts, and of a null
+    language if it has none, all others stay. Very long texts are scored whole, repeated rows each; an empty table gives no
+    rows, and columns may have any names. Rows with a null id are judged like others, but never trusted. Runs jobs
+    when called."""
     return _rows(docs, labels, id_col, text_col, lang_col, docs.columns, docs.schema)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_codec, sharding, suffix_dedup
+from ._shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,8 +92,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.training_order(mixing.curriculum(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    text = F.col("text")
+    # Words are counted once; of the texts only those of rows without an id are needed further.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(text).alias("words"), F.when(F.col("doc_id").isNull(), text).alias("text"))
+    return mixing.training_order(mixing.curriculum(stored(docs, "mix-documents"), size_col="words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +210,7 @@ FROM told t JOIN total ON total.conv_id IS NOT DISTINCT FROM t.conv_id""",
     "op9_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('29:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+         md5('29:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS rank FROM d GROUP BY source
 ), w AS (SELECT *, (rank % 3 + 1)::BIGINT AS weight, sum(source_size) OVER ()::BIGINT AS total, sum(rank % 3 + 1) OVER ()::BIGINT AS total_weight FROM s),

@@ -197,6 +197,34 @@ def test_targets_and_what_is_taken(spark, seed):
     assert mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string, c int, k string").repartition(7), block_rows=40).select("doc_id", "taken", "positions").orderBy("doc_id").collect() == out.select("doc_id", "taken", "positions").orderBy("doc_id").collect()
 
 
+def test_running_sums(spark):
+    from quern.llm._shared import running_sums
+
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 9), rng.randint(-5, 50)) for i in range(700)]
+    df = spark.createDataFrame(rows, "i long, k int, __id long").repartition(6)
+    got = {r.i: (r.a, r.b) for r in running_sums(df, ["k", "i"], {"__id": "a", "k": "b"}).collect()}
+    a = b = 0
+    for i, k, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert got[i] == (a, b)
+        a, b = a + v, b + k
+
+
+def test_rows_without_an_id_are_no_single_block(spark):
+    rows = [(None, f"{i} " * (i % 5 + 1), "s", 1, "k") for i in range(600)]
+    _, out = mixed(spark, rows, block_rows=20, weights=(1,))
+    taken = out.groupBy("copies").count().collect()
+    assert {r["copies"] for r in taken} == {1} and out.count() == 600
+    assert out.select("positions").distinct().count() == 600
+
+
+def test_sizes_may_be_given(spark):
+    df, out = mixed(spark, [(i, "w " * (i % 7), "ab"[i % 2], 1, "k") for i in range(90)])
+    given = mixing.curriculum(df.withColumn("words", mixing.n_words(F.col("text"))).withColumn("text", F.lit(None).cast("string")), size_col="words")
+    pick = lambda x: sorted(map(tuple, x.select("doc_id", "size", "taken", "target").collect()))
+    assert pick(given) == pick(out)
+
+
 def test_curriculum_follows_the_schedule(spark):
     rows = [(i, "w " * 10, "ab"[i % 2], 1, "k") for i in range(2000)]
     _, out = mixed(spark, rows, weights=(1, 1), tilts=(-1.0, 1.0))
