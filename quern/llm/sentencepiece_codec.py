@@ -19,7 +19,7 @@ OWN_MARK = "\ud800"
 #: By how much a character without a piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Segments whose pieces a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ class Encoder:
         usable = [i for i in v.usable if v.splits is None or v.splits[i] >= 0]
         self.automaton = ahocorasick.Automaton()
         for i in usable:
-            self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i))
+            self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i) if v.splits is None else i)
         self.automaton.make_automaton()
         self.alone = {v.pieces[i] for i in usable if len(v.pieces[i]) == 1}
         self.worst = min((v.scores[i] for i in usable), default=0.0) - UNKNOWN_PENALTY
@@ -119,7 +119,9 @@ class Encoder:
         self.id_of = {v.pieces[i]: i for i in usable}
         self.place = {v.pieces[i]: -v.scores[i] for i in usable}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.compatible: dict[int, bool] = {}
+        #: Of each piece: the pieces that were looked at after it, and whether they are compatible; and how many in all.
+        self.compatible: list[dict[int, bool]] = [{} for _ in v.pieces]
+        self.pairs, self.sizes = 0, [len(p) for p in v.pieces]
         if v.splits is not None:
             self.segment = self._by_merges
 
@@ -152,32 +154,37 @@ class Encoder:
             else:
                 b += 1
 
+    def _looked_at(self, p: int, i: int) -> bool:
+        if self.pairs >= 5 * REMEMBERED:
+            for known in self.compatible:
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        good = self.compatible[p][i] = self._fit(p, i)
+        return good
+
     def _by_merges(self, s: str) -> list[int]:
         n = len(s)
-        last, size_of = [-1] * (n + 1), [1] * (n + 1)  # -1: a character without a piece
-        known, fit = self.compatible, self._fit
-        for end, (size, _, i) in self.automaton.iter(s):
+        last: list[int | None] = [None] * (n + 1)  # None: a character without a piece
+        compatible, sizes = self.compatible, self.sizes
+        for end, i in self.automaton.iter(s):
             end += 1
-            if last[end] >= 0:
-                continue
-            p = last[end - size]
-            if p >= 0:
-                good = known.get(p << 24 | i)
-                if good is None:
-                    if len(known) >= 10 * REMEMBERED:
-                        known.clear()
-                    good = known[p << 24 | i] = fit(p, i)
-                if not good:
-                    continue
-            last[end], size_of[end] = i, size
+            if last[end] is None:
+                p = last[end - sizes[i]]
+                if p is not None:
+                    good = compatible[p].get(i)
+                    if not (self._looked_at(p, i) if good is None else good):
+                        continue
+                last[end] = i
         out: list[int] = []
         while n:
             i = last[n]
-            if i >= 0:
-                out.append(i)
-            else:
+            if i is None:
                 out += reversed(self._unknown(s[n - 1]))
-            n -= size_of[n]
+                n -= 1
+            else:
+                out.append(i)
+                n -= sizes[i]
         out.reverse()
         return out
 
@@ -283,7 +290,7 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
     """docs with ids_col, the ids of each whole text's segmentation (see Encoder).
 
     Null has null ids, the empty text none. Texts of any length are read once, from left to right. The
-    vocabulary, of a fixed size, is broadcast; a task remembers up to REMEMBERED words' pieces, and whether up to ten
+    vocabulary, of a fixed size, is broadcast; a task remembers up to REMEMBERED words' pieces, and whether up to five
     times as many pairs of pieces are compatible.
     decode() gives each text back exactly if the model has pieces for bytes: a MARK in the text becomes bytes.
     Repeated rows are coded each, an empty table gives no rows. All columns are kept, whatever their names; a column
