@@ -175,10 +175,25 @@ def test_perplexities_are_those_of_the_definition(spark):
     junk = [r for r in got if r.doc_id is not None and 500 <= r.doc_id < 530]
     clean = [r for r in got if r.doc_id is not None and r.doc_id < 400 and r.doc_id > 9]
     assert not any(r.kept for r in junk) and sum(r.kept for r in clean) >= 0.97 * len(clean)
-    costs = sorted(math.ceil(cost(t) * 1000) for i, t, *_ in rows if i in held and t)
-    limit = costs[math.ceil(quality.QUANTILE * len(costs)) - 1] / 1000 + quality.MARGIN
-    if len(costs) < quality.LEAST_HELD_OUT * 2:
-        assert all(r.threshold == pytest.approx(limit) for r in got if r.lang is None)
+    # Each trusted text by the model that leaves its fold out; a language's median, scale and quantile of them.
+    fold = {i: zlib.crc32(str(i).encode()) % quality.HELD_OUT for i in trusted}
+    models = [brute_model([t for i, t, *_ in rows if i in trusted and fold[i] != k and t], quality.ORDER)[0] for k in range(quality.HELD_OUT)]
+    by_lang = defaultdict(list)
+    lang = {(r.doc_id, r.text): r.lang for r in got}
+    for i, t, *_ in rows:
+        if i in trusted and t:
+            by_lang[lang[i, t]].append((len(t.encode()), models[fold[i]](t)))
+    limits = {}
+    for x, told in by_lang.items():
+        n, c = (np.array(v, float) for v in zip(*told, strict=True))
+        scale = 1.4826 * np.median(np.abs(c - np.median(c)))
+        limits[x] = np.median(c), scale, np.quantile((c - np.median(c)) / np.sqrt(scale**2 + 1 / n), quality.QUANTILE)
+    for r in got:
+        if r.text and r.lang in limits:
+            middle, scale, q = limits[r.lang]
+            assert r.threshold == pytest.approx(middle + q * math.sqrt(scale**2 + 1 / len(r.text.encode())), abs=2e-3)
+            assert r.kept == (math.log(r.perplexity) <= r.threshold)
+    assert limits
     left = quality.drop_low_quality(df, labels)
     assert left.columns == df.columns and left.count() == sum(r.kept for r in got)
 
