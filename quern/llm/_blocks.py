@@ -19,8 +19,8 @@ BLOCK_ROWS = 1 << 20
 ROW = 1 << 22
 
 
-def _pack(at: int):
-    """A task's rows as blocks: deflated Arrow tables of up to BLOCK_BYTES of text (one text at least)."""
+def _pack(at: int, most: int):
+    """A task's rows as blocks: deflated Arrow tables of up to most bytes of text (one text at least)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -38,7 +38,7 @@ def _pack(at: int):
             for i, j, data, _ in B.text_batches(b.column(at), 1 << 20):
                 held.append(b.slice(i, j - i))
                 size, rows = size + len(data), rows + j - i
-                if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
+                if size >= most or rows >= BLOCK_ROWS:
                     yield block()
                     n, held, size, rows = n + 1, [], 0, 0
         if held:
@@ -47,10 +47,10 @@ def _pack(at: int):
     return f
 
 
-def pack(docs: DataFrame, text_col: str) -> DataFrame:
+def pack(docs: DataFrame, text_col: str, most: int = BLOCK_BYTES) -> DataFrame:
     """A table (block, rows) of docs, dealt to files by block: a join on block moves only the other side."""
     spark = docs.sparkSession
-    packed = docs.mapInArrow(_pack(docs.columns.index(text_col)), "block long, rows binary")
+    packed = docs.mapInArrow(_pack(docs.columns.index(text_col), most), "block long, rows binary")
     name, path = new_table(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._blocks import pack, unpack
-from ._shared import join_groups, stored
+from ._shared import drop_since, join_groups, mark, stored
 
 #: Bytes in an n-gram; up to 7, so that one is a number.
 ORDER = 5
@@ -21,6 +21,10 @@ MOST_BROADCAST = 4_000_000
 QUANTILE = 0.985
 #: Trusted documents are dealt to so many folds; a model leaves one out, and all texts are judged by the first.
 HELD_OUT = 5
+#: Bytes of text in a block: the larger, the fewer n-grams are asked for by several blocks.
+BLOCK_BYTES = 32 << 20
+#: Answers that a task holds before it packs them by block.
+ANSWERS = 1 << 20
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -89,13 +93,70 @@ def _ask(text: str):
     return f
 
 
+def _by_bytes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: these deflate well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(raw: np.ndarray, kind: type) -> np.ndarray:
+    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (block, g, folds, p0, ...) of a task, packed by block: sorted n-grams as differences, what models
+    they were asked of, and the probabilities by these."""
+    codec = pa.Codec("zstd", 3)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        x = pa.Table.from_batches(held)
+        block, g, folds = (x.column(k).to_numpy() for k in ("block", "g", "folds"))
+        order = np.lexsort((g, block))
+        block, g, folds = block[order], g[order], folds[order].astype(np.uint8)
+        p = [x.column(f"p{k}").to_numpy()[order] for k in range(HELD_OUT)]
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        n, size, rows = np.diff(np.append(edges, len(block))), [], []
+        for i, j in zip(edges, edges + n, strict=True):
+            values = [p[0][i:j], *(p[k][i:j][folds[i:j] >> k & 1 > 0] for k in range(1, HELD_OUT))]
+            raw = _by_bytes(np.diff(g[i:j], prepend=0)) + folds[i:j].tobytes() + _by_bytes(np.concatenate(values))
+            size.append(len(raw))
+            rows.append(codec.compress(raw, asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array(n), pa.array(size, pa.int64()), pa.array(rows, pa.binary())], ["block", "n", "size", "answers"])
+
+    held, many = [], 0
+    for b in batches:
+        held.append(b)
+        many += b.num_rows
+        if many >= ANSWERS:
+            yield packed(held)
+            held, many = [], 0
+    if many:
+        yield packed(held)
+
+
+def _model(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of a block's answers, and their logarithms by each model (nan: not asked for)."""
+    codec, gs, ps = pa.Codec("zstd"), [np.zeros(0, np.int64)], [np.zeros((HELD_OUT, 0), np.float32)]
+    for n, size, rows in zip(*(packed.column(k).to_pylist() for k in ("n", "size", "answers")), strict=True):
+        raw = np.frombuffer(codec.decompress(rows, size), np.uint8)
+        folds, values, first = raw[8 * n : 9 * n], _numbers(raw[9 * n :], np.float32), n
+        p = np.full((HELD_OUT, n), np.nan, np.float32)
+        p[0] = values[:n]
+        for k in range(1, HELD_OUT):
+            at = np.flatnonzero(folds >> k & 1)
+            p[k, at] = values[first : first + len(at)]
+            first += len(at)
+        gs.append(np.cumsum(_numbers(raw[: 8 * n], np.int64)))
+        ps.append(p)
+    g, p = np.concatenate(gs), np.concatenate(ps, axis=1)
+    order = np.argsort(g, kind="stable")
+    return g[order], np.log(p[:, order])
+
+
 def _score(text: str):
     """Length and summed logarithm of each text of a block, and by the model that leaves its fold out."""
 
-    def f(blocks: pa.Table, model: pa.Table) -> pa.Table:
-        g = model.column("g").to_numpy()
-        order = np.argsort(g, kind="stable")
-        g, p = g[order], np.stack([np.log(model.column(f"p{k}").to_numpy()[order]) for k in range(HELD_OUT)])
+    def f(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        g, p = _model(answers)
         out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": [], "own": []}
         for block, rows in zip(blocks.column("block"), blocks.column("rows"), strict=True):
             first = 0
@@ -151,21 +212,21 @@ def probabilities(top: DataFrame, asked: DataFrame, order: int = ORDER) -> DataF
         need[k] = stored(need[k + 1].select(F.col("g").bitwiseAND(mask(k)).alias("g")).distinct(), "kn-asked")
     below = None
     for k in range(1, order + 1):
-        own = []
+        off = []
         for j, (d1, d2, d3) in enumerate(discounts(levels[k])):
             c = F.col(f"c{j}")
-            own.append(F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3).alias(f"d{j}"))
-        seen = levels[k].select("*", F.shiftright("g", 8).alias("h"), *own)
-        context = seen.groupBy("h").agg(*[F.sum(f"c{j}").alias(f"s{j}") for j in models], *[F.sum(f"d{j}").alias(f"left{j}") for j in models])
+            off.append(F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).when(c > 2, d3))
+        context = levels[k].groupBy(F.shiftright("g", 8).alias("h")).agg(*[F.sum(f"c{j}").alias(f"s{j}") for j in models], *[F.sum(off[j]).alias(f"left{j}") for j in models])
         want = need[k].withColumn("h", F.shiftright("g", 8)).withColumn("l", F.col("g").bitwiseAND(mask(k - 1)))
-        got = want.join(seen.drop("h"), "g", "left").join(context, "h", "left")
+        got = want.join(levels[k], "g", "left").join(context, "h", "left")
         if below is not None:
             got = got.join(below.select(F.col("g").alias("l"), *[F.col(f"p{j}").alias(f"q{j}") for j in models]), "l", "left")
         p = []
         for j in models:
-            c, d, s, left = (F.col(f"{x}{j}") for x in ("c", "d", "s", "left"))
+            c, s, left = (F.col(f"{x}{j}") for x in ("c", "s", "left"))
             q = F.lit(1 / 256) if below is None else F.col(f"q{j}")
-            p.append(F.when(s > 0, F.coalesce((c - d) / s, F.lit(0.0)) + left / s * q).otherwise(q).alias(f"p{j}"))
+            one = F.when(s > 0, F.coalesce((c - off[j]) / s, F.lit(0.0)) + left / s * q).otherwise(q)
+            p.append(one.cast("double" if k < order else "float").alias(f"p{j}"))
         below = stored(got.select("g", *p), "kn-p")
     return below
 
@@ -183,19 +244,23 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     own = own.select(*names, F.col(col[lang_col]).cast("string").alias("__lang"), fold.alias("__fold"))
     text = col[text_col]
     # Dealt to files by block, so that blocks meet what is asked for them without moving again.
-    blocks = pack(own, text)
+    blocks = pack(own, text, BLOCK_BYTES)
+    first = mark(docs.sparkSession)
     learned = blocks.mapInArrow(_learn(text), "g long, fold long, c long")
     others = [F.sum(F.when(F.col("fold") == k, 0).otherwise(F.col("c"))).alias(f"c{k}") for k in range(HELD_OUT)]
     top = stored(learned.groupBy("g").agg(*others), "kn-top")
     asked = stored(blocks.mapInArrow(_ask(text), "block long, g long, folds long"), "kn-ask")
     p = probabilities(top, asked.select("g").distinct())
-    own = [F.when(F.col("folds").bitwiseAND(1 << k) > 0, F.col(f"p{k}").cast("float")).alias(f"p{k}") for k in range(1, HELD_OUT)]
-    answers = asked.join(p, "g").select("block", "g", F.col("p0").cast("float").alias("p0"), *own)
+    drop_since(docs.sparkSession, first, asked, p)
+    answers = asked.join(p, "g").select("block", "g", "folds", *[f"p{k}" for k in range(HELD_OUT)])
+    answers = answers.mapInArrow(_answers, "block long, n long, size long, answers binary")
     schema = "block long, at long, lang string, fold int, n long, log double, own double"
     scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(text), schema)
     scores = scores.withColumn("cost", F.when(F.col("n") > 0, -F.col("log") / F.col("n")))
     scores = scores.withColumn("own", F.when(F.col("n") > 0, -F.col("own") / F.col("n"))).drop("log")
-    return blocks, stored(scores, "kn-scores"), names
+    scores = stored(scores, "kn-scores")
+    drop_since(docs.sparkSession, first, scores)
+    return blocks, scores, names
 
 
 def spread(s: Column, n: Column) -> Column:
