@@ -22,7 +22,7 @@ QUANTILE = 0.985
 #: Trusted documents are dealt to so many folds; a model leaves one out, and all texts are judged by the first.
 HELD_OUT = 5
 #: Bytes of text in a block: the larger, the fewer n-grams are asked for by several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Answers that a task holds before it packs them by block.
 ANSWERS = 1 << 20
 
