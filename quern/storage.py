@@ -6,13 +6,52 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-#: Of each application, the paths and the names of tables that it has made, in order.
-_made: dict[str, list[tuple[str, str | None]]] = {}
+#: Of each application, the paths that it has made and the table at each; for clear() alone.
+_made: dict[str, dict[str, str | None]] = {}
+_lock = threading.Lock()
+#: The innermost scope of the call that runs; threads start without one, so none sees what another makes.
+_scope: ContextVar[Scope | None] = ContextVar("quern-scope", default=None)
+
+
+class Scope:
+    """What a call writes to the shared folder, so that it can delete that and nothing else.
+
+        with Scope(spark) as own:
+            a = stored(x, "a")
+            b = stored(a.join(y, "k"), "b")
+            own.drop(b)  # a goes
+
+    Tables of other threads, and those made before, are not in it. What is left at the end passes to the scope around it;
+    if the call fails, all of it is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, {}
+
+    def __enter__(self) -> Scope:
+        self.outer = _scope.get()
+        self.token = _scope.set(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _scope.reset(self.token)
+        if kind is not None:
+            self.drop()
+        if self.outer is not None:
+            self.outer.made |= self.made
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete what was made in this scope, but for keep (what stored returned). Nothing may still read it."""
+        kept = {getattr(df, "_stored_at", None) for df in keep}
+        gone = {path: table for path, table in self.made.items() if path not in kept}
+        self.made = {path: table for path, table in self.made.items() if path in kept}
+        _delete_all(self.spark, gone)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -32,7 +71,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def _note(spark: SparkSession, path: str, table: str | None = None) -> None:
-    _made.setdefault(spark.sparkContext.applicationId, []).append((path, table))
+    with _lock:
+        _made.setdefault(spark.sparkContext.applicationId, {})[path] = table
+    if scope := _scope.get():
+        scope.made[path] = table
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,25 +101,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    out._stored_at = path  # for Scope.drop
     return out
 
 
-def mark(spark: SparkSession) -> int:
-    """How many tables there are: drop_since takes away the later ones."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
-
-
-def drop_since(spark: SparkSession, first: int, *keep: DataFrame) -> None:
-    """Delete the tables made after mark gave first, but for keep (what stored returned). Nothing may still read them."""
-    kept = {getattr(df, "_stored_at", None) for df in keep}
-    made = _made.get(spark.sparkContext.applicationId, [])
-    gone = [x for x in made[first:] if x[0] not in kept]
-    made[first:] = [x for x in made[first:] if x[0] in kept]
-    for path, table in gone:
+def _delete_all(spark: SparkSession, made: dict[str, str | None]) -> None:
+    for path, table in made.items():
         if table:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         _delete(spark, path)
+        with _lock:
+            _made.get(spark.sparkContext.applicationId, {}).pop(path, None)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -86,6 +120,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder. Results that still read it must be done."""
-    drop_since(spark, 0)
+    """Delete all that this application has written to the shared folder, whichever thread did. Results that still read
+    it must be done."""
+    _delete_all(spark, dict(_made.get(spark.sparkContext.applicationId, {})))
     _delete(spark, scratch_dir(spark))

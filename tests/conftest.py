@@ -47,6 +47,7 @@ def agrees(spark, duck):
     def check(query, sql):
         got, want = query(spark, str(DATA)).toPandas(), duck.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
-        assert canonical(got) == canonical(want)
+        # Whole numbers with nulls are floats in one and not in the other.
+        assert canonical(got.convert_dtypes()) == canonical(want.convert_dtypes())
 
     return check

@@ -1,3 +1,6 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from quern import storage
@@ -29,14 +32,46 @@ def test_clear_leaves_tables_of_others_alone(spark, tmp_path, monkeypatch):
         spark.sql("DROP TABLE quern_other")
 
 
-def test_only_tables_after_a_mark_are_dropped(spark, tmp_path, monkeypatch):
+def test_a_scope_drops_only_what_it_made(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "scratch_dir", lambda s: str(tmp_path / "shared"))
+    left = lambda: sorted(p.name.split("-")[0] for p in (tmp_path / "shared").iterdir())
     before = storage.stored(spark.range(1), "before")
-    first = storage.mark(spark)
-    gone, kept = storage.stored(spark.range(2), "gone"), storage.stored(spark.range(3), "kept")
-    storage.drop_since(spark, first, kept)
-    assert (before.count(), kept.count()) == (1, 3)
-    assert not list((tmp_path / "shared").glob("gone-*")) and gone is not None
+    with storage.Scope(spark) as outer:
+        storage.stored(spark.range(2), "outer")
+        with storage.Scope(spark) as inner:
+            storage.stored(spark.range(2), "gone")
+            kept = storage.stored(spark.range(3), "kept")
+            inner.drop(kept)
+            assert left() == ["before", "kept", "outer"]
+        assert (before.count(), kept.count()) == (1, 3)
+        outer.drop()  # what the inner scope has left is the outer one's
+    assert left() == ["before"]
+
+
+def test_a_scope_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_dir", lambda s: str(tmp_path / "shared"))
+    with pytest.raises(ZeroDivisionError), storage.Scope(spark):
+        storage.stored(spark.range(2), "half")
+        raise ZeroDivisionError
+    assert not list((tmp_path / "shared").iterdir())
+
+
+def test_scopes_of_threads_leave_one_anothers_tables_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_dir", lambda s: str(tmp_path / "shared"))
+    made, dropped = threading.Barrier(2, timeout=60), threading.Barrier(2, timeout=60)
+
+    def work(i):
+        with storage.Scope(spark) as own:
+            mine = storage.stored(spark.range(i + 2), f"mine{i}")
+            storage.stored(spark.range(9), f"gone{i}")
+            made.wait()
+            own.drop(mine)
+            dropped.wait()
+            return mine.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, range(2))) == [2, 3]
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "shared").iterdir()) == ["mine0", "mine1"]
 
 
 def test_scratch_without_a_checkpoint_folder_is_our_own(spark):
