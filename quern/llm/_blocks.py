@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..storage import new_table
 from . import _bytes as B
@@ -15,6 +16,10 @@ from . import _bytes as B
 #: Bytes of text in a block; texts are deflated, so that a block is a few MB. Rows of a block.
 BLOCK_BYTES = 12 << 20
 BLOCK_ROWS = 1 << 20
+#: Bytes of text that a file of blocks should hold, which is what one task joins; larger where MOST_FILES would be too few.
+FILE_BYTES = 24 << 20
+#: Spark's own bound on the buckets of a table.
+MOST_FILES = 100_000
 #: A row's number is its block's number times this, plus its place.
 ROW = 1 << 22
 
@@ -47,13 +52,23 @@ def _pack(at: int, most: int):
     return f
 
 
+def n_files(docs: DataFrame, text_col: str) -> int:
+    """Over how many files blocks of docs are dealt: by the bytes of text (this reads the column once)."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return min(max(1, -(-total // FILE_BYTES)), MOST_FILES)
+
+
 def pack(docs: DataFrame, text_col: str, most: int = BLOCK_BYTES) -> DataFrame:
     """A table (block, rows) of docs, dealt to files by block: a join on block moves only the other side."""
-    spark = docs.sparkSession
     packed = docs.mapInArrow(_pack(docs.columns.index(text_col), most), "block long, rows binary")
+    return in_files(packed, n_files(docs, text_col))
+
+
+def in_files(blocks: DataFrame, files: int) -> DataFrame:
+    """blocks (with a column block) as a table dealt to so many files by block."""
+    spark = blocks.sparkSession
     name, path = new_table(spark, "blocks")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    blocks.write.bucketBy(files, "block").option("path", path).option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
 

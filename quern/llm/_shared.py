@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop_since, mark, stored
+from ..storage import Scope, stored
 
 #: The characters that separate words and that exact comparison ignores.
 SPACES = r"[\x20\x09-\x0D]"
@@ -77,26 +77,27 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    first = mark(spark)
-    e = stored(e, name)
     print_of = lambda x: x.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(38,0)"))).first()
     least_of = lambda x: stored(x.groupBy("a").agg(F.min("b").alias("m")), name)
-    for _ in range(rounds):
-        before = print_of(e)
-        # Large star: every larger neighbour of a vertex goes to the least of the vertex and its neighbours.
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least_of(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = stored(large.distinct(), name)
-        least = least_of(large)
-        # Nothing moved and each vertex has one smaller neighbour: these are stars.
-        if print_of(large) == before and least.count() == before[0]:
-            break
-        # Small star: a vertex and its smaller neighbours go to the least of these.
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        drop_since(spark, first, e)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    with Scope(spark) as own:
+        e = stored(e, name)
+        for _ in range(rounds):
+            before = print_of(e)
+            # Large star: every larger neighbour of a vertex goes to the least of the vertex and its neighbours.
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            large = both.join(least_of(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+            large = stored(large.distinct(), name)
+            least = least_of(large)
+            # Nothing moved and each vertex has one smaller neighbour: these are stars.
+            if print_of(large) == before and least.count() == before[0]:
+                break
+            # Small star: a vertex and its smaller neighbours go to the least of these.
+            small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            e = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+            own.drop(e)
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        own.drop(e)
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 

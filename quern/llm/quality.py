@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scope, stored
 from . import _bytes as B
 from ._blocks import pack, unpack
-from ._shared import drop_since, join_groups, mark, stored
+from ._shared import join_groups
 
 #: Bytes in an n-gram; up to 7, so that one is a number.
 ORDER = 5
@@ -245,21 +246,21 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     text = col[text_col]
     # Dealt to files by block, so that blocks meet what is asked for them without moving again.
     blocks = pack(own, text, BLOCK_BYTES)
-    first = mark(docs.sparkSession)
-    learned = blocks.mapInArrow(_learn(text), "g long, fold long, c long")
-    others = [F.sum(F.when(F.col("fold") == k, 0).otherwise(F.col("c"))).alias(f"c{k}") for k in range(HELD_OUT)]
-    top = stored(learned.groupBy("g").agg(*others), "kn-top")
-    asked = stored(blocks.mapInArrow(_ask(text), "block long, g long, folds long"), "kn-ask")
-    p = probabilities(top, asked.select("g").distinct())
-    drop_since(docs.sparkSession, first, asked, p)
-    answers = asked.join(p, "g").select("block", "g", "folds", *[f"p{k}" for k in range(HELD_OUT)])
-    answers = answers.mapInArrow(_answers, "block long, n long, size long, answers binary")
-    schema = "block long, at long, lang string, fold int, n long, log double, own double"
-    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(text), schema)
-    scores = scores.withColumn("cost", F.when(F.col("n") > 0, -F.col("log") / F.col("n")))
-    scores = scores.withColumn("own", F.when(F.col("n") > 0, -F.col("own") / F.col("n"))).drop("log")
-    scores = stored(scores, "kn-scores")
-    drop_since(docs.sparkSession, first, scores)
+    with Scope(docs.sparkSession) as own_tables:
+        learned = blocks.mapInArrow(_learn(text), "g long, fold long, c long")
+        others = [F.sum(F.when(F.col("fold") == k, 0).otherwise(F.col("c"))).alias(f"c{k}") for k in range(HELD_OUT)]
+        top = stored(learned.groupBy("g").agg(*others), "kn-top")
+        asked = stored(blocks.mapInArrow(_ask(text), "block long, g long, folds long"), "kn-ask")
+        p = probabilities(top, asked.select("g").distinct())
+        own_tables.drop(asked, p)
+        answers = asked.join(p, "g").select("block", "g", "folds", *[f"p{k}" for k in range(HELD_OUT)])
+        answers = answers.mapInArrow(_answers, "block long, n long, size long, answers binary")
+        schema = "block long, at long, lang string, fold int, n long, log double, own double"
+        scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(text), schema)
+        scores = scores.withColumn("cost", F.when(F.col("n") > 0, -F.col("log") / F.col("n")))
+        scores = scores.withColumn("own", F.when(F.col("n") > 0, -F.col("own") / F.col("n"))).drop("log")
+        scores = stored(scores, "kn-scores")
+        own_tables.drop(scores)
     return blocks, scores, names
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_codec, sharding, suffix_dedup
+from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, packing, periodic_runs, quality, sentencepiece_codec, sharding, suffix_dedup, token_alignment
 from ._shared import stored
 
 
@@ -103,11 +103,72 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(docs, width=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+#: The two vocabularies of op11.
+A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", MODEL_FILE
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, _ = token_alignment.align(table(spark, sf_dir, "documents"), A_FILE, B_FILE, keep_groups=False)
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(planted).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(told, lambda r: F.concat(r, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: The vocabulary of op13.
+WORDS_FILE = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORDS_FILE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 ORACLES = {
+    "op12_periodic_runs": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, doc_id::VARCHAR AS id FROM documents
+), h AS (
+  SELECT doc_id, w, len(w)::BIGINT AS n, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, flatten([[ascii(id[j])::UBIGINT, 0, 0, 0, 0, 0, 0, 0] FOR j IN range(1, length(id) + 1)])),
+    lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::UBIGINT)))::BIGINT AS h FROM d
+), a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+i AS (SELECT doc_id, n, w, a, 1 + (n - a) // (3 + g % 8) AS p, unnest(range(n)) AS i FROM a),
+x AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM i),
+m AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+  FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 3
+), s AS (
+  SELECT doc_id, q, min(i) AS start, max(i) + 1 - min(i) + q AS length FROM m GROUP BY doc_id, q, island HAVING max(i) + 1 - min(i) + q >= greatest(24, 3 * q)
+), r AS (
+  SELECT * FROM s WHERE NOT EXISTS (
+    SELECT 1 FROM s z WHERE z.doc_id = s.doc_id AND z.q < s.q AND s.q % z.q = 0 AND z.start <= s.start AND z.start + z.length >= s.start + s.length)
+), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / q DESC, start, q) AS rn FROM r),
+t AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told,
+         max(start) FILTER (rn = 1) AS start, max(length) FILTER (rn = 1) AS length, max(q) FILTER (rn = 1) AS period FROM o GROUP BY doc_id
+), c AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.q AND x.i < r.start + r.length) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e, label FROM embeddings

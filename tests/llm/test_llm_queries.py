@@ -9,7 +9,7 @@ def test_same_rows_as_sql(agrees, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 14))
 
 
 def test_native_operators_plan_no_python(spark):
