@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,9 +38,39 @@ def hash_partition(key: Column, n: int) -> Column:
     return fnv1a(key) % n
 
 
+def sorted_literal(points: list, kind: str) -> Column:
+    """A sorted list as one literal of the plan (Spark evaluates it once), however many points it has."""
+    return F.from_json(F.lit(json.dumps(points)), f"array<{kind}>")
+
+
+def place_among(points: Column, n: int, probe: Column, after_equals: bool = False, first: Column | None = None, end: Column | None = None, widest: int | None = None) -> Column:
+    """How many of n sorted points are below the probe (with after_equals: not above it), found by halves: as many
+    comparisons as n has bits. first and end say between which points it must be, widest how far these are apart."""
+    start = F.lit(0) if first is None else first
+    stop = F.lit(n) if end is None else end
+    steps = [1 << k for k in range((n if widest is None else widest).bit_length() - 1, -1, -1)]
+
+    def further(at: Column, step: Column) -> Column:
+        point = F.get(points, (at + step - 1).cast("int"))
+        return F.when((at + step <= stop) & (point <= probe if after_equals else point < probe), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)).cast("array<int>"), start.cast("int"), further).cast("bigint")
+
+
 def splits_below(key: Column, splits: list[str]) -> Column:
-    """How many of the split points are below the key, bytewise: the number of the range it is in."""
-    return F.size(F.filter(F.array(*map(F.lit, splits)).cast("array<string>"), lambda s: s < key)).cast("bigint")
+    """How many of the split points are below the key, bytewise: the number of the range it is in; 0 for null.
+
+    The points are a sorted array with the place of the first point of each leading byte (all beyond ASCII are one), so that
+    a key is compared only with points of its own leading byte, and of these by halves."""
+    points = sorted(splits, key=str.encode)
+    # Of each leading byte up to 128, how many points have a lower one; the empty point is below all.
+    heads = [min(p.encode()[0], 128) if p else -1 for p in points]
+    starts = [bisect_left(heads, b) for b in range(129)] + [len(points)]
+    lead = F.least(F.ascii(key), F.lit(128))
+    widest = max((b - a for a, b in zip(starts, starts[1:], strict=False)), default=0)
+    bounds = F.array(*map(F.lit, starts)).cast("array<int>")
+    inside = place_among(sorted_literal(points, "string"), len(points), key, first=F.get(bounds, lead), end=F.get(bounds, lead + 1), widest=widest)
+    return F.when(key != "", inside).otherwise(F.lit(0).cast("bigint"))
 
 
 def trie_partition(key: Column, splits: list[str]) -> Column:

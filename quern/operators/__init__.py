@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sort_key, split_lines, words
@@ -98,13 +98,16 @@ def total_sort(lines: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, order: list[str | Column], name: str = "rn", start: int = 1) -> DataFrame:
     """df with each row's place in a total order. No task sees all rows: rows are sorted by range partition,
-    written once, and numbered by the place in their partition plus the rows of the partitions before,
-    of which there is one number each."""
+    written once, and numbered as they lie."""
+    return numbered(df.orderBy(*order), name, start)
+
+
+def numbered(df: DataFrame, name: str = "rn", start: int = 1) -> DataFrame:
+    """df, written once, with each row's place among all as they lie: that in its partition plus the rows of the partitions
+    before, of which there is one number each."""
     bits = 33  # Spark's row ids: the partition's number above, the row's place in it below
-    placed = stored(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    placed = stored(df.withColumn("__id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__id", bits)
-    from pyspark.sql import Window
-
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
     offsets = counts.select("__part", before.alias("__before"))

@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from .. import operators as O
 from .. import sources
-from ..functions import sort_key, splits_below
+from ..functions import sort_key, words
+from ..operators.segments import value_segments
+from .ranges import by_split_points
 
 
 @dataclass(frozen=True)
 class JobSpec:
-    """What to run on what. partitions: of the result, None for Spark's choice; sample: split points come from it."""
+    """What to run on what. partitions: of the result, None for Spark's choice; sample: split points come from it;
+    most: rows of a range between split points that are not cut again, None for a bound by the even share."""
 
     job: str
     inputs: tuple[str, ...]
     partitions: int | None = None
     sample: str | None = None
+    most: int | None = None
 
     def __post_init__(self):
         if self.partitions is not None and self.partitions < 1:
@@ -57,20 +61,16 @@ def job_of(name: str) -> Job:
 
 def run_job(spark: SparkSession, spec: JobSpec) -> DataFrame:
     """The job's (key, value) rows in order of key: in as many sorted ranges as spec.partitions says, or with a sample
-    one for each range between its split points (finding these runs jobs; the rest is lazy)."""
+    one for each range between its split points, or several for a range that is too large (finding these runs jobs; the rest is
+    lazy)."""
     job = job_of(spec.job)
     out = job.reducer(job.mapper(spark, spec))
     if spec.partitions is None:
         return out.orderBy("key", "value")
     if spec.sample is None:
         return out.repartitionByRange(spec.partitions, "key", "value").sortWithinPartitions("key", "value")
-    return by_split_points(out, O.split_points(sources.lines(spark, [spec.sample]), spec.partitions)).sortWithinPartitions("key", "value")
-
-
-def by_split_points(kv: DataFrame, splits: list[str]) -> DataFrame:
-    """Deal rows to ranges between the split points: range i is partition i, empty ones included."""
-    part = kv.withColumn("__part", splits_below(F.col("key"), splits).cast("int"))
-    return part.repartitionById(len(splits) + 1, F.col("__part")).drop("__part")
+    splits = O.split_points(sources.lines(spark, [spec.sample]), spec.partitions)
+    return by_split_points(out, splits, spec.most).sortWithinPartitions("key", "value")
 
 
 def _word_counts(pairs: DataFrame) -> DataFrame:
@@ -85,8 +85,26 @@ def _lines(spark: SparkSession, spec: JobSpec) -> DataFrame:
     return sources.lines(spark, list(spec.inputs)).select(sort_key(F.col("line")).alias("key"), F.col("line").alias("value"))
 
 
-register("wc", Job(lambda spark, spec: O.emit_pairs(sources.documents(spark, list(spec.inputs)), "contents"), _word_counts))
-register("ii", Job(lambda spark, spec: O.distinct_tokens(sources.documents(spark, list(spec.inputs)), "document", "contents").withColumnsRenamed({"word": "key", "doc": "value"}), _index))
+def _words(spark: SparkSession, spec: JobSpec) -> DataFrame:
+    """Words line by line, as none crosses a line feed: files of any size are read in splits."""
+    return O.emit_pairs(sources.file_lines(spark, list(spec.inputs)), "line")
+
+
+def _words_by_file(spark: SparkSession, spec: JobSpec) -> DataFrame:
+    """(word, file) once for each listed file that has the word: distinct in a line, in a task, then over tasks."""
+    found = sources.file_lines(spark, list(spec.inputs)).select(F.explode(F.array_distinct(words(F.col("line")))).alias("key"), F.col("document").alias("value"), "copy")
+    return found.distinct().select("key", "value")
+
+
+def _segments(pairs: DataFrame) -> DataFrame:
+    """The index of which no line has more than operators.segments.SEGMENT files: "segment n files"."""
+    found = value_segments(pairs)
+    return found.select("key", F.concat_ws(" ", F.format_string("%09d", "segment"), F.col("n").cast("string"), F.array_join("values", ",")).alias("value"))
+
+
+register("wc", Job(_words, _word_counts))
+register("ii", Job(_words_by_file, _index))
+register("iis", Job(_words_by_file, _segments))
 register("srt", Job(_lines, lambda kv: kv, "value"))
 
 
@@ -152,6 +170,7 @@ def reduce_by_key(kv: DataFrame, f: Callable[[str, Iterator[str]], str]) -> Data
     return kv.repartition("key").sortWithinPartitions("key", "value").mapInPandas(g, sources.KV)
 
 
-def python_job(map_f: Callable[[str, str], Pairs], reduce_f: Callable[[str, Iterator[str]], str], form: str = "key: value", combine: Callable[[str, Iterator[str]], str] | None = None) -> Job:
-    """A job of a user's own map and reduce functions."""
-    return Job(lambda spark, spec: map_documents(sources.documents(spark, list(spec.inputs)), "document", "contents", map_f, combine), lambda kv: reduce_by_key(kv, reduce_f), form)
+def python_job(map_f: Callable[[str, str], Pairs], reduce_f: Callable[[str, Iterator[str]], str], form: str = "key: value", combine: Callable[[str, Iterator[str]], str] | None = None, by_line: bool = False) -> Job:
+    """A job of a user's own map and reduce functions. by_line: map_f gets a file's name and one of its lines, so that large
+    files are read in splits, in place of the name and all of the file."""
+    return Job(lambda spark, spec: map_documents(sources.contents(spark, list(spec.inputs), by_line), "document", "contents", map_f, combine), lambda kv: reduce_by_key(kv, reduce_f), form)

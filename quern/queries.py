@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import operators as O
 from . import plans, sources
+from .operators import difference as D
+from .operators import sampling, segments
+from .plans.folds import Fold, fold_by_key
 from .storage import new_path
 
 
@@ -204,6 +209,71 @@ def plugin_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.reduce_by_key(pairs, _summed).select(F.col("key").alias("word"), F.col("value").cast("bigint").alias("n"))
 
 
+def _mean_step(pairs: pa.Table) -> pa.Table:
+    whole = pa.table({"key": pairs["key"], "value": pc.cast(pairs["value"], pa.int64())})
+    found = whole.group_by("key").aggregate([("value", "count"), ("value", "sum")])
+    return pa.table({"key": found["key"], "n": found["value_count"], "total": found["value_sum"]})
+
+
+def _mean_merge(states: pa.Table) -> pa.Table:
+    found = states.group_by("key").aggregate([("n", "sum"), ("total", "sum")])
+    return pa.table({"key": found["key"], "n": found["n_sum"], "total": found["total_sum"]})
+
+
+def _mean_finish(states: pa.Table) -> pa.Table:
+    mean = pc.divide(pc.cast(states["total"], pa.float64()), pc.cast(states["n"], pa.float64()))
+    return pa.table({"key": states["key"], "value": pc.cast(mean, pa.string())})
+
+
+#: The mean of whole numbers.
+MEAN = Fold("n long, total long", _mean_step, _mean_merge, _mean_finish)
+
+
+def plugin_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mean by key as a user's own reduce function, combined in the task."""
+    kv = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("key"), F.col("l_quantity").cast("bigint").cast("string").alias("value"))
+    return fold_by_key(kv, MEAN).select("key", F.col("value").cast("double").alias("mean"))
+
+
+# Lists in segments
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.index_segments(O.distinct_tokens(_docs(spark, sf_dir), "doc_id", "text"), most=100)
+
+
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).withColumn("docs", F.array_join("docs", ","))
+
+
+def index_with_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have all of the three most frequent words."""
+    words = [r.word for r in _words(spark, sf_dir).orderBy(F.desc("n"), "word").limit(3).collect()]
+    return segments.documents_with_all(_index(spark, sf_dir), *words)
+
+
+def sort_group_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segments.value_segments(O.keyed_lines(_records(spark, sf_dir)), most=10)
+    return found.select("key", "segment", "n", F.array_join("values", "\n").alias("text"))
+
+
+# Samples and comparisons
+
+
+def split_points_by_least_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split points of the sorted records from the 500 with the least hashes, here bits of an MD5, so that SQL can tell them."""
+    hashed = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("bigint")
+    points = sampling.approximate_split_points(_records(spark, sf_dir), 7, size=500, hashed=hashed)
+    return spark.createDataFrame(list(enumerate(points, 1)), "pos long, line string")
+
+
+def result_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are more, or less, often in texts labelled as English than in others, and by how many."""
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    own, other = (O.emit_pairs(_docs(spark, sf_dir).filter(x), "text").select(F.col("key").alias("word")) for x in (english, ~english))
+    return D.difference(own, other)
+
+
 # Jobs over files
 
 
@@ -240,6 +310,33 @@ def job_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("part", F.spark_partition_id().cast("bigint"))
 
 
+def _sorted_with_an_old_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records sorted by split points that are all below them but for a few: nearly all rows are of one range."""
+    data, sample = new_path(spark, "job-records"), new_path(spark, "job-sample")
+    _records(spark, sf_dir).write.text(data)
+    table(spark, sf_dir, "part").select(F.concat(F.lit("#"), "p_name")).write.text(sample)
+    return plans.run_job(spark, plans.JobSpec("srt", (data,), partitions=7, sample=sample, most=CUT_ABOVE))
+
+
+#: Rows that a range may have in job_srt_cut.
+CUT_ABOVE = 200
+
+
+def job_srt_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their place as they lie in the result, and whether their partition holds no more rows than it may."""
+    placed = O.numbered(_sorted_with_an_old_sample(spark, sf_dir).withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg((F.count("*") <= CUT_ABOVE).alias("bounded"))
+    return placed.join(sizes, "part").select("rn", "key", "value", "bounded")
+
+
+def job_srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that job_srt writes: how many lines each has, and how many are out of order."""
+    path = new_path(spark, "job-files")
+    sources.write_final(job_srt(spark, sf_dir).drop("part"), path, "value")
+    found = D.order_breaks(spark, path, fn.sort_key(F.col("value")))
+    return found.select(F.regexp_extract("file", "/part-([0-9]+)", 1).cast("bigint").alias("part"), "n", "breaks")
+
+
 def kv_json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written to a folder for each hash partition, and read back with the folder they were in."""
     pairs = O.emit_pairs(_docs(spark, sf_dir), "text").groupBy("key").agg(F.count("*").cast("string").alias("value"))
@@ -255,7 +352,8 @@ QUERIES = [
     total_sort_lines, sort_group_concat, sort_within_partition, sample_split_points, hash_partition, hash_partition_sizes,
     shuffle_matrix, range_partition, range_partition_trie, range_partition_wrapped, reduce_sum, reduce_count,
     reduce_sorted_join, merge_last_wins, final_text_lines, kv_json_roundtrip, implicit_union, plugin_word_count,
-    job_wc, job_ii, job_srt, kv_json_parts,
+    plugin_mean, index_segments, index_with_all, sort_group_segments, split_points_by_least_hashes, result_difference,
+    job_wc, job_ii, job_srt, job_srt_cut, job_srt_files, kv_json_parts,
 ]
 
 
@@ -273,6 +371,11 @@ _FNV = """(list_reduce(list_prepend(2166136261::UBIGINT,
   lambda h, b: (xor(h, b) * 16777619::UBIGINT) & 4294967295::UBIGINT) & 2147483647::UBIGINT)::BIGINT % 10"""
 _SPLITS = f"{_RECORDS}, o AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS pos, count(*) OVER () // 7 AS step FROM r), s AS (SELECT line AS split FROM o WHERE pos % step = 0)"
 _BELOW = "(SELECT count(*) FROM s WHERE split < {x})"
+_SRT = f"""WITH {_RECORDS}, m AS (SELECT p_name AS line FROM part WHERE p_partkey % 3 = 0),
+o AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS pos, count(*) OVER () // 7 AS step FROM m), s AS (SELECT line AS split FROM o WHERE pos % step = 0),
+u AS (SELECT key, {_BELOW.format(x='key')} AS part FROM (SELECT DISTINCT key FROM k))"""
+_PLACED = r"""d AS (SELECT DISTINCT doc_id::VARCHAR AS doc, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents),
+q AS (SELECT word, doc, row_number() OVER (PARTITION BY word ORDER BY doc) - 1 AS pos FROM d)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -317,11 +420,23 @@ SELECT user_id, part, event_id, event_type FROM o WHERE rn = 1""",
         "kv_json_roundtrip": "SELECT doc_id::VARCHAR AS key, text AS value FROM documents",
         "implicit_union": f"WITH {_COUNTS} SELECT word AS key, n FROM c",
         "plugin_word_count": f"WITH {_COUNTS} SELECT word, n FROM c",
+        "plugin_mean": "SELECT l_suppkey::VARCHAR AS key, avg(l_quantity::BIGINT) AS mean FROM lineitem GROUP BY 1",
+        "index_segments": f"""WITH {_PLACED} SELECT word, (pos // 100)::BIGINT AS segment, min(doc) AS first, max(doc) AS last, count(*) AS n, string_agg(doc, ',' ORDER BY doc) AS docs
+FROM q GROUP BY 1, 2""",
+        "index_with_all": f"""WITH {_COUNTS}, t AS (SELECT word FROM c ORDER BY n DESC, word LIMIT 3), {_PLACED}
+SELECT doc FROM q WHERE word IN (SELECT word FROM t) GROUP BY doc HAVING count(*) = 3""",
+        "sort_group_segments": f"""WITH {_RECORDS}, p AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value) - 1 AS pos FROM k)
+SELECT key, pos // 10 AS segment, count(*) AS n, string_agg(value, chr(10) ORDER BY value) AS text FROM p GROUP BY 1, 2""",
+        "split_points_by_least_hashes": f"""WITH {_RECORDS}, h AS (SELECT line FROM r ORDER BY substr(md5(line), 1, 15) LIMIT 500),
+o AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS place, count(*) OVER () AS n FROM h), i AS (SELECT unnest(range(1, 7)) AS pos)
+SELECT pos, line FROM i JOIN o ON place = pos * n // 7""",
+        "result_difference": rf"""WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS word, coalesce(lang = 'en', false) AS own FROM documents)
+SELECT word, sum(CASE WHEN own THEN 1 ELSE -1 END)::BIGINT AS surplus FROM w GROUP BY word HAVING surplus <> 0""",
+        "job_srt_cut": f"WITH {_RECORDS} SELECT row_number() OVER (ORDER BY key, value) AS rn, key, value, true AS bounded FROM k",
+        "job_srt_files": f"{_SRT} SELECT part, count(*) AS n, 0::BIGINT AS breaks FROM k JOIN u USING (key) GROUP BY part",
         "job_wc": f"WITH {_COUNTS} SELECT word AS key, n::VARCHAR AS value FROM c",
         "job_ii": rf"""WITH d AS (SELECT DISTINCT 'ids=' || coalesce(floor(doc_id / {FILE_IDS}.0)::BIGINT::VARCHAR, 'none') AS doc, unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM documents)
 SELECT word AS key, count(*) AS n, string_agg(doc, ',' ORDER BY doc) AS docs FROM d GROUP BY word""",
-        "job_srt": f"""WITH {_RECORDS}, m AS (SELECT p_name AS line FROM part WHERE p_partkey % 3 = 0),
-o AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS pos, count(*) OVER () // 7 AS step FROM m), s AS (SELECT line AS split FROM o WHERE pos % step = 0),
-u AS (SELECT key, {_BELOW.format(x='key')} AS part FROM (SELECT DISTINCT key FROM k)) SELECT key, value, part FROM k JOIN u USING (key)""",
+        "job_srt": f"{_SRT} SELECT key, value, part FROM k JOIN u USING (key)",
         "kv_json_parts": f"WITH {_COUNTS} SELECT word AS key, n::VARCHAR AS value, {_FNV.format(k='word')} AS part FROM c",
     }

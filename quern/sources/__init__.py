@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,29 +15,47 @@ KV = T.StructType([T.StructField("key", T.StringType(), False), T.StructField("v
 KV_JSON = T.StructType([T.StructField("Key", T.StringType()), T.StructField("Value", T.StringType())])
 
 
-def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(document, contents): one row for each file, named by its path; local files as they are given, so
-    relative to the working folder if paths are. A file that is listed twice is read twice."""
+def _file_name(paths: list[str]) -> Column:
+    """A row's file by its path; local files as they are given, so relative to the working folder if paths are."""
     name = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     name = F.regexp_replace(name, "^file:/+", "/")
     here = f"{os.getcwd()}/"
     if not any(p.startswith("/") or ":" in p for p in paths):
         name = F.when(name.startswith(here), F.substring(name, F.lit(len(here) + 1), F.length(name))).otherwise(name)
+    return name
 
-    def read(some: list[str]) -> DataFrame:
-        return spark.read.text(some, wholetext=True).select(name.alias("document"), F.col("value").alias("contents"))
 
-    # Spark lists a path once: what is given n times is in n lists.
+def _listings(paths: list[str]) -> list[list[str]]:
+    """Spark lists a path once: what is given n times is in n lists."""
     rounds: list[list[str]] = []
     for p in paths:
         own = next((r for r in rounds if p not in r), None)
         if own is None:
             rounds.append(own := [])
         own.append(p)
-    out = read(rounds[0])
-    for r in rounds[1:]:
-        out = out.unionByName(read(r))
-    return out
+    return rounds
+
+
+def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(document, contents): one row, and so one task, for each file, named by its path; for functions that need a whole file.
+    A file that is listed twice is read twice."""
+    read = [spark.read.text(some, wholetext=True).select(_file_name(paths).alias("document"), F.col("value").alias("contents")) for some in _listings(paths)]
+    return reduce(DataFrame.unionByName, read)
+
+
+def file_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(document, copy, line): a row for each line that is not empty, with its file's path; only line feeds end a line. Files of any size are
+    read in splits, by many tasks. A file that is listed twice is read twice: copy tells which listing a row is of."""
+    read = [
+        spark.read.text(some, lineSep="\n").filter("value <> ''").select(_file_name(paths).alias("document"), F.lit(i).alias("copy"), F.col("value").alias("line"))
+        for i, some in enumerate(_listings(paths))
+    ]
+    return reduce(DataFrame.unionByName, read)
+
+
+def contents(spark: SparkSession, paths: list[str], by_line: bool) -> DataFrame:
+    """(document, contents) of whole files, or of their lines."""
+    return file_lines(spark, paths).select("document", F.col("line").alias("contents")) if by_line else documents(spark, paths)
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
