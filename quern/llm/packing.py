@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
-import os
+import json
+import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ from ..storage import Scope, stored
 from . import _bytes as B
 from ._blocks import BLOCK_ROWS, in_files, n_files
 from ._shared import running_sums
+from .token_alignment import Pieces
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH = 4096
@@ -25,36 +29,52 @@ BLOCK_TOKENS = 4 << 20
 PLACES = 4096
 DIMENSIONS = 4
 BITS = 12
-#: Words whose ids a task remembers, and the bytes of such a word at most.
-REMEMBERED = 200_000
+#: Words, and pieces of words, whose ids a task remembers, and the bytes of such a word at most.
+REMEMBERED = 600_000
 LONGEST = 60
+#: The steps before the merges of tokenizers whose plain words are cut here: fixed values of the tokenizer's file.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of printable ASCII (but the apostrophe, which begins endings, and the sign that begins special tokens) and Latin-1
+#: letters: NFC leaves them as they are. In lower case they fall into letters, single digits and runs of all else.
+_PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
-class Words:
-    """Ids of texts by a tokenizer that splits at white space and drops it: a word's ids do not depend on those
-    beside it, so each is looked up once. Only ASCII white space is split at here; what else a tokenizer takes for
-    white space is inside words and left to it."""
+class Words(dict):
+    """Ids, as 32-bit numbers, of words by a tokenizer that splits at white space and drops it, so that a word's ids do not depend
+    on those beside it; each is looked up once. Only ASCII white space is split at here; what else a tokenizer takes for
+    white space is inside words and left to it. Plain words are cut into the tokenizer's pieces here, if it has the steps that
+    are known, and only pieces not seen before go through its merges."""
 
     def __init__(self, file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.seen: dict[bytes, bytes] = {}
+        steps = json.loads(self.tokenizer.to_str())
+        normal, first = (steps.get("normalizer") or {}).get("normalizers", []), (steps.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = [n["type"] for n in normal] == NORMALIZERS and first[0].get("pattern") == {"Regex": PATTERN} and [x["type"] for x in first] == ["Split", "ByteLevel"]
+        self.pieces = Pieces(self.tokenizer)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.plain or not _PLAIN.fullmatch(text):
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif text.isalpha():
+            ids = self.pieces[text.lower()]
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers."""
-        words = [t.split() for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen = self.seen
-        new = sorted({w for own in words for w in own if w not in seen})
-        told = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, told, strict=True)}
-        seen.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-        long = {w: ids for w, ids in fresh.items() if len(w) > LONGEST}
-        of = (seen | long).__getitem__ if long else seen.__getitem__
-        return [b"".join(map(of, own)) for own in words]
+        """The ids of each text."""
+        for seen in (self, self.pieces):
+            if len(seen) > REMEMBERED:
+                seen.clear()
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
 def _tokenized(file: str, end: int):
@@ -101,10 +121,14 @@ def _rows(block: bytes) -> tuple[pa.Array, Iterator[np.ndarray]]:
     return x.column("id").combine_chunks(), (np.frombuffer(t, "<u4" if bytes(t[:1]) == b"4" else "<u2", offset=1) for t in held)
 
 
+#: The place in a document's vector of each id under 2^16.
+_PLACE = (B.mixed(np.arange(1 << 16, dtype=B.U), 5) % B.U(PLACES)).astype(np.int64)
+
+
 def document_vector(ids: np.ndarray) -> np.ndarray:
     """Roots of the counts of ids, hashed to PLACES, as a vector of length 1."""
-    v = np.sqrt(np.bincount((B.mixed(ids.astype(B.U), 5) % B.U(PLACES)).astype(np.int64), minlength=PLACES))
-    return v / np.sqrt((v * v).sum())
+    v = np.sqrt(np.bincount(_PLACE[ids & 0xFFFF], minlength=PLACES))
+    return v / np.sqrt(v @ v)
 
 
 def axes() -> np.ndarray:
@@ -122,8 +146,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in tokens:
                 n.append(len(x))
                 at.append(document_vector(x) @ onto)
-                with np.errstate(over="ignore"):
-                    tie.append(int((B.mixed(x.astype(B.U), 6) * B.powers(len(x))).sum().astype(np.int64)))
+                tie.append(zlib.crc32(x) << 31 ^ zlib.adler32(x))
             at = np.array(at).reshape(-1, DIMENSIONS)
             columns = [pa.array([number.as_py()] * len(n), pa.int64()), pa.array(range(len(n)), pa.int64()), own, pa.array(n, pa.int64()), pa.array(tie, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(at[:, k]) for k in range(DIMENSIONS)]], ["block", "at", "id", "n", "tie", *[f"x{k}" for k in range(DIMENSIONS)]])
