@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,15 @@ from ._blocks import BLOCK_BYTES, BLOCK_ROWS, in_files, n_files, unpack
 
 #: A pair of ids is one number: A's id times this, plus B's.
 PAIR = 1 << 20
-#: Pieces of texts whose alignment a task remembers, and the characters of such a piece at most.
-REMEMBERED = 200_000
+#: Words whose alignment a task remembers, and the characters of such a word at most.
+REMEMBERED = 300_000
 LONGEST = 60
+#: The pattern that a byte-level tokenizer splits text by, in the library's own form: a fixed value of its file.
+LEVELS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Words of printable ASCII (but the apostrophe, which begins endings) and Latin-1 letters, and the pieces that the pattern cuts
+#: them into: runs of letters, of digits and of all else.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: What any tokenizer may take for white space; a text is cut before a space only if none of these precedes it.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
 _CUT = re.compile(f"(?<=[^{re.escape(WHITE)}]) (?=.)", re.DOTALL)
@@ -37,6 +46,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+class Pieces(dict):
+    """Ids, as 32-bit numbers, of pieces that a byte-level tokenizer's pattern leaves whole: what its merges make of them."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.merged = tokenizer.model.tokenize
+        self.letters = {b: ord(c) for c, b in byte_alphabet().items()}  # for bytes read as Latin-1
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.merged(raw)]).tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+
 def owners(sizes: np.ndarray) -> np.ndarray:
     """For each byte the number of the token that owns it."""
     return np.repeat(np.arange(len(sizes)), sizes)
@@ -68,11 +93,19 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
+        steps = json.loads(self.a.to_str())
+        self.plain = steps["normalizer"] is None and steps["pre_tokenizer"] == LEVELS
+        self.a_pieces = Pieces(self.a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         alphabet = byte_alphabet()
         self.a_bytes = [self._a_piece(self.a.id_to_token(i), alphabet) for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        # A token's id as text and what follows it: the next one of its group and side, the other side, the next group.
+        self.a_text = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
+        self.b_text = [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
+        self.text = [*self.a_text, *self.b_text]
         self.cut = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.seen: dict[str, tuple] = {}
 
@@ -81,38 +114,58 @@ class Aligner:
         # Special tokens are written as they are.
         return bytes(alphabet[c] for c in piece) if piece and all(c in alphabet for c in piece) else (piece or "").encode()
 
-    def _align(self, texts: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, groups, pairs) of each text, a space before it; None if tokens give other bytes."""
-        told_a = [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
-        told_b = self.b.encode(texts, num_threads=1)
-        out: list[tuple | None] = []
-        good = []
-        for t, a, b in zip(texts, told_a, told_b, strict=True):
-            raw = f" {t}".encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            good.append(same)
-        a = [i for ids, same in zip(told_a, good, strict=True) if same for i in ids]
-        b = [i for ids, same in zip(told_b, good, strict=True) if same for i in ids]
-        # All texts at once: one ends where tokens of both do, so no link crosses its end.
-        x, y, cut = aligned(np.array([len(self.a_bytes[i]) for i in a], np.int64), np.array([len(self.b_bytes[i]) for i in b], np.int64))
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        pairs = ids_a[x] * PAIR + ids_b[y]
-        bounds = np.append(0, np.flatnonzero(cut) + 1)
-        first_a, first_b = np.append(x[bounds[:-1]], len(a)).tolist(), np.append(y[bounds[:-1]], len(b)).tolist()
-        groups = [f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in zip(first_a, first_a[1:], first_b, first_b[1:], strict=False)]
-        # Where each text's tokens, links and groups end.
-        end_a = np.cumsum([len(ids) for ids, same in zip(told_a, good, strict=True) if same]).astype(np.int64)
-        end_group = np.searchsorted(first_a, end_a)
-        end_link = bounds[end_group]
-        at, g, p = 0, 0, 0
-        for ids_of_a, ids_of_b, same in zip(told_a, told_b, good, strict=True):
-            if not same:
+    def _a_ids(self, texts: list[str]) -> list[bytes]:
+        """A's ids of each text, a space before it."""
+        out, other = [], []
+        for t in texts:
+            if self.plain and _PLAIN.fullmatch(t):
+                out.append(self.a_pieces[f" {t}"] if t.isalpha() else b"".join(map(self.a_pieces.__getitem__, self._spaced(t))))
+            else:
                 out.append(None)
-                continue
-            h, q = int(end_group[at]), int(end_link[at])
-            out.append((len(ids_of_a), len(ids_of_b), h - g, ";".join(groups[g:h]), pairs[p:q].tobytes()))
-            at, g, p = at + 1, h, q
-        return out
+                other.append(f" {t}")
+        told = iter(self.a.encode_batch(other, add_special_tokens=False))
+        return [array("I", next(told).ids).tobytes() if ids is None else ids for ids in out]
+
+    @staticmethod
+    def _spaced(word: str) -> list[str]:
+        first, *rest = _PIECE.findall(word)
+        return [f" {first}", *rest]
+
+    def _align(self, texts: list[str]) -> list[tuple | None]:
+        """(n_a, n_b, n_groups, groups, pairs) of each text, a space before it; None if tokens give other bytes."""
+        told_a, told_b = self._a_ids(texts), self.b.encode(texts, num_threads=1)
+        a = np.frombuffer(b"".join(told_a), np.uint32).astype(np.int64)
+        b = np.fromiter(chain.from_iterable(told_b), np.int64)
+        end_a, end_b = np.cumsum([len(ids) // 4 for ids in told_a]), np.cumsum([len(ids) for ids in told_b])
+        size_a, size_b = self.a_size[a], self.b_size[b]
+        raw = [f" {t}".encode() for t in texts]
+        ends = np.cumsum([len(r) for r in raw])
+        sums = lambda size, end: np.append(0, np.cumsum(size))[end]
+        same = np.array_equal(sums(size_a, end_a), ends) and np.array_equal(sums(size_b, end_b), ends)
+        if not (same and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(raw) == b"".join(map(self.b_bytes.__getitem__, b.tolist()))):
+            good = [b"".join(map(self.a_bytes.__getitem__, np.frombuffer(i, np.uint32))) == r == b"".join(map(self.b_bytes.__getitem__, j)) for i, j, r in zip(told_a, told_b, raw, strict=True)]
+            rest = iter(self._align([t for t, g in zip(texts, good, strict=True) if g]) if any(good) else [])
+            return [next(rest) if g else None for g in good]
+        # All texts at once: where one ends tokens of both do, so no link crosses that.
+        x, y, cut = aligned(size_a, size_b)
+        group = np.cumsum(cut) - cut
+        of_a, of_b = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
+        of_a[x], of_b[y] = group, group
+        # Groups as text: the tokens of A, then those of B, of one group after the other.
+        first_b, last_a = np.searchsorted(of_b, of_a), np.searchsorted(of_a, of_b, "right")
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + first_b] = 2 * a + (np.diff(of_a, append=-1) != 0)
+        order[np.arange(len(b)) + last_a] = len(self.a_text) + 2 * b + (np.diff(of_b, append=-1) != 0)
+        told = list(map(self.text.__getitem__, order.tolist()))
+        pairs = (a[x] * PAIR + b[y]).tobytes()
+        end_group = np.append(0, of_a[end_a - 1] + 1).tolist()
+        end_link = (8 * np.append(0, np.searchsorted(x, end_a))).tolist()
+        end_told = np.append(0, end_a + end_b).tolist()
+        n_a, n_b = np.diff(end_a, prepend=0).tolist(), np.diff(end_b, prepend=0).tolist()
+        return [
+            (n_a[i], n_b[i], end_group[i + 1] - end_group[i], "".join(told[end_told[i] : end_told[i + 1]]), pairs[end_link[i] : end_link[i + 1]])
+            for i in range(len(texts))
+        ]
 
     def pieces(self, text: str) -> list[str]:
         """The text cut at the spaces between words."""
@@ -126,23 +179,25 @@ class Aligner:
         """Of each text, a space before it: the number of tokens of A, of B and of groups, the groups as text, and the
         linked pairs, as 64-bit numbers. None if the text is empty or tokens do not give its bytes."""
         own = [self.pieces(t) if t else [] for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+        for seen in (self.seen, self.a_pieces):
+            if len(seen) > REMEMBERED:
+                seen.clear()
         seen = self.seen
-        new = sorted({p for ps in own for p in ps if p not in seen})
+        new = list(set().union(*own).difference(seen))
         fresh = dict(zip(new, self._align(new), strict=True)) if new else {}
         seen.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
-        look = seen | fresh if any(len(p) > LONGEST for p in fresh) else seen
+        look = (seen | fresh if any(len(p) > LONGEST for p in fresh) else seen).__getitem__
         out: list = []
         for text, ps in zip(texts, own, strict=True):
-            parts = [look[p] for p in ps]
+            parts = list(map(look, ps))
             if not parts:
                 out.append(None)
             elif None in parts:
-                out.append(self._align([text])[0])
+                whole = self._align([text])[0]
+                out.append(whole and (*whole[:3], whole[3][:-1], whole[4]))
             else:
                 a, b, g, told, pairs = zip(*parts, strict=True)
-                out.append((sum(a), sum(b), sum(g), ";".join(told), b"".join(pairs)))
+                out.append((sum(a), sum(b), sum(g), "".join(told)[:-1], b"".join(pairs)))
         return out
 
 
