@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD
+from ._shared import WORD, stored
 
 #: Tokens (words, and one for the marks of a turn) of new turns, and of repeated ones, in a window.
 BUDGET = 768
 HISTORY = 192
-#: Turns that are folded into windows at a time: a conversation's windows end there too, so no fold grows with it.
-PIECE = 256
+#: Conversations of up to so many turns are folded into windows; longer ones are by joins, so that no fold grows with one.
+FOLDED = 256
 #: Marks of the template; roles and texts are escaped, so "<" is in marks only.
 OPEN, AGAIN, BETWEEN, CLOSE = "<turn ", "<again ", ">\n", "</turn>\n"
 
@@ -34,13 +34,40 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.replace(role, F.lit("&gt;"), F.lit(">")))
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, piece: int = PIECE) -> DataFrame:
+def _spans(t: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv, at): the turns that windows begin at, of conversations of any length; t: conv_id, n, tokens, before, charged.
+
+    A window that began at a turn would end before the last turn whose prefix sum is within its room: prefix sums and
+    the ends of all rooms are sorted together, and a running maximum tells. Which of these windows there are follows from
+    the first one by doubling jumps: each round joins the turns reached with jumps over twice as many windows, so there are as
+    many rounds as the longest conversation's number of windows has bits."""
+    charged = F.col("charged")
+    room = F.when(F.col("n") == 1, budget - charged).otherwise(F.greatest(F.lit(1), budget - history - charged))
+    place = t.select(F.col("conv_id").alias("conv"), F.col("n").alias("at"), F.explode(F.array(F.struct(F.col("before").alias("v"), F.lit(0).alias("ask")), F.struct((F.col("before") + room).alias("v"), F.lit(1).alias("ask")))).alias("x"))
+    last = F.max(F.when(F.col("x.ask") == 0, F.col("at"))).over(Window.partitionBy("conv").orderBy("x.v", "x.ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.col("before") + F.col("tokens")  # a turn fits if its own end does: the next turn's prefix sum, or the last one's end
+    ends = t.groupBy(F.col("conv_id").alias("conv")).agg(F.max("n").alias("n"), F.max(end).alias("end"))
+    place = place.unionByName(ends.select("conv", (F.col("n") + 1).alias("at"), F.struct(F.col("end").alias("v"), F.lit(0).alias("ask")).alias("x")))
+    jumps = place.withColumn("to", F.greatest(F.coalesce(last, F.lit(0)), F.col("at") + 1)).filter("x.ask = 1").select("conv", "at", "to")
+    whose = ends.select(F.col("conv").alias("of"), F.col("n").alias("most"))
+    jumps = stored(jumps.join(whose, F.col("conv").eqNullSafe(F.col("of"))).filter("to <= most").select("conv", "at", "to"), "chat-jumps")
+    reached = stored(ends.select("conv", F.lit(1).cast("long").alias("at")), "chat-starts")
+    while not jumps.isEmpty():
+        of = jumps.select(F.col("conv").alias("of"), F.col("at").alias("from"), "to")
+        from_ = lambda key: F.col("conv").eqNullSafe(F.col("of")) & (F.col(key) == F.col("from"))
+        reached = stored(reached.unionByName(reached.join(of, from_("at")).select("conv", F.col("to").alias("at"))), "chat-starts")
+        on = jumps.withColumnRenamed("to", "via").join(of, from_("via")).select("conv", "at", "to")
+        jumps = stored(on, "chat-jumps")
+    return reached
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, folded: int = FOLDED) -> DataFrame:
     """One row for each window of a conversation: conv_id, window (from 0), formatted, loss.
 
     turns: conv_id, turn, role, text. A turn's tokens are its words and one; prefix sums of them choose turn-aligned
     spans: a window takes new turns while their sum is within its room, which is the budget in the first window and in
-    later ones what the leading system turn, repeated in each, and the history leave of it. It also ends after every piece
-    turns. A window after the first repeats the last turns of the one before, up to history tokens and what its own
+    later ones what the leading system turn, repeated in each, and the history leave of it. A window after the first
+    repeats the last turns of the one before, up to history tokens and what its own
     turns leave of the budget. So new turns, system turn and history together are within the budget; only a window
     of a single new turn, which with the system turn is over it, is longer (and has no history). No turn is cut. loss
     is an array of (start, length) in code points of formatted: the texts of assistant turns, but not of
@@ -50,11 +77,13 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     mark. Null text is empty, null role is the empty role, and a null conv_id is a conversation of its
     own. Turns with equal numbers follow in order of role and text; equal rows are kept, as turns of their own.
     An empty table gives no rows; other columns are not looked at, so their names do not clash. Sums run over sorted rows
-    that spill, a fold holds the token counts of up to piece turns, and only a window's rows are collected, so a
-    long conversation needs no memory; very long texts are windows of their own.
+    that spill. Conversations of up to folded turns find their windows in one pass over their token counts; whether there
+    are longer ones is looked for when called, and theirs are found by joins (_spans), with the same result. Only a
+    window's rows are collected, so a long conversation needs no memory; very long texts are windows of their own.
     """
-    if not 0 <= history <= budget or budget < 1 or piece < 1:
-        raise ValueError("history must be from 0 to budget, budget and piece at least 1")
+    if not 0 <= history <= budget or budget < 1 or folded < 1:
+        raise ValueError("history must be from 0 to budget, budget and folded at least 1")
+    long = not turns.groupBy("conv_id").count().filter(F.col("count") > folded).isEmpty()
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long"))
     t = t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
@@ -65,22 +94,33 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     t = t.withColumn("leads", leads).withColumn("before", F.sum(own).over(so_far) - own)
     t = t.withColumn("system", F.first(F.when(F.col("leads"), F.col("text")), ignorenulls=True).over(so_far))
     charged = F.coalesce(F.first(F.when(F.col("leads"), F.col("tokens")), ignorenulls=True).over(so_far), F.lit(0))
-    t = t.withColumn("charged", charged.cast("long")).withColumn("piece", F.floor((F.col("n") - 1) / piece).cast("long"))
+    t = t.withColumn("charged", charged.cast("long"))
 
-    # The window that each turn is in: greedily, over the token counts from the start of its piece.
-    counts = F.collect_list("tokens").over(Window.partitionBy("conv_id", "piece").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The turns that begin a window: greedily, over the token counts from the start of the conversation.
+    counts = F.collect_list("tokens").over(so_far)
     room = F.greatest(F.lit(1), budget - history - F.col("charged"))
 
     def take(at, tokens):
-        first = (at["start"] == 0) & (F.col("piece") == 0)
-        fits = (at["k"] == 0) | (at["used"] + tokens <= F.when(first, F.lit(budget)).otherwise(room))
+        fits = (at["k"] == 0) | (at["used"] + tokens <= F.when(at["start"] == 0, F.lit(budget)).otherwise(room))
         used = F.when(fits, at["used"] + tokens).otherwise(tokens)
         return F.struct(used.alias("used"), F.when(fits, at["start"]).otherwise(at["k"]).alias("start"), (at["k"] + 1).alias("k"))
 
     zero = F.lit(0).cast("long")
-    t = t.withColumn("fold", F.aggregate(counts, F.struct(zero.alias("used"), zero.alias("start"), zero.alias("k")), take))
-    t = t.withColumn("starts", F.col("fold.start") + 1 == F.col("fold.k")).withColumn("used", F.col("fold.used")).drop("fold")
+    fold = lambda x: x.withColumn("fold", F.aggregate(counts, F.struct(zero.alias("used"), zero.alias("start"), zero.alias("k")), take))
+    started = lambda x: fold(x).withColumn("starts", F.col("fold.start") + 1 == F.col("fold.k")).drop("fold")
+    if long:
+        t = t.withColumn("many", F.count("*").over(Window.partitionBy("conv_id")))
+        far = t.filter(F.col("many") > folded)
+        begin = _spans(stored(far.select("conv_id", "n", own.alias("tokens"), "before", "charged"), "chat-turns"), budget, history)
+        far = far.join(begin, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("n") == F.col("at")), "left").withColumn("starts", F.col("at").isNotNull())
+        t = started(t.filter(F.col("many") <= folded)).unionByName(far.drop("conv", "at")).drop("many")
+    else:
+        t = started(t)
+    # What a window has used up to a turn: its new turns, and in the first one the system turn.
+    begun = F.last(F.when(F.col("starts"), F.col("before")), ignorenulls=True).over(so_far)
+    t = t.withColumn("used", F.col("before") + F.when(F.col("leads"), 0).otherwise(F.col("tokens")) - begun)
     t = t.withColumn("window", (F.sum(F.col("starts").cast("long")).over(so_far) - 1).cast("long"))
+    t = t.withColumn("used", F.col("used") + F.when(F.col("window") == 0, F.col("charged")).otherwise(0))
     # The tokens of its window, and the next window, seen from each turn: rows run backwards, so that sums stay running ones.
     t = t.withColumn("ends", F.coalesce(F.lead("starts").over(order), F.lit(True)))
     back = Window.partitionBy("conv_id").orderBy(F.col("n").desc())

@@ -246,7 +246,7 @@ placed AS (
   UNION ALL
   SELECT x.conv_id, x.n, CASE WHEN f.fits THEN t.start ELSE x.n END, CASE WHEN f.fits THEN t.used + x.tokens ELSE x.tokens END
   FROM taken t JOIN placed x ON x.conv_id IS NOT DISTINCT FROM t.conv_id AND x.n = t.n + 1,
-  LATERAL (SELECT (x.n - 1) % 256 <> 0 AND t.used + x.tokens <= CASE WHEN t.start = 1 THEN 768 ELSE greatest(1, 768 - 192 - x.charged) END AS fits) f
+  LATERAL (SELECT t.used + x.tokens <= CASE WHEN t.start = 1 THEN 768 ELSE greatest(1, 768 - 192 - x.charged) END AS fits) f
 ), windows AS (
   SELECT x.*, t.start AS w, length(body) + length(shown) + length(x.n::VARCHAR) AS inner_chars
   FROM placed x JOIN taken t ON t.conv_id IS NOT DISTINCT FROM x.conv_id AND t.n = x.n
