@@ -18,7 +18,9 @@ DIMENSIONS = 12
 SAMPLE_NUMBERS = 1 << 20
 #: Bytes of a block of the sequence, blocks that there should be at least, and rows below which an interval is not
 #: cut further.
-BLOCK_BYTES, LEAST_BLOCKS, LEAF = 8 << 20, 8, 512
+BLOCK_BYTES, LEAST_BLOCKS, LEAF = 1 << 20, 12, 512
+#: Bytes of the blocks that a task multiplies with as many others.
+TILE_BYTES = 64 << 20
 #: Blocks, and then intervals of blocks, that make an interval of the next level.
 FAN = 8
 
@@ -74,14 +76,16 @@ def _blocks(axes: np.ndarray, rows: int):
         for b in batches:
             held.append(b)
             count += b.num_rows
-            if count >= rows:
+            while count >= 4 * rows:  # a task should have one block's rows; of more, not all are held
                 t = pa.Table.from_batches(held)
-                while t.num_rows >= rows:
-                    yield block(t.slice(0, rows))
-                    n, t = n + 1, t.slice(rows)
-                held, count = t.to_batches(), t.num_rows
+                yield block(t.slice(0, rows))
+                n, held, count = n + 1, t.slice(rows).to_batches(), count - rows
         if count:
-            yield block(pa.Table.from_batches(held))
+            t = pa.Table.from_batches(held)
+            ends = np.linspace(0, count, max(1, round(count / rows)) + 1).astype(int).tolist()
+            for i, j in zip(ends, ends[1:], strict=False):  # equal ones, so that no small rest meets all others
+                yield block(t.slice(i, j - i))
+                n += 1
 
     return f
 
@@ -158,19 +162,42 @@ def join_intervals(x: np.ndarray, y: np.ndarray, axes: np.ndarray, cosine: float
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
+def tiles(pairs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of blocks with their tile (ta, tb), of width by width blocks, and the blocks (ta, tb, id) that each
+    tile needs. A block is sent once to a tile, however many pairs of the tile it is in, and not to tiles without pairs."""
+    of = lambda k: F.floor(F.col(k) / width).cast("long").alias(f"t{k}")
+    placed = pairs.select(of("a"), of("b"), "a", "b")
+    return placed, placed.select("ta", "tb", F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def tile_width(blocks: int, block_bytes: int, most: int = TILE_BYTES) -> int:
+    """The blocks on a side of a tile: the square root of their number, so that sends grow with its power 1.5, as far as a
+    task holds as much."""
+    return max(1, min(int(np.sqrt(blocks)), most // max(block_bytes, 1)))
+
+
 def _join(axes: np.ndarray, cosine: float, kind: str):
-    """Links between two blocks, or within one, whose vectors' components are of kind."""
+    """Links within a tile, whose vectors' components are of kind: of each linked vector a count and one connection."""
 
-    def f(group: pa.Table) -> pa.Table:
-        group = group.sort_by("side")
-        read = lambda k, of: [np.frombuffer(v.as_py(), of) for v in group.column(k)]
+    def f(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        read = lambda k, of: [np.frombuffer(v.as_py(), of) for v in blocks.column(k)]
+        place = {b: k for k, b in enumerate(blocks.column("id").to_pylist())}
         reps, weights = read("reps", np.int64), read("weights", np.int64)
         m = [unit(v.reshape(-1, len(axes))) for v in read("data", kind)]
-        same = len(m) == 1
-        i, j = join_intervals(m[0], m[-1], axes, cosine, same)
-        ids, weight = (reps[0], weights[0]) if same else (np.concatenate(reps), np.concatenate(weights))
-        j = j if same else j + len(reps[0])
-        links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+        first = np.append(0, np.cumsum([len(r) for r in reps]))
+        ids, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (reps, weights))
+        links, found = np.zeros(len(ids)), []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            p, q = place[a], place[b]
+            i, j = join_intervals(m[p], m[q], axes, cosine, p == q)
+            for k, own, other, x in ((p, i, j, weights[q]), (q, j, i, weights[p])):
+                links[first[k] : first[k + 1]] += np.bincount(own, x[other], len(reps[k]))
+            if len(i):  # a connection for each vector is enough of each pair of blocks
+                at = np.arange(first[p], first[p + 1]) if p == q else np.append(np.arange(first[p], first[p + 1]), np.arange(first[q], first[q + 1]))
+                root = B.roots(len(at), i, j if p == q else j + len(reps[p]))
+                has = np.flatnonzero(root != np.arange(len(at)))
+                found.append((at[has], at[root[has]]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         root = B.roots(len(ids), i, j)
         has = np.flatnonzero(links)
         return pa.table({"id": ids[has], "links": links[has].astype(np.int64), "root": ids[root[has]]})
@@ -186,8 +213,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     leading principal dimensions (epsilon grid order; the axes are fitted on a sample of SAMPLE_NUMBERS numbers), range
     by range over all tasks, and cut into blocks of up to block_bytes. meeting_blocks joins intervals of the
     sequence of blocks recursively, skipping provably distant ones; join_intervals goes on in the same way within two
-    blocks, so only short intervals are multiplied. Each task returns a count and a
-    connection for each vector, not pairs.
+    blocks, so only short intervals are multiplied. Pairs of blocks are put together in tiles, of which each gets a block
+    at most once, and a task for each returns a count and a connection for each vector, not pairs.
 
     What is skipped depends on the vectors: if the leading dimensions keep them apart, most blocks; if they spread
     evenly in very many dimensions, no boxes are distant and the work is that of all pairs of blocks.
@@ -225,10 +252,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         placed = blocks.join(F.broadcast(tasks), "part").withColumn("id", F.col("before") + F.col("n"))
         boxes = stored(placed.select("id", "lo", "hi"), "ego-boxes")
         pairs = meeting_blocks(boxes, far, fan)
-        sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
-        work = placed.select("id", "reps", "weights", "data").join(sides, "id").withColumn("side", (F.col("id") != F.col("a")).cast("int"))
-        work = work.select("a", "b", "side", "reps", "weights", "data").groupBy("a", "b")
-        part = work.applyInArrow(_join(axes, cosine, "f4" if single else "f8"), "id long, links long, root long")
+        width = tile_width(boxes.count(), size * (4 if single else 8) * d)
+        pairs, sides = tiles(pairs, width)
+        sent = placed.select("id", "reps", "weights", "data").join(sides.withColumnsRenamed({"ta": "va", "tb": "vb"}), "id")
+        part = sent.groupBy("va", "vb").cogroup(pairs.groupBy("ta", "tb")).applyInArrow(_join(axes, cosine, "f4" if single else "f8"), "id long, links long, root long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, links long, root long")

@@ -217,6 +217,39 @@ def test_blocks_meet_as_their_boxes_say(spark):
     assert [tuple(r) for r in embedding_dedup.meeting_blocks(boxes.filter("id = 0"), 0.2).collect()] == [(0, 0)]
 
 
+def test_blocks_are_sent_less_often_than_the_square_of_their_number(spark):
+    sent = {}
+    for n in (16, 32, 64):
+        boxes = spark.createDataFrame([(i, [0.0], [1.0]) for i in range(n)], "id long, lo array<double>, hi array<double>")
+        pairs = embedding_dedup.meeting_blocks(boxes, 0.1)  # evenly spread vectors: all blocks meet
+        placed, sides = embedding_dedup.tiles(pairs, embedding_dedup.tile_width(n, 1))
+        assert placed.count() == n * (n + 1) // 2
+        of = {(r.ta, r.tb, r.id) for r in sides.collect()}
+        assert all({(r.ta, r.tb, r.a), (r.ta, r.tb, r.b)} <= of for r in placed.collect())
+        sent[n] = len(of)
+    assert sent[32] < 4 * sent[16] and sent[64] < 4 * sent[32] and sent[64] < 10 * sent[16]  # the square: 16 times
+    assert embedding_dedup.tile_width(10_000, 1 << 20, 8 << 20) == 8  # what a task holds is bounded
+
+
+def test_a_tasks_rows_are_cut_into_equal_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.standard_normal((3000, 8)))]
+    counts = []
+    real = embedding_dedup.meeting_blocks
+    monkeypatch.setattr(embedding_dedup, "meeting_blocks", lambda boxes, *a: counts.append(boxes.count()) or real(boxes, *a))
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, block_bytes=100 * 8 * 8).count()
+    assert 25 <= counts[0] <= 36
+
+
+def test_null_and_repeated_ids_of_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, None)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()), key=str)
+    # Rows of one id are one vertex: what they are linked with is one component.
+    assert {(i, c) for i, _, c, _ in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+    assert (None, 0, None, True) in got and (4, 0, 4, True) in got
+
+
 def test_clustered_vectors_meet_few_blocks(spark, monkeypatch):
     """Vectors whose leading dimensions keep them apart: pairs of blocks grow as the blocks do, not as their square."""
     monkeypatch.setattr(embedding_dedup, "LEAF", 16)

@@ -45,6 +45,26 @@ def test_exact_empty_table_and_drop(spark):
     assert left.count() == len(brute_exact(rows)[0])
 
 
+def test_only_texts_of_repeated_hashes_move(spark, monkeypatch):
+    rows = [(i, f"text number {i}") for i in range(200)] + [(300, "copy"), (301, "c o p y"), (None, "copy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    moved = []
+    kind = type(df)
+    grouped = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *c: (moved.append(self.count()) if [str(x) for x in c] == ["h", "norm"] else None, grouped(self, *c))[1])
+    want = sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", 0)
+    assert want == sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
+    assert moved == [3, 203]
+
+
+def test_of_rows_without_ids_one_of_each_group_stays(spark):
+    rows = [(None, "same text")] * 500 + [(None, "same  text")] * 3 + [(7, "other"), (7, "other"), (7, "oth er")]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.text) for r in left if r.doc_id) == [(7, "oth er")]
+    assert [r.text for r in left if r.doc_id is None] == ["same  text"]
+
+
 # Sharding
 
 
@@ -257,13 +277,13 @@ def windows_of(spark, rows, budget, history):
     return chat_format.format_windows(spark.createDataFrame(rows, TURNS), budget, history)
 
 
-def brute_windows(tokens, leads, budget, history, piece):
+def brute_windows(tokens, leads, budget, history):
     """New turns and repeated ones (from 0) of each window."""
     charged = tokens[0] if leads else 0
     out, new = [], []
     for k, x in enumerate(tokens):
         room = budget if not out else max(1, budget - history - charged)
-        if new and (k % piece == 0 or sum(tokens[i] for i in new) + x > room):
+        if new and sum(tokens[i] for i in new) + x > room:
             out.append(new)
             new = []
         new.append(k)
@@ -279,19 +299,19 @@ def brute_windows(tokens, leads, budget, history, piece):
     return told
 
 
-@pytest.mark.parametrize("piece", [7, 256])
-def test_windows_keep_budget_history_and_system(spark, piece):
+@pytest.mark.parametrize("folded", [7, 45, 256])
+def test_windows_keep_budget_history_and_system(spark, folded):
     rng = random.Random(4)
     roles = ["user", "assistant"]
-    rows = [(c, t, "system" if t == 0 and c % 2 else roles[t % 2], " ".join(["w"] * (60 if rng.random() < 0.03 else rng.randint(0, 12))), 0) for c in range(6) for t in range(60)]
-    out = chat_format.format_windows(spark.createDataFrame(rows, TURNS), 40, 15, piece)
+    rows = [(c, t, "system" if t == 0 and c % 2 else roles[t % 2], " ".join(["w"] * (60 if rng.random() < 0.03 else rng.randint(0, 12))), 0) for c in range(6) for t in range(60 if c < 4 else 30)]
+    out = chat_format.format_windows(spark.createDataFrame(rows, TURNS), 40, 15, folded)
     by = {}
     for r in out.collect():
         by.setdefault(r.conv_id, []).append(r)
     for c, ws in by.items():
         ws.sort(key=lambda r: r.window)
         tokens = [len(r[3].split()) + 1 for r in rows if r[0] == c]
-        want = brute_windows(tokens, c % 2, 40, 15, piece)
+        want = brute_windows(tokens, c % 2, 40, 15)
         assert [r.window for r in ws] == list(range(len(want)))
         for k, (r, (new, old)) in enumerate(zip(ws, want, strict=True)):
             marks = [m.split(" ", 2) for m in r.formatted.split("\n") if m.startswith(("<turn ", "<again "))]
@@ -299,7 +319,21 @@ def test_windows_keep_budget_history_and_system(spark, piece):
             assert [int(m[1]) - 1 for m in marks] == again + old + new
             assert [m[0] for m in marks] == ["<again"] * len(again + old) + ["<turn"] * len(new)
             assert sum(tokens[i] for i in again + old + new) <= 40 or len(new) == 1 and not old
-        assert [i for new, _ in want for i in new] == list(range(60)) and len(ws) > 3
+        assert [i for new, _ in want for i in new] == list(range(len(tokens))) and len(ws) > 3
+
+
+@pytest.mark.parametrize("folded", [1, 100, 384, 1000])
+def test_long_conversations_have_no_other_windows_than_short_ones(spark, folded):
+    rows = [(c, t, "system" if c == 2 and t == 0 else "user", "w" * (t % 3 > 0) if c == 3 else "w", 0) for c, n in ((1, 600), (2, 600), (3, 900), (4, 1), (None, 500)) for t in range(n)]
+    out = chat_format.format_windows(spark.createDataFrame(rows, TURNS), folded=folded).collect()
+    new = {}
+    for r in sorted(out, key=lambda r: r.window):
+        new.setdefault(r.conv_id, []).append(r.formatted.count("<turn "))
+    assert new[1] == [384, 216]  # two tokens a turn: a budget of 768, then of 576
+    for c, n in ((2, 600), (3, 900), (None, 500)):
+        tokens = [len(r[3].split()) + 1 for r in rows if r[0] == c]
+        assert new[c] == [len(own) for own, _ in brute_windows(tokens, c == 2, 768, 192)] and sum(new[c]) == n
+    assert new[4] == [1]
 
 
 def test_no_window_of_the_test_table_is_over_the_budget(spark):
