@@ -137,8 +137,8 @@ def linked(both: np.ndarray, size: np.ndarray, left: int, num: int, den: int) ->
 
 
 def _signatures(width: int):
-    """Of each text its size and two sums of hashes; and the n-grams (g, c) that are in LOCAL texts or more
-    of some COUNTED bytes of text that follow one another."""
+    """Of each text its size, two sums of hashes and the least of a third one, which near copies mostly share; and the
+    n-grams (g, c) that are in LOCAL texts or more of some COUNTED bytes of text that follow one another."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -149,21 +149,22 @@ def _signatures(width: int):
             c = np.diff(np.append(first, len(g)))
             g, c = g[first[c >= LOCAL]], c[c >= LOCAL]
             none = pa.nulls(len(g), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(g.view(np.int64)), pa.array(c)], names)
+            return pa.RecordBatch.from_arrays([*[none] * 5, pa.array(g.view(np.int64)), pa.array(c)], names)
 
-        names = ["id", "n", "h1", "h2", "g", "c"]
+        names = ["id", "n", "h1", "h2", "low", "g", "c"]
         for b in batches:
             for i, j, data, at in B.text_batches(b.column(1), 1 << 20):
                 grams, count = B.shingle_sets(data, at, width)
-                h = np.zeros((2, j - i), B.U)
+                h = np.zeros((3, j - i), B.U)
                 has = count > 0
                 if has.any():
                     starts = (np.cumsum(count) - count)[has]
                     with np.errstate(over="ignore"):
                         h[0][has] = np.add.reduceat(B.mixed(grams, 20), starts)
                         h[1][has] = np.add.reduceat(B.mixed(grams, 21), starts)
+                        h[2][has] = np.minimum.reduceat(B.mixed(grams, 22), starts)
                 none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(count), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(count), *[pa.array(x.view(np.int64)) for x in h], none, none], names)
                 held.append(grams)
                 size += len(data)
                 if size >= COUNTED:
@@ -256,11 +257,11 @@ def _unpack(block: bytes) -> dict[str, np.ndarray]:
     return {k: row.column(k).flatten().to_numpy() for k in row.schema.names}
 
 
-WORK = "id long, links long, root long, block long, level int, cut int, rows binary"
+WORK = "id long, links long, root long, block long, level int, cut int, rows binary, keys array<long>"
 
 
-def _sets(width: int, num: int, den: int):
-    """Of a bin of small families its links; of a block of a large one (cut not null) the packed rows."""
+def _sets(width: int, num: int, den: int, common):
+    """Of a bin of small families its links; of a block of a large one (cut not null) the packed rows and their keys."""
 
     def f(group: pa.Table) -> pa.Table:
         ids, weight = group.column("id").to_numpy(), group.column("weight").to_numpy()
@@ -270,10 +271,11 @@ def _sets(width: int, num: int, den: int):
         if cut is None:
             column = np.unique(grams, return_inverse=True)[1]
             told = _found(ids, weight, *linked(overlaps(column, size, len(size)), size, len(size), num, den))
-            empty = {"block": pa.int64(), "level": pa.int32(), "cut": pa.int32(), "rows": pa.binary()}
+            empty = {"block": pa.int64(), "level": pa.int32(), "cut": pa.int32(), "rows": pa.binary(), "keys": pa.list_(pa.int64())}
             return pa.table({**told, **{k: pa.nulls(len(told["id"]), t) for k, t in empty.items()}})
         none = {k: pa.nulls(1, pa.int64()) for k in ("id", "links", "root")}
         own = {"block": pa.array([block]), "level": pa.array([level], pa.int32()), "cut": pa.array([cut], pa.int32()), "rows": pa.array([_pack(ids, weight, grams, size)])}
+        own["keys"] = pa.array([np.unique(block_keys(grams, size, num, den, common.value)[1]).view(np.int64)], pa.list_(pa.int64()))
         return pa.table({**none, **own})
 
     return f
@@ -294,6 +296,17 @@ def _product(num: int, den: int):
     return f
 
 
+def meeting_packs(packs: DataFrame) -> DataFrame:
+    """(block, x, y) of packs (block, level, cut, keys): each with itself, and pairs of one family, of the same or
+    neighbouring levels, that have a key in common. Keys that the same packs share are one row before these become pairs."""
+    at = packs.select("block", F.struct("level", "cut").alias("at"), "keys")
+    shared = at.select("block", "at", F.explode("keys").alias("key")).groupBy("block", "key").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    shared = shared.filter(F.size("ats") > 1).select("block", "ats").distinct()
+    pairs = shared.select("block", "ats", F.explode("ats").alias("x")).select("block", "x", F.explode("ats").alias("y"))
+    pairs = pairs.filter((F.col("x") < F.col("y")) & (F.col("y.level") - F.col("x.level") <= 1)).distinct()
+    return pairs.unionByName(at.select("block", F.col("at").alias("x"), F.col("at").alias("y")))
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """For each row: id_col, n_shingles, n_links, component_id. Exact: no link is missed, whatever the size.
 
@@ -305,11 +318,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
        that any two linked sets share. Sets of one task with a common key are connected there, so that a key has few
        rows, whatever its number of sets; then only the least id of a key is linked to the others, never all pairs.
        Connected sets are a family.
-    3. Small families are put together. Of large ones, sets are dealt by level of size and hash of the id to blocks of
-       about block_rows rows and block_entries entries; no set is linked beyond the next level. A block's rows are packed
-       once: its texts do not move again.
-    4. Each block with itself and each pair of blocks of one family and of levels next to each other is a sparse matrix
-       product in one task, which adds up overlap counts of the
+    3. Small families are put together. Of large ones, sets are dealt by level of size and a least hash, which near copies
+       mostly share, to blocks of about block_rows rows and block_entries entries (where too many share it, by hash of the id);
+       no set is linked beyond the next level. A block's rows are packed once: its texts do not move again.
+    4. Each block with itself and each pair of blocks of one family, of levels next to each other, whose sets have a key in
+       common (others have no link between them) is a sparse matrix product in one task, which adds up overlap counts of the
        whole sets and drops pairs below size-derived bounds. Links come back as a count and one connection
        for each row.
 
@@ -320,11 +333,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     """
     whole_ids(docs, id_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = stored(own.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, g long, c long"), "jaccard-rows")
+    seen = stored(own.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, low long, g long, c long"), "jaccard-rows")
     rows = seen.filter("g is null").drop("g", "c")
     common = docs.sparkSession.sparkContext.broadcast(common_grams(seen.filter("g is not null").select("g", "c")))
     sets = ["n", "h1", "h2"]
-    classes = rows.filter("id is not null and n > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = rows.filter("id is not null and n > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min("low").alias("low"))
     classes = stored(classes, "jaccard-classes")
 
     keys = own.filter("id is not null and text is not null").mapInArrow(_keys(width, num, den, common), "key long, id long, m long")
@@ -332,7 +345,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     near = keys.withColumn("m", F.coalesce("m", least)).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     families = components(near, "jaccard-near").withColumnRenamed("component", "block")
 
-    members = stored(classes.join(families, F.col("rep") == F.col("id")).select("id", "n", "weight", "block"), "jaccard-members")
+    members = stored(classes.join(families, F.col("rep") == F.col("id")).select("id", "n", "weight", "low", "block"), "jaccard-members")
     count, entries, most = members.agg(F.count("*"), F.sum("n"), F.max("n")).first()
     levels = size_levels(most or 0, num, den).tolist()
     members = members.withColumn("level", F.size(F.filter(F.array(*map(F.lit, levels)), lambda x: x <= F.col("n"))).cast("int"))
@@ -342,25 +355,22 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     sizes = sizes.withColumn("small", needed(F.sum("rows").over(family), F.sum("entries").over(family)) == 1)
     sizes = stored(sizes.withColumn("cuts", needed(F.col("rows"), F.col("entries"))), "jaccard-sizes")
     bins = max(1, 2 * count // block_rows, 2 * (entries or 0) // block_entries)
-    dealt = join_groups(members, sizes, ["block", "level"], "rows", count)
-    small = lambda a, b: F.when(F.col("small"), a).otherwise(b)
-    dealt = dealt.select(
-        "id", "weight",
-        small(F.pmod(F.xxhash64("block"), F.lit(bins)), F.col("block")).alias("block"),
-        small(F.lit(None), F.col("level")).cast("int").alias("level"),
-        small(F.lit(None), F.pmod(F.xxhash64("id"), F.col("cuts"))).cast("int").alias("cut"),
-    )
+    members = join_groups(members, sizes, ["block", "level"], "rows", count)
+    large = stored(members.filter("not small").withColumn("near", F.pmod(F.xxhash64("low"), F.col("cuts"))), "jaccard-large")
+    again = large.groupBy("block", "level", "near").agg(F.count("*").alias("own_rows"), needed(F.count("*"), F.sum("n")).alias("own_cuts"))
+    large = join_groups(large, again, ["block", "level", "near"], "own_rows", count)
+    large = large.withColumn("cut", (F.col("near") + F.col("cuts") * F.pmod(F.xxhash64("id"), F.col("own_cuts"))).cast("int"))
+    few = members.filter("small").select("id", "weight", F.pmod(F.xxhash64("block"), F.lit(bins)).alias("block"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("cut"))
+    dealt = few.unionByName(large.select("id", "weight", "block", "level", "cut"))
     texts = own.join(stored(dealt, "jaccard-dealt"), "id")
-    work = stored(texts.groupBy("block", "level", "cut").applyInArrow(_sets(width, num, den), WORK), "jaccard-work")
-
-    packs = work.filter("rows is not null").select("block", "level", "cut", "rows")
-    x, y = (packs.select("block", *[F.col(k).alias(f"{k}{side}") for k in ("level", "cut")]) for side in (0, 1))
-    meet = (F.col("level1") == F.col("level0") + 1) | ((F.col("level1") == F.col("level0")) & (F.col("cut0") <= F.col("cut1")))
-    pairs = x.join(y, "block").filter(meet)
-    ends = F.array_distinct(F.array(*[F.struct(F.col(f"level{i}").alias("level"), F.col(f"cut{i}").alias("cut")) for i in (0, 1)]))
-    of = ["block", "level0", "cut0", "level1", "cut1"]
+    work = stored(texts.groupBy("block", "level", "cut").applyInArrow(_sets(width, num, den, common), WORK), "jaccard-work")
+
+    packs = work.filter("rows is not null").select("block", "level", "cut", "rows", "keys")
+    pairs = meeting_packs(packs)
+    ends = F.array_distinct(F.array("x", "y"))
+    of = ["block", "x", "y"]
     sides = pairs.select(*of, F.posexplode(ends).alias("side", "end")).select(*of, "side", "end.level", "end.cut")
-    products = packs.join(sides, ["block", "level", "cut"]).select(*of, "side", "rows")
+    products = packs.drop("keys").join(sides, ["block", "level", "cut"]).select(*of, "side", "rows")
     found = products.groupBy(*of).applyInArrow(_product(num, den), "id long, links long, root long")
 
     found = found.unionByName(work.filter("rows is null").select("id", "links", "root"))

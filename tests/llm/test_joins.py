@@ -113,6 +113,29 @@ def test_a_family_of_many_distinct_sets(spark):
     assert [tuple(r) for r in got] == [(41, n - 1, 0, n)]
 
 
+def test_only_packs_with_a_common_key_are_multiplied(spark, monkeypatch):
+    """A family that hangs together by keys alone, as many chance ones do where no n-grams are left aside."""
+    from conftest import DATA
+
+    monkeypatch.setattr(jaccard_join, "MOST_COMMON", 0)
+    rows = spark.read.parquet(str(DATA).replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text")
+    seen = []
+    real = jaccard_join.meeting_packs
+
+    def counted(packs):
+        pairs = real(packs)
+        of = packs.groupBy("block").agg(F.count("*").alias("n")).collect()
+        seen.append((pairs.count(), sum(r.n * (r.n + 1) // 2 for r in of), max((r.n for r in of), default=0)))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "meeting_packs", counted)
+    aside = jaccard_join.jaccard_classes(rows, 5, 4, 5, block_rows=25).collect()
+    (products, whole, packs) = seen[0]
+    assert packs > 20 and products < whole / 2, seen
+    monkeypatch.setattr(jaccard_join, "MOST_COMMON", 200_000)
+    assert sorted(map(tuple, aside)) == sorted(map(tuple, jaccard_join.jaccard_classes(rows, 5, 4, 5).collect()))
+
+
 def test_overlaps_are_whole_numbers():
     """Pairs exactly at the bound, of sets so large that float32 would round."""
     shared = 900_011
