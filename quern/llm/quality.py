@@ -333,7 +333,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are joined with the counts by n-gram, and the answers go back to the block.
 
     A null or empty text has no perplexity and is not kept. Null is a language of its own. Of a language
-    without trusted texts, nothing with text is dropped. Whole texts are read, rows may repeat; an empty table gives no rows.
+    without trusted texts, nothing with text is dropped. Very long texts are scored whole, rows may repeat; an empty table
+    gives no rows. Columns perplexity, threshold and kept must not exist (a ValueError); other ones may have any names.
+
+    Where no n-grams of an order are there once, twice or three times, so that Kneser and Ney's discounts have no estimate, they
+    are 0.5, 0.75 and 0.9 for counts of 1, 2 and more; probabilities still sum to 1. Runs jobs when called.
     """
     wanted = columns or docs.columns
     new = docs.select(*wanted).schema

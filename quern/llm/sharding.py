@@ -9,6 +9,8 @@ from ._shared import stored, with_free_names
 
 #: Bytes of text that one bucket should hold at most, on average.
 BUCKET_BYTES = 32 << 20
+#: Buckets of all shards at most, which are partitions of one shuffle: of tables too large for that, buckets hold more.
+MOST_BUCKETS = 100_000
 
 
 def text_bytes(text: Column) -> Column:
@@ -26,7 +28,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_co
     """docs with the columns shard, bucket and slot: a seeded random order within each shard.
 
     Pass 1 scatters rows by seeded hashes: of the id to a shard, and of id and text to one of as many buckets of it
-    as keep each near bucket_bytes. Pass 2 deals each bucket to a task of its own, numbers its rows in a sorted (and
+    as keep each near bucket_bytes (larger only where MOST_BUCKETS would not do). Pass 2 deals each bucket to a task of its own, numbers its rows in a sorted (and
     so repeatable, and spillable) order and puts them in the order of a Fisher-Yates permutation of the
     bucket, which is what Spark's shuffle() draws. Only the permutation, of integers, is held in memory;
     texts stream. slot counts from 0 in each shard without gaps, bucket after bucket.
@@ -41,7 +43,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_co
     if clash := {"shard", "bucket", "slot"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     total = docs.agg(F.sum(text_bytes(F.col(text_col)))).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
+    buckets = max(1, min(-(-total // (shards * bucket_bytes)), MOST_BUCKETS // shards))
     key, text = F.col(id_col), F.col(text_col)
     bucket = F.pmod(F.xxhash64(key, F.xxhash64(text), F.lit(seed + 1)), F.lit(buckets)).cast("int")
     n = with_free_names(docs, ["number", "n", "before", "order", "rn"])

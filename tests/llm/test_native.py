@@ -268,6 +268,15 @@ def test_mixing_odd_rows(spark):
         mixing.curriculum(df.withColumn("TARGET", F.lit(1)))
 
 
+def test_buckets_grow_where_there_would_be_too_many(spark, monkeypatch):
+    df = docs(spark, prose(random.Random(2), 200))
+    monkeypatch.setattr(sharding, "MOST_BUCKETS", 8)
+    placed = sharding.shuffle_into_shards(df, 4, 3, bucket_bytes=100).collect()
+    assert max(r.bucket for r in placed) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))
+
+
 # Chat formatting
 
 TURNS = "conv_id long, turn long, role string, text string, window int"
