@@ -20,7 +20,7 @@ _POINT = "struct<part:bigint,key:string,value:string>"
 def by_split_points(kv: DataFrame, splits: list[str], most: int | None = None) -> DataFrame:
     """Deal rows to ranges between the split points: range i is partition i, empty ones included, unless it is too large.
 
-    Ranges are counted first (a job; a number for each). One of over most rows (unless told, UNEVEN times the even share and
+    Ranges are counted first (a job, for which kv is computed; a number for each). One of over most rows (unless told, UNEVEN times the even share and
     LEAST_ROWS) is cut again, into as many partitions as half of most goes into it, by points of its own from a
     sample of its rows by key and value; partitions keep following one another in order. Rows that are equal in both may go
     to any partition between the points that are equal to them, so not even one row that fills a range is one task's. Thus split points
