@@ -11,7 +11,7 @@ from ._shared import WORD, stored
 BUDGET = 768
 HISTORY = 192
 #: Conversations of up to so many turns are folded into windows; longer ones are by joins, so that no fold grows with one.
-FOLDED = 256
+FOLDED = 1024
 #: Marks of the template; roles and texts are escaped, so "<" is in marks only.
 OPEN, AGAIN, BETWEEN, CLOSE = "<turn ", "<again ", ">\n", "</turn>\n"
 

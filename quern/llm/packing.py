@@ -245,12 +245,12 @@ def pack(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
     A document's tokens are the ids of its whole text by the tokenizer in file (which must split at white space and
     drop it), without special ones, and end. Its hashed vector is projected to DIMENSIONS random directions; in steps of the
     corpus's spread these make a cell, and documents follow one another by the cell's place on a Hilbert curve, then id,
-    then a hash of the ids, so that similar ones share sequences. A range sort and running sums give each its first token's
+    then a hash of the ids (then by where they were read, so that even equal rows are split), so that similar ones share sequences. A range sort and running sums give each its first token's
     place among all; every length tokens are a sequence, and what is left at the end is cut into powers of two. So a
     document is cut where a sequence ends, each sequence is full, and there is no padding.
 
     Tokens are written once, in blocks that stay where they are; only sizes, coordinates and places of documents are
-    shuffled, a few numbers each. Copies of one text are placed by their ids, so no task gets all of them.
+    shuffled, a few numbers each. Copies of one text are placed by their ids and where they were read, so no task gets all of them.
 
     Null and empty texts have the token end alone. Very long texts are taken whole, over many sequences; rows with a null id come
     first of their cell; repeated rows are packed each. An empty table gives no rows. Other columns are not looked at.
@@ -267,7 +267,7 @@ def pack(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
         stats = told.agg(F.sum("n"), *[f(f"x{k}") for f in (F.avg, F.stddev_pop) for k in range(DIMENSIONS)]).first()
         mean, scale = [v or 0.0 for v in stats[1 : DIMENSIONS + 1]], [v or 1.0 for v in stats[DIMENSIONS + 1 :]]
         keyed = told.mapInArrow(_keyed(mean, scale), f"block long, at long, id {kind}, n long, tie long, key long")
-        placed = stored(running_sums(keyed, ["key", "id", "tie"], {"n": "before"}).select("block", "at", "before"), "pack-places")
+        placed = stored(running_sums(keyed, ["key", "id", "tie", "block", "at"], {"n": "before"}).select("block", "at", "before"), "pack-places")
         made.drop(placed)
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     pieces = blocks.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_cut(stats[0] or 0, length), schema)
