@@ -18,6 +18,8 @@ BLOCK_BYTES = 12 << 20
 BLOCK_ROWS = 1 << 20
 #: Bytes of text that a file of blocks should hold, which is what one task joins; larger where MOST_FILES would be too few.
 FILE_BYTES = 24 << 20
+#: Where Spark's number of shuffle partitions decides, bytes of text in a file at least.
+LEAST_FILE_BYTES = 256 << 10
 #: Spark's own bound on the buckets of a table.
 MOST_FILES = 100_000
 #: A row's number is its block's number times this, plus its place.
@@ -52,16 +54,18 @@ def _pack(at: int, most: int):
     return f
 
 
-def n_files(docs: DataFrame, text_col: str) -> int:
+def n_files(docs: DataFrame, text_col: str, file_bytes: int | None = None) -> int:
     """Over how many files blocks of docs are dealt: by the bytes of text (this reads the column once)."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return min(max(1, -(-total // FILE_BYTES)), MOST_FILES)
+    return min(max(1, -(-total // (file_bytes or FILE_BYTES))), MOST_FILES)
 
 
 def pack(docs: DataFrame, text_col: str, most: int = BLOCK_BYTES) -> DataFrame:
-    """A table (block, rows) of docs, dealt to files by block: a join on block moves only the other side."""
+    """A table (block, rows) of docs, dealt to files by block: a join on block moves only the other side, which may be much
+    larger than the texts. So there are as many files as shuffle partitions, but no more than there are texts for."""
     packed = docs.mapInArrow(_pack(docs.columns.index(text_col), most), "block long, rows binary")
-    return in_files(packed, n_files(docs, text_col))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_files(packed, min(partitions, n_files(docs, text_col, LEAST_FILE_BYTES)))
 
 
 def in_files(blocks: DataFrame, files: int) -> DataFrame:

@@ -59,7 +59,9 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if not self.plain or not _PLAIN.fullmatch(text):
+        if self.plain and text.isascii() and text.isalpha():
+            ids = self.pieces[text.lower()]
+        elif not self.plain or not _PLAIN.fullmatch(text):
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         elif text.isalpha():
             ids = self.pieces[text.lower()]
