@@ -14,12 +14,12 @@ from .. import operators as O
 from .. import sources
 from ..functions import sort_key, words
 from ..operators.segments import value_segments
-from .ranges import by_split_points
+from .ranges import by_size, by_split_points
 
 
 @dataclass(frozen=True)
 class JobSpec:
-    """What to run on what. partitions: of the result, None for Spark's choice; sample: split points come from it;
+    """What to run on what. partitions: of the result, more if these would be too large, None for Spark's choice; sample: split points come from it;
     most: rows of a range between split points that are not cut again, None for a bound by the even share."""
 
     job: str
@@ -60,15 +60,15 @@ def job_of(name: str) -> Job:
 
 
 def run_job(spark: SparkSession, spec: JobSpec) -> DataFrame:
-    """The job's (key, value) rows in order of key: in as many sorted ranges as spec.partitions says, or with a sample
-    one for each range between its split points, or several for a range that is too large (finding these runs jobs; the rest is
-    lazy)."""
+    """The job's (key, value) rows in order of key: in as many sorted ranges as spec.partitions says, or more if these would be
+    too large, or with a sample one for each range between its split points, or several for a range that is too large (finding
+    these runs jobs; the rest is lazy)."""
     job = job_of(spec.job)
     out = job.reducer(job.mapper(spark, spec))
     if spec.partitions is None:
         return out.orderBy("key", "value")
     if spec.sample is None:
-        return out.repartitionByRange(spec.partitions, "key", "value").sortWithinPartitions("key", "value")
+        return by_size(out, spec.partitions).sortWithinPartitions("key", "value")
     splits = O.split_points(sources.lines(spark, [spec.sample]), spec.partitions)
     return by_split_points(out, splits, spec.most).sortWithinPartitions("key", "value")
 
@@ -77,8 +77,12 @@ def _word_counts(pairs: DataFrame) -> DataFrame:
     return O.sum_values(pairs).select("key", F.col("total").cast("string").alias("value"))
 
 
-def _index(pairs: DataFrame) -> DataFrame:
-    return O.joined_values(pairs).select("key", F.concat_ws(" ", F.col("n").cast("string"), "joined").alias("value"))
+def _index(found: DataFrame) -> DataFrame:
+    """Of each key how many listed files have it, and these in order: (key, value, copy) may repeat, and tasks make their own
+    distinct before the shuffle, so that pairs are dealt once and a task sorts them by key where it lacks room for a table of them."""
+    files = F.array_sort(F.collect_set(F.struct("value", "copy")))
+    listed = found.groupBy("key").agg(files.getField("value").alias("v"))
+    return listed.select("key", F.concat_ws(" ", F.size("v").cast("string"), F.array_join("v", ",")).alias("value"))
 
 
 def _lines(spark: SparkSession, spec: JobSpec) -> DataFrame:
@@ -90,10 +94,14 @@ def _words(spark: SparkSession, spec: JobSpec) -> DataFrame:
     return O.emit_pairs(sources.file_lines(spark, list(spec.inputs)), "line")
 
 
+def _words_in_lines(spark: SparkSession, spec: JobSpec) -> DataFrame:
+    """(word, file, copy) once for each word of a line; copy as in sources.file_lines."""
+    return sources.file_lines(spark, list(spec.inputs)).select(F.explode(F.array_distinct(words(F.col("line")))).alias("key"), F.col("document").alias("value"), "copy")
+
+
 def _words_by_file(spark: SparkSession, spec: JobSpec) -> DataFrame:
     """(word, file) once for each listed file that has the word: distinct in a line, in a task, then over tasks."""
-    found = sources.file_lines(spark, list(spec.inputs)).select(F.explode(F.array_distinct(words(F.col("line")))).alias("key"), F.col("document").alias("value"), "copy")
-    return found.distinct().select("key", "value")
+    return _words_in_lines(spark, spec).distinct().select("key", "value")
 
 
 def _segments(pairs: DataFrame) -> DataFrame:
@@ -103,7 +111,7 @@ def _segments(pairs: DataFrame) -> DataFrame:
 
 
 register("wc", Job(_words, _word_counts))
-register("ii", Job(_words_by_file, _index))
+register("ii", Job(_words_in_lines, _index))
 register("iis", Job(_words_by_file, _segments))
 register("srt", Job(_lines, lambda kv: kv, "value"))
 

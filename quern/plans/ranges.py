@@ -15,6 +15,22 @@ LEAST_ROWS = 1_000_000
 #: Sampled rows for each part that a range is to be cut into.
 POINTS = 64
 _POINT = "struct<part:bigint,key:string,value:string>"
+#: Bytes of keys and values in a range that by_size makes, about.
+RANGE_BYTES = 64 << 20
+#: Characters of a value that its range is told by.
+PREFIX = 256
+
+
+def by_size(kv: DataFrame, n: int) -> DataFrame:
+    """Deal rows to n ordered ranges of key and value, or to more if these would hold over RANGE_BYTES each: what a task sorts
+    does not grow with the input. kv is written once (a job) and its bytes are added up.
+
+    Rows of one key are told apart by PREFIX characters of their values, as what ranges are found by is sampled for the driver,
+    and values may be long lists."""
+    kv = stored(kv.select("key", "value"), "sized")
+    size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
+    total = kv.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return kv.repartitionByRange(max(n, -(-total // RANGE_BYTES)), "key", F.substring("value", 1, PREFIX))
 
 
 def by_split_points(kv: DataFrame, splits: list[str], most: int | None = None) -> DataFrame:

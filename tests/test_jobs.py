@@ -87,6 +87,19 @@ def test_ranges_of_ordinary_size_are_those_of_the_split_points(spark):
     with pytest.raises(ValueError):
         by_split_points(kv, ["b"], 0)
 
+@pytest.mark.parametrize("job", ["ii", "wc", "srt"])
+def test_sorted_ranges_stay_small(spark, tmp_path, monkeypatch, job):
+    for i in range(40):
+        (tmp_path / f"{i}").write_text("".join(f"{a}{b}{c}  \n" for a in "abcdef" for b in "ghijklm" for c in "nopq"))
+    spec = plans.JobSpec(job, (str(tmp_path),), partitions=2)
+    few = dealt(plans.run_job(spark, spec))
+    assert len(few) == 2
+    monkeypatch.setattr("quern.plans.ranges.RANGE_BYTES", 20_000)
+    parts = dealt(plans.run_job(spark, spec))
+    assert [r for p in parts for r in p] == [r for p in few for r in p]
+    size = [sum(len(x) for r in p for x in r) for p in parts]
+    assert max(size) < 3 * 20_000 or job == "srt" and max(size) < sum(size) / 4
+
 
 # Plugins
 
