@@ -7,7 +7,9 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,20 +262,48 @@ def _encode(model, place: int):
     return f
 
 
+#: Ids whose bytes are laid out at once.
+DECODED = 1_000_000
+
+
+def _texts(v: Vocabulary):
+    """A function that gives the texts of a list array of ids: bytes are looked up and joined for whole arrays, and only texts
+    with bytes that are no UTF-8 are read one by one."""
+    as_bytes = pa.array([v.own[i] if i in v.own else p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces)], pa.large_binary())
+    n, unknown = len(as_bytes), pa.scalar(v.unknown, pa.int32())
+
+    def whole(ids: pa.ListArray) -> pa.Array:
+        flat = pc.fill_null(ids.flatten(), unknown)
+        if flat.null_count == 0 and len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= n):
+            flat = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, n)), flat, unknown)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), as_bytes.take(flat))
+        joined = pc.binary_join(lists, pa.scalar(b"", pa.large_binary()))
+        if v.prefix:
+            joined = pc.replace_substring_regex(joined, r"\A ", "", max_replacements=1)
+        try:
+            texts = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.large_string())
+        return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.large_string()))
+
+    return whole
+
+
 def _decode(model, place: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(**model.value)
-        as_bytes = [v.own[i] if i in v.own else p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces)]
+        texts = _texts(Vocabulary(**model.value))
         for b in batches:
-            out = []
-            for ids in b.column(place):
-                ids = ids.as_py()
-                if ids is None:
-                    out.append(None)
-                    continue
-                text = b"".join([as_bytes[i] if i is not None and 0 <= i < len(as_bytes) else as_bytes[v.unknown] for i in ids])
-                out.append((text[1:] if v.prefix and text[:1] == b" " else text).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "__text"])
+            # Rows are cut where their ids come to DECODED, so that what is laid out does not depend on how rows are batched.
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(b.column(place)), 0).to_numpy())
+            first = 0
+            while first < b.num_rows:
+                before = sizes[first - 1] if first else 0
+                n = max(1, int(np.searchsorted(sizes, before + DECODED, "right")) - first)
+                some = b.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*some.columns, texts(some.column(place)).cast(pa.string())], [*b.schema.names, "__text"])
+                first += n
 
     return f
 

@@ -1,8 +1,10 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from helpers import docs, odd_rows, prose
@@ -363,3 +365,25 @@ def test_exact_round_trip_with_the_real_vocabulary(spark):
         sentencepiece_codec.encode(df, v, ids_col="C0")
     report = sentencepiece_codec.codec_report(df, v).collect()
     assert all(r.exact for r in report) and len(report) == len(texts)
+
+
+def test_ids_are_decoded_in_whole_arrays():
+    v = sentencepiece_codec.load(queries.MODEL_FILE)
+    own = [v.own[i] if i in v.own else p.replace("▁", " ").encode() for i, p in enumerate(v.pieces)]
+    r = random.Random(5)
+    rows = [None if i % 50 == 7 else [r.choice([None, -1, len(own), *v.byte_ids]) if r.random() < 0.01 else r.randrange(len(own)) for _ in range(r.choice([0, 1, 300]))] for i in range(4000)]
+
+    def one(ids):
+        text = b"".join([own[i] if i is not None and 0 <= i < len(own) else own[v.unknown] for i in ids])
+        return text[text[:1] == b" " :].decode("utf-8", "replace")
+
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
+    began = time.process_time()
+    wanted = [None if ids is None else one(ids) for ids in batch.column(0).to_pylist()]
+    by_one = time.process_time() - began
+    model = type("Sent", (), {"value": vars(v)})
+    list(sentencepiece_codec._decode(model, 0)(iter([batch.slice(0, 10)])))
+    began = time.process_time()
+    found = list(sentencepiece_codec._decode(model, 0)(iter([batch])))
+    assert time.process_time() - began < by_one / 2
+    assert [x for b in found for x in b.column(1).to_pylist()] == wanted
