@@ -102,11 +102,13 @@ def ranked(df: DataFrame, order: list[str | Column], name: str = "rn", start: in
     return numbered(df.orderBy(*order), name, start)
 
 
-def numbered(df: DataFrame, name: str = "rn", start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, name: str = "rn", start: int = 1, tasks: int | None = None) -> DataFrame:
     """df, written once, with each row's place among all as they lie: that in its partition plus the rows of the partitions
-    before, of which there is one number each."""
+    before, of which there is one number each. tasks: how many at most write it, each some partitions one after another, for df of very
+    many small ones, which would be a file each."""
     bits = 33  # Spark's row ids: the partition's number above, the row's place in it below
-    placed = stored(df.withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    placed = df.withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(placed if tasks is None else placed.coalesce(tasks), "ranked")
     part = F.shiftright("__id", bits)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")

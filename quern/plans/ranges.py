@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import place_among, sorted_literal, splits_below
-from ..operators.sampling import least_hashes
+from ..functions import splits_below
+from ..operators import ranked
 from ..storage import stored
 
 #: A range is cut again if it has over so many times its even share of the rows, and over so many rows.
 UNEVEN = 4
 LEAST_ROWS = 1_000_000
-#: Sampled rows for each part that a range is to be cut into.
-POINTS = 64
-_POINT = "struct<part:bigint,key:string,value:string>"
 #: Bytes of keys and values in a range that by_size makes, about.
 RANGE_BYTES = 64 << 20
 #: Characters of a value that its range is told by.
@@ -37,34 +34,31 @@ def by_split_points(kv: DataFrame, splits: list[str], most: int | None = None) -
     """Deal rows to ranges between the split points: range i is partition i, empty ones included, unless it is too large.
 
     Ranges are counted first (a job, for which kv is computed; a number for each). One of over most rows (unless told, UNEVEN times the even share and
-    LEAST_ROWS) is cut again, into as many partitions as half of most goes into it, by points of its own from a
-    sample of its rows by key and value; partitions keep following one another in order. Rows that are equal in both may go
-    to any partition between the points that are equal to them, so not even one row that fills a range is one task's. Thus split points
+    LEAST_ROWS) is cut again, into as many equal partitions as it needs: kv is written once, the rows of such ranges are sorted by
+    key and value, written, and dealt by their place, so the driver gets no row of them; partitions keep following one another in
+    order. Rows that are equal in both lie in any order, so not even one row that fills a range is one task's. Thus split points
     from an old sample, or one of other data, cost balance at most."""
-    part = F.col("__part")
-    placed = kv.select("key", "value", splits_below(F.col("key"), splits).alias("__part"))
-    sizes = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    part = F.col("__range")
+    placed = kv.select("key", "value", splits_below(F.col("key"), splits).alias("__range"))
+    sizes = {r["__range"]: r["n"] for r in placed.groupBy("__range").agg(F.count("*").alias("n")).collect()}
     total, ranges = sum(sizes.values()), len(splits) + 1
     most = max(LEAST_ROWS, UNEVEN * total // ranges) if most is None else most
     if most < 1:
         raise ValueError("a range must hold at least one row")
-    parts = {p: -(-2 * n // most) for p, n in sizes.items() if n > most}
-    points: list[dict] = []
-    if parts:
-        # There are under 2 total / most parts in all, which the even share keeps below the number of split points.
-        size = POINTS * sum(parts.values())
-        found: dict[int, list] = {p: [] for p in parts}
-        for r in least_hashes(placed.filter(part.isin(*parts)), size).collect():
-            found[r["__part"]].append((r.key.encode(), r.value.encode(), r.key, r.value))
-        for p in sorted(parts):
-            own = sorted(found[p])
-            points += [{"part": p, "key": own[i * len(own) // parts[p]][2], "value": own[i * len(own) // parts[p]][3]} for i in range(1, parts[p]) if own]
-    if not points:
-        return placed.repartitionById(ranges, part.cast("int")).drop("__part")
-    if len({tuple(p.values()) for p in points}) < len(points):
-        placed = stored(placed, "ranges")  # where equal rows go depends on their place, so that is fixed
-    at, probe = sorted_literal(points, _POINT), F.struct(part.alias("part"), "key", "value")
-    below, not_above = (place_among(at, len(points), probe, after_equals=x) for x in (False, True))
-    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), not_above - below + 1)
-    dealt = placed.withColumn("__to", (part + below + F.when(not_above > below, lot).otherwise(0)).cast("int"))
-    return dealt.repartitionById(ranges + len(points), F.col("__to")).select("key", "value")
+    if all(n <= most for n in sizes.values()):
+        return placed.repartitionById(ranges, part.cast("int")).drop("__range")
+    # Of each range: its first partition, into how many it is cut, its rows, and the place of its first row among those that are cut.
+    cuts, to, at = [], 0, 0
+    for p in range(ranges):
+        n = sizes.get(p, 0)
+        cuts.append((p, to, max(1, -(-n // most)), n, at))
+        to += cuts[-1][2]
+        at += n if n > most else 0
+    table = placed.sparkSession.createDataFrame(cuts, "__range long, __first long, __parts long, __n long, __begin long")
+    placed = stored(placed, "ranges")  # where equal rows go depends on their place, so that is fixed
+    large = part.isin(*[p for p, n in sizes.items() if n > most])
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    cut = ranked(placed.filter(large).withColumn("__tie", tie), ["__range", "key", "value", "__tie"], "__at", 0).drop("__tie")
+    dealt = placed.filter(~large).withColumn("__at", F.lit(None).cast("bigint")).unionByName(cut).join(F.broadcast(table), "__range")
+    own = F.coalesce(F.expr("(__at - __begin) * __parts div __n"), F.lit(0))
+    return dealt.withColumn("__to", (F.col("__first") + own).cast("int")).repartitionById(to, F.col("__to")).select("key", "value")

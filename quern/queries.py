@@ -324,7 +324,9 @@ CUT_ABOVE = 200
 
 def job_srt_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with their place as they lie in the result, and whether their partition holds no more rows than it may."""
-    placed = O.numbered(_sorted_with_an_old_sample(spark, sf_dir).withColumn("part", F.spark_partition_id()))
+    # Partitions of so few rows are no files of their own: a task writes about eight.
+    tasks = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "part").count() // (8 * CUT_ABOVE))
+    placed = O.numbered(_sorted_with_an_old_sample(spark, sf_dir).withColumn("part", F.spark_partition_id()), tasks=tasks)
     sizes = placed.groupBy("part").agg((F.count("*") <= CUT_ABOVE).alias("bounded"))
     return placed.join(sizes, "part").select("rn", "key", "value", "bounded")
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quern import operators as O
 from quern import plans, queries, sources, storage
 from quern.__main__ import main
 from quern.plans import handles, plugins
@@ -100,6 +101,18 @@ def test_sorted_ranges_stay_small(spark, tmp_path, monkeypatch, job):
     size = [sum(len(x) for r in p for x in r) for p in parts]
     assert max(size) < 3 * 20_000 or job == "srt" and max(size) < sum(size) / 4
 
+def test_a_cut_range_has_no_more_parts_than_it_needs_and_few_files(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(O, "stored", lambda df, name, f=O.stored: written.append(f(df, name)) or written[-1])
+    kv = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id") % 7).alias("key"), F.col("id").cast("string").alias("value"))
+    cut = by_split_points(kv, ["a"], 100)
+    assert cut.rdd.getNumPartitions() == 201  # one for the empty range
+    counted = O.numbered(cut.sortWithinPartitions("key", "value").withColumn("part", F.spark_partition_id()), tasks=3).collect()
+    assert len(written[-1].inputFiles()) <= 3
+    rows = sorted((r.rn, r.part, r.key, r["value"]) for r in counted)
+    assert [r[0] for r in rows] == list(range(1, 20_001)) and [r[1] for r in rows] == [1 + i // 100 for i in range(20_000)]
+    assert [r[2:] for r in rows] == sorted((f"k{i % 7}", str(i)) for i in range(20_000))
+
 
 # Plugins
 
