@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import stored
 
@@ -11,26 +17,56 @@ from ..storage import stored
 SEGMENT = 10_000
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted (key, value) rows of a partition as a row for each run of a key in a batch: key, at (the place of its first row),
+    values."""
+    at = 0
+    for b in batches:
+        n, key = b.num_rows, b.column(0)
+        if not n:
+            continue
+        new = pc.fill_null(pc.not_equal(key.slice(1), key.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+        begins = np.concatenate([[0], np.flatnonzero(new) + 1]).astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, n), pa.int32()), b.column(1))
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(begins)), pa.array(begins + at), lists], ["key", "at", "values"])
+        at += n
+
+
 def value_segments(kv: DataFrame, most: int = SEGMENT) -> DataFrame:
     """(key, segment, first, last, n, values): the sorted values of each key, repeats kept, in segments of at most most
     values, numbered from 0; all but a key's last are full. first and last are a segment's least and greatest value.
 
-    Pairs are range-sorted by key and value and written once, so a key with very many values lies in many tasks. The
-    place of a pair among those of its key is its place in its range, and the pairs of the key in the ranges before: of
-    these there is a number for each key and range. Only a segment's values ever meet in one row."""
+    Pairs are range-sorted by key and value, so a key with very many values lies in many tasks, and written once, as runs: a row
+    for the values of a key that are next to one another in a batch. The place of a run among the values of its key is its place in
+    its range, and the pairs of the key in the ranges before: of these there is a number for each key and range. Only runs, cut
+    where segments end, are dealt again, and only a segment's values ever meet in one row."""
     if most < 1:
         raise ValueError("a segment must hold at least one value")
-    placed = stored(kv.select("key", "value").orderBy("key", "value").withColumn("id", F.monotonically_increasing_id()), "segments")
-    placed = placed.withColumn("part", F.shiftright("id", 33))  # Spark's row ids: the partition's number above
+    pairs = kv.select("key", "value").orderBy("key", "value")
+    key, value = pairs.schema.fields
+    kind = T.StructType([T.StructField("key", key.dataType), T.StructField("at", T.LongType()), T.StructField("values", T.ArrayType(value.dataType))])
+    placed = stored(pairs.mapInArrow(_runs, kind).withColumn("part", F.spark_partition_id()), "segments")
     by_key = Window.partitionBy("of")
-    runs = placed.groupBy(F.col("key").alias("of"), F.col("part").alias("in")).agg(F.count("*").alias("n"), F.min("id").alias("begin"))
+    size = F.size("values").cast("bigint")
+    runs = placed.groupBy(F.col("key").alias("of"), F.col("part").alias("in")).agg(F.sum(size).alias("n"), F.min("at").alias("begin"))
     runs = runs.withColumn("all", F.sum("n").over(by_key)).withColumn("before", F.sum("n").over(by_key.orderBy("in")) - F.col("n"))
     # Keys of one segment, nearly all, need no place.
     long = runs.filter(F.col("all") > most).select("of", "in", (F.col("before") - F.col("begin")).alias("shift"))
     rows = placed.join(long, F.col("key").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")), "left")
-    segment = F.coalesce(F.floor((F.col("id") + F.col("shift")) / most), F.lit(0)).cast("bigint")
-    rows = rows.groupBy("key", segment.alias("segment"))
-    return rows.agg(F.min("value").alias("first"), F.max("value").alias("last"), F.count("*").alias("n"), F.array_sort(F.collect_list("value")).alias("values"))
+    place = F.col("at") + F.col("shift")
+
+    def piece(segment: Column) -> Column:
+        skipped = F.greatest(segment * most - place, F.lit(0).cast("bigint"))
+        end = F.least((segment + 1) * most - place, size)
+        return F.struct(segment.alias("segment"), F.slice("values", (skipped + 1).cast("int"), (end - skipped).cast("int")).alias("values"))
+
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("segment"), F.col("values").alias("values")))
+    cut = F.transform(F.sequence(F.floor(place / most).cast("bigint"), F.floor((place + size - 1) / most).cast("bigint")), piece)
+    pieces = rows.select("key", "part", "at", F.explode(F.when(F.col("shift").isNull(), whole).otherwise(cut)).alias("p"))
+    held = pieces.groupBy("key", F.col("p.segment").alias("segment")).agg(F.array_sort(F.collect_list(F.struct("part", "at", "p.values"))).alias("held"))
+    held = held.select("key", "segment", F.flatten("held.values").alias("all"))
+    values = F.array_compact("all")
+    return held.select("key", "segment", F.array_min("all").alias("first"), F.array_max("all").alias("last"), F.size("all").cast("bigint").alias("n"), values.alias("values"))
 
 
 def index_segments(pairs: DataFrame, most: int = SEGMENT) -> DataFrame:

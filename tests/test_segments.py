@@ -168,3 +168,32 @@ def test_numbers_follow_the_rows_as_they_lie(spark):
     df = spark.range(100, numPartitions=7).select("id")
     assert all(r.rn == r.id + 1 for r in O.numbered(df).collect())
     assert Counter(r.rn for r in O.numbered(df, start=0).collect()) == Counter(range(100))
+
+
+@pytest.mark.parametrize("most", [1, 7, 100, 5000])
+def test_runs_are_written_and_dealt_in_place_of_pairs(spark, monkeypatch, most):
+    written = []
+    monkeypatch.setattr(segments, "stored", lambda df, name, f=segments.stored: written.append(f(df, name)) or written[-1])
+    rows = [("a", f"{i % 700:04}") for i in range(2500)] + [("b", f"{i:05}") for i in range(1500)] + [(None, "x")] * 9 + [("c", ""), ("é", "z")]
+    kv = spark.createDataFrame(rows, "key string, value string").repartition(6)
+    told = {(r.key, r.segment): (r.first, r.last, r.n, r["values"]) for r in segments.value_segments(kv, most).collect()}
+    wanted = {}
+    for k in {k for k, _ in rows}:
+        values = sorted(v for key, v in rows if key == k)
+        for i in range(0, len(values), most):
+            v = values[i : i + most]
+            wanted[k, i // most] = (v[0], v[-1], len(v), v)
+    assert told == wanted
+    assert written[0].count() < len(rows) / 10
+
+
+def test_runs_cross_batches_and_nulls_count(spark):
+    batch_size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch_size)
+    spark.conf.set(batch_size, "3")
+    try:
+        kv = spark.createDataFrame([("k", None)] * 2 + [("k", str(i)) for i in range(8)], "key string, value string")
+        told = sorted((r.segment, r.first, r.last, r.n, r["values"]) for r in segments.value_segments(kv, 4).collect())
+    finally:
+        spark.conf.set(batch_size, before)
+    assert told == [(0, "0", "1", 4, ["0", "1"]), (1, "2", "5", 4, ["2", "3", "4", "5"]), (2, "6", "7", 2, ["6", "7"])]
