@@ -14,7 +14,7 @@ from . import _bytes as B
 from ._blocks import pack, unpack
 from ._shared import join_groups
 
-#: Bytes in an n-gram; up to 7, so that one is a number.
+#: Bytes in an n-gram; up to 7, so that one is a number with its fold.
 ORDER = 5
 #: Labels up to this number (12 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 4_000_000
@@ -26,6 +26,12 @@ HELD_OUT = 5
 BLOCK_BYTES = 16 << 20
 #: Answers that a task holds before it packs them by block.
 ANSWERS = 1 << 20
+#: Bits that a fold takes beside an n-gram in one number: HELD_OUT folds and none.
+FOLD_BITS = 3
+#: Distinct n-grams of a block's runs of rows that are held before they are merged.
+MOST_HELD = 1 << 22
+#: Bits of a table's places, by which n-grams are found, at most.
+MOST_PLACES = 22
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -35,25 +41,59 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def _grams(x: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of runs of rows: first row, end row, the n-gram that each byte ends, and the number of each row's bytes."""
     for i, j, data, at in B.text_batches(x.column(x.schema.get_field_index(text)), 1 << 20):
+        # Eight bytes are read at each place as a number, the first one highest; all but ORDER of them are shifted out.
+        wide = np.zeros(len(data) + 7, np.uint8)
+        wide[ORDER - 1 : ORDER - 1 + len(data)] = data
+        g = np.ndarray(len(data), ">u8", wide, 0, (1,)).astype(B.U) >> B.U(64 - 8 * ORDER)
         # A text is preceded by zero bytes, so that each of its bytes ends one n-gram.
-        yield i, j, *B.byte_grams(*B.padded(data, at, ORDER - 1, 0, 0), ORDER)
-
-
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    g = np.sort(np.concatenate(parts)) if parts else np.zeros(0, B.U)
-    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-    return g[first], np.diff(np.append(first, len(g)))
-
-
-def _merged(g: np.ndarray, c: np.ndarray, more: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams and their counts, and more of them."""
-    at = np.minimum(np.searchsorted(g, more), max(len(g) - 1, 0))
-    old = g[at] == more if len(g) else np.zeros(len(more), bool)
-    c[at[old]] += many[old]
-    g, c = np.append(g, more[~old]), np.append(c, many[~old])
-    order = np.argsort(g, kind="stable")
-    return g[order], c[order]
+        for k in range(ORDER - 1):
+            start = at[:-1][at[:-1] + k < at[1:]] + k
+            g[start] &= B.U((1 << 8 * (k + 1)) - 1)
+        yield i, j, g, np.diff(at)
+
+
+def _folds(x: pa.RecordBatch) -> np.ndarray:
+    return x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and where each one's run in sorted x begins (and the last one ends)."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.append(first, len(x))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers of several such lists, and the sums of their counts."""
+    x, c = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, kind) for k, kind in enumerate((B.U, np.int64)))
+    if len(held) < 2:
+        return x, c
+    order = np.argsort(x, kind="stable")  # merges what is sorted already
+    x, first = _distinct(x)
+    return x, np.add.reduceat(c[order], first[:-1]) if len(x) else c
+
+
+def _counted(rows: bytes, text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of a block's texts of folds from least on, sorted: n-gram, fold, and how often it is there.
+
+    An n-gram and its fold are one number, so that each run of rows is sorted once. The lists of runs are merged when
+    they are as long as what was merged before, not one by one."""
+    held, size = [], 0
+    for x in unpack(rows):
+        fold = _folds(x)
+        for i, j, g, n in _grams(x, text):
+            of = np.repeat(fold[i:j].astype(np.int64), n)
+            key = (g << B.U(FOLD_BITS)) | (of + 1).astype(B.U)
+            key, first = _distinct(key if least < 0 else key[of >= least])
+            held.append((key, np.diff(first)))
+            size += len(key)
+            if size > max(MOST_HELD, 2 * len(held[0][0])):
+                held = [_merged(held)]
+                size = len(held[0][0])
+    key, c = _merged(held)
+    return key >> B.U(FOLD_BITS), (key & B.U((1 << FOLD_BITS) - 1)).astype(np.int64) - 1, c
 
 
 def _learn(text: str):
@@ -62,14 +102,8 @@ def _learn(text: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows in b.column(1):
-                held = [(np.zeros(0, B.U), np.zeros(0, np.int64))] * HELD_OUT
-                for x in unpack(rows.as_py()):
-                    fold = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
-                    for i, j, seen, row in _grams(x, text):
-                        of = fold[i:j][row]
-                        held = [_merged(*held[k], *_distinct([seen[of == k]])) for k in range(HELD_OUT)]
-                for k, (g, c) in enumerate(held):
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), k)), pa.array(c)], ["g", "fold", "c"])
+                g, fold, c = _counted(rows.as_py(), text, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(fold), pa.array(c)], ["g", "fold", "c"])
 
     return f
 
@@ -80,16 +114,12 @@ def _ask(text: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, rows in zip(b.column(0), b.column(1), strict=True):
-                found = [np.zeros(0, B.U)] * HELD_OUT  # the first: of all texts
-                for x in unpack(rows.as_py()):
-                    fold = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
-                    for i, j, seen, row in _grams(x, text):
-                        of = fold[i:j][row]
-                        found = [np.union1d(g, _distinct([seen[of == k] if k else seen])[0]) for k, g in enumerate(found)]
-                folds = np.zeros(len(found[0]), np.int64)
-                for k in range(1, HELD_OUT):
-                    folds[np.searchsorted(found[0], found[k])] |= 1 << k
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(folds), block.as_py())), pa.array(found[0].view(np.int64)), pa.array(folds)], ["block", "g", "folds"])
+                g, fold, _ = _counted(rows.as_py(), text, -1)
+                # The first fold's model is asked of all n-grams.
+                bit = np.where(fold > 0, np.left_shift(1, np.maximum(fold, 0)), 0)
+                g, first = _distinct(g)
+                folds = np.bitwise_or.reduceat(bit, first[:-1]) if len(g) else bit
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(folds), block.as_py())), pa.array(g.view(np.int64)), pa.array(folds)], ["block", "g", "folds"])
 
     return f
 
@@ -153,21 +183,46 @@ def _model(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return g[order], np.log(p[:, order])
 
 
+def _finder(g: np.ndarray):
+    """Where n-grams, all of them in sorted g, are in it: by a table of hashes, and by search where several have one hash."""
+    bits = min(max(len(g) * 8, 1).bit_length(), MOST_PLACES)
+    place = lambda x: ((x.view(B.U) * B.U(0x9E3779B97F4A7C15)) >> B.U(64 - bits)).view(np.int64)
+    of = place(g)
+    table = np.full(1 << bits, -1, np.int32)
+    table[of] = np.arange(len(g))
+    table[of[table[of] != np.arange(len(g))]] = -1
+
+    def find(x: np.ndarray) -> np.ndarray:
+        at = table[place(x)]
+        several = np.flatnonzero(at < 0)
+        at[several] = np.searchsorted(g, x[several])
+        return at
+
+    return find
+
+
 def _score(text: str):
     """Length and summed logarithm of each text of a block, and by the model that leaves its fold out."""
 
     def f(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         g, p = _model(answers)
+        find = _finder(g)
         out = {"block": [], "at": [], "lang": [], "fold": [], "n": [], "log": [], "own": []}
         for block, rows in zip(blocks.column("block"), blocks.column("rows"), strict=True):
             first = 0
             for x in unpack(rows.as_py()):
-                fold = x.column(x.schema.get_field_index("__fold")).to_numpy(zero_copy_only=False)
-                for i, j, seen, row in _grams(x, text):
-                    at = np.searchsorted(g, seen.view(np.int64))
-                    out["n"].append(np.bincount(row, minlength=j - i))
-                    out["log"].append(np.bincount(row, p[0, at], j - i))
-                    out["own"].append(np.bincount(row, p[np.maximum(fold[i:j], 0)[row], at], j - i))
+                fold = _folds(x)
+                for i, j, seen, n in _grams(x, text):
+                    at, row = find(seen.view(np.int64)), np.repeat(np.arange(j - i), n)
+                    log = np.bincount(row, p[0][at], j - i)
+                    own = log.copy()  # of texts of the first fold, and of those of none
+                    for k in range(1, HELD_OUT):
+                        if (fold[i:j] == k).any():
+                            mine = np.flatnonzero(np.repeat(fold[i:j] == k, n))
+                            own[fold[i:j] == k] = np.bincount(row[mine], p[k][at[mine]], j - i)[fold[i:j] == k]
+                    out["n"].append(n)
+                    out["log"].append(log)
+                    out["own"].append(own)
                     out["at"].append(np.arange(first + i, first + j))
                 out["lang"].append(x.column(x.schema.get_field_index("__lang")))
                 out["fold"].append(x.column(x.schema.get_field_index("__fold")))

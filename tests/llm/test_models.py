@@ -236,6 +236,77 @@ def test_quality_without_labels_or_rows(spark):
         quality.classify(df.withColumn("Kept", F.lit(1)), labels)
 
 
+def block_of(texts, folds, step=100):
+    import io
+
+    x = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(folds, pa.int32()), pa.array(["x"] * len(texts))], ["t", "__fold", "__lang"])
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, x.schema) as w:
+        for i in range(0, len(texts), step):
+            w.write_batch(x.slice(i, step))
+    return pa.RecordBatch.from_arrays([pa.array([7]), pa.array([out.getvalue()])], ["block", "rows"])
+
+
+def answers_of(asked):
+    rng = np.random.default_rng(2)
+    p = {f"p{k}": pa.array(rng.uniform(0.01, 1, asked.num_rows).astype(np.float32)) for k in range(quality.HELD_OUT)}
+    return pa.table({k: asked.column(k) for k in ("block", "g", "folds")} | p)
+
+
+@pytest.mark.parametrize("held, places", [(1 << 22, 22), (5, 3)])
+def test_blocks_count_ask_for_and_score_their_ngrams(monkeypatch, held, places):
+    monkeypatch.setattr(quality, "MOST_HELD", held)
+    monkeypatch.setattr(quality, "MOST_PLACES", places)
+    rng = random.Random(8)
+    texts = ["", None, "a", "abcd", "abcde", "é", "日本", "\0\0\0\0\0\0", "", *prose(rng, 40), "aaaaaaaaaaaa", "", None]
+    folds = [rng.randrange(-1, quality.HELD_OUT) for _ in texts]
+    block = block_of(texts, folds, 7)
+    grams = lambda t: [int.from_bytes((b"\0" * (quality.ORDER - 1) + t)[i : i + quality.ORDER]) for i in range(len(t))]
+    counts, bits = defaultdict(int), defaultdict(int)
+    for t, k in zip(texts, folds, strict=True):
+        for g in grams((t or "").encode()):
+            bits[g] |= 1 << k if k > 0 else 0
+            if k >= 0:
+                counts[g, k] += 1
+    learned = [tuple(r.values()) for b in quality._learn("t")([block]) for r in b.to_pylist()]
+    assert len(learned) == len(counts) and {(g, k): c for g, k, c in learned} == counts
+    (asked,) = quality._ask("t")([block])
+    assert asked.column("g").to_pylist() == sorted(bits) and set(asked.column("block").to_pylist()) == {7}
+    assert dict(zip(asked.column("g").to_pylist(), asked.column("folds").to_pylist(), strict=True)) == bits
+    told = answers_of(asked)
+    p = {r["g"]: [r[f"p{k}"] for k in range(quality.HELD_OUT)] for r in told.to_pylist()}
+    packed = pa.Table.from_batches(list(quality._answers(iter(told.to_batches()))))
+    got = quality._score("t")(pa.Table.from_batches([block]), packed).to_pylist()
+    assert [(r["at"], r["fold"]) for r in got] == list(enumerate(folds))
+    for r, t, k in zip(got, texts, folds, strict=True):
+        g = grams((t or "").encode())
+        assert r["n"] == len(g)
+        assert r["log"] == pytest.approx(sum(math.log(p[x][0]) for x in g), rel=1e-5)
+        assert r["own"] == pytest.approx(sum(math.log(p[x][max(k, 0)]) for x in g), rel=1e-5)
+
+
+def test_blocks_cost_few_sorts_of_their_ngrams():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=600)) for _ in range(1500)]
+    block = block_of(texts, [i % (2 * quality.HELD_OUT) if i % (2 * quality.HELD_OUT) < quality.HELD_OUT else -1 for i in range(len(texts))])
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            at = time.process_time()
+            out = f()
+            took.append(time.process_time() - at)
+        return min(took), out
+
+    numbers = np.random.default_rng(1).integers(0, 1 << 40, sum(map(len, texts)))
+    sort, _ = least(lambda: [np.sort(numbers[i : i + (1 << 20)], kind="heapsort") for i in range(0, len(numbers), 1 << 20)])
+    ask, (asked,) = least(lambda: list(quality._ask("t")([block])))
+    packed = pa.Table.from_batches(list(quality._answers(iter(answers_of(asked).to_batches()))))
+    score, _ = least(lambda: quality._score("t")(pa.Table.from_batches([block]), packed))
+    assert ask < 1.5 * sort and score < 1.5 * sort, (sort, ask, score)
+
+
 # SentencePiece
 
 
