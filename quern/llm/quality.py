@@ -29,7 +29,7 @@ ANSWERS = 1 << 20
 #: Bits that a fold takes beside an n-gram in one number: HELD_OUT folds and none.
 FOLD_BITS = 3
 #: Distinct n-grams of a block's runs of rows that are held before they are merged.
-MOST_HELD = 1 << 22
+MOST_HELD = 1 << 20
 #: Bits of a table's places, by which n-grams are found, at most.
 MOST_PLACES = 22
 
