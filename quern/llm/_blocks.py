@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import new_table
+from ..storage import ROW_GROUP_BYTES, new_table, small_batches
 from . import _bytes as B
 
 #: Bytes of text in a block; texts are deflated, so that a block is a few MB. Rows of a block.
@@ -72,7 +72,8 @@ def in_files(blocks: DataFrame, files: int) -> DataFrame:
     """blocks (with a column block) as a table dealt to so many files by block."""
     spark = blocks.sparkSession
     name, path = new_table(spark, "blocks")
-    blocks.write.bucketBy(files, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    with small_batches(spark):
+        blocks.write.bucketBy(files, "block").option("path", path).option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES).saveAsTable(name)
     return spark.table(name)
 
 

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import components, join_groups, linked_classes, stored, whole_ids, with_free_names
+from ._shared import components, join_groups, linked_classes, small_batches, stored, whole_ids, with_free_names
 
 #: Rows of the incidence matrix in a block, and entries: more than so many on average, and blocks have fewer rows.
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1 << 21
 #: Keys that a task holds until those of several sets become one row.
 HELD_KEYS = 1 << 21
+#: Keys are sorted in so many parts (a power of 2, 256 at most), and rows leave a task so many at a time.
+KEY_PARTS, ROWS_OUT = 16, 1 << 17
 #: n-grams in so many texts or more, of so many bytes of text that follow one another, may be common ones, of
 #: which there are so many at most.
 LOCAL, COUNTED, MOST_COMMON = 4, 8 << 20, 200_000
@@ -136,6 +138,11 @@ def linked(both: np.ndarray, size: np.ndarray, left: int, num: int, den: int) ->
     return (x, y) if right else (x[x < y], y[x < y])
 
 
+def _slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, rows.num_rows, ROWS_OUT):
+        yield rows.slice(i, ROWS_OUT)
+
+
 def _signatures(width: int):
     """Of each text its size, two sums of hashes and the least of a third one, which near copies mostly share; and the
     n-grams (g, c) that are in LOCAL texts or more of some COUNTED bytes of text that follow one another."""
@@ -143,13 +150,13 @@ def _signatures(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def often() -> pa.RecordBatch:
+        def often() -> Iterator[pa.RecordBatch]:
             g = np.sort(np.concatenate(held)) if held else np.zeros(0, B.U)
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
             c = np.diff(np.append(first, len(g)))
             g, c = g[first[c >= LOCAL]], c[c >= LOCAL]
             none = pa.nulls(len(g), pa.int64())
-            return pa.RecordBatch.from_arrays([*[none] * 5, pa.array(g.view(np.int64)), pa.array(c)], names)
+            yield from _slices(pa.RecordBatch.from_arrays([*[none] * 5, pa.array(g.view(np.int64)), pa.array(c)], names))
 
         names = ["id", "n", "h1", "h2", "low", "g", "c"]
         for b in batches:
@@ -168,9 +175,9 @@ def _signatures(width: int):
                 held.append(grams)
                 size += len(data)
                 if size >= COUNTED:
-                    yield often()
+                    yield from often()
                     held, size = [], 0
-        yield often()
+        yield from often()
 
     return f
 
@@ -192,29 +199,52 @@ def common_grams(often: DataFrame) -> np.ndarray:
     return np.sort(found.view(B.U))
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a and b."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[once], b[once]
+
+
 def _keys(width: int, num: int, den: int, common):
     """Keys of sets (key, id), but of sets that have a key in common in one task, up to HELD_KEYS at a time, only of
     the least id; the others are told as connected with it (key null, id, m). common: a broadcast of at most
     MOST_COMMON numbers."""
 
+    def parts(x: np.ndarray) -> Iterator[np.ndarray]:
+        lead = (x >> B.U(56)).astype(np.uint8) % KEY_PARTS
+        for k in range(KEY_PARTS):
+            yield np.flatnonzero(lead == k)
+
+    def told(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Connections have keys of their own, so that they are dealt evenly."""
+        return B.mixed(a.astype(B.U) ^ B.mixed(b.astype(B.U), 30), 31)
+
+    def met(key: np.ndarray, id_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = []
+        for own in parts(key):
+            k, i = key[own], id_[own]
+            order = np.lexsort((i, k))
+            k, i = k[order], i[order]
+            new = np.append(True, k[1:] != k[:-1])[: len(k)]
+            least = i[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            edges.append(_pairs(i[i != least], least[i != least]))
+            yield from _slices(pa.RecordBatch.from_arrays([pa.array(k[new].view(np.int64)), pa.array(least[new]), pa.nulls(int(new.sum()), pa.int64())], names))
+        a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+        for own in parts(told(a, b)):
+            x, y = _pairs(a[own], b[own])
+            yield from _slices(pa.RecordBatch.from_arrays([pa.array(told(x, y).view(np.int64)), pa.array(x), pa.array(y)], names))
+
+    names = ["key", "id", "m"]
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
-        def met() -> pa.RecordBatch:
-            key, id_ = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((id_, key))
-            key, id_ = key[order], id_[order]
-            new = np.append(True, key[1:] != key[:-1])
-            least = id_[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            a, b = id_[id_ != least], least[id_ != least]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-            a, b = a[once], b[once]
-            # Connections have keys of their own, so that they are dealt evenly.
-            keys = np.append(key[new], B.mixed(a.astype(B.U) ^ B.mixed(b.astype(B.U), 30), 31)).view(np.int64)
-            m = pa.array(np.append(least[new], b), mask=np.append(np.ones(int(new.sum()), bool), np.zeros(len(a), bool)))
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.append(least[new], a)), m], ["key", "id", "m"])
+        def flat() -> list[np.ndarray]:
+            out = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return out
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -224,10 +254,10 @@ def _keys(width: int, num: int, den: int, common):
                     held.append((key, ids[i:j][who]))
                     count += len(key)
                 if count >= HELD_KEYS:
-                    yield met()
-                    held, count = [], 0
+                    yield from met(*flat())
+                    count = 0
         if held:
-            yield met()
+            yield from met(*flat())
 
     return f
 
@@ -275,7 +305,8 @@ def _sets(width: int, num: int, den: int, common):
             return pa.table({**told, **{k: pa.nulls(len(told["id"]), t) for k, t in empty.items()}})
         none = {k: pa.nulls(1, pa.int64()) for k in ("id", "links", "root")}
         own = {"block": pa.array([block]), "level": pa.array([level], pa.int32()), "cut": pa.array([cut], pa.int32()), "rows": pa.array([_pack(ids, weight, grams, size)])}
-        own["keys"] = pa.array([np.unique(block_keys(grams, size, num, den, common.value)[1]).view(np.int64)], pa.list_(pa.int64()))
+        keys = [np.unique(block_keys(*x, num, den, common.value)[1]) for x in parts]  # by runs of rows: less is held at a time
+        own["keys"] = pa.array([np.unique(np.concatenate(keys)).view(np.int64)], pa.list_(pa.int64()))
         return pa.table({**none, **own})
 
     return f
@@ -332,6 +363,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     table gives no rows; other columns are not looked at, so their names do not clash. Runs jobs when called.
     """
     whole_ids(docs, id_col)
+    with small_batches(docs.sparkSession):
+        return _classes(docs, width, num, den, id_col, text_col, block_rows, block_entries)
+
+
+def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, block_rows: int, block_entries: int) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = stored(own.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, low long, g long, c long"), "jaccard-rows")
     rows = seen.filter("g is null").drop("g", "c")

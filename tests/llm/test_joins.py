@@ -1,8 +1,11 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from helpers import docs, odd_rows, prose
@@ -56,6 +59,40 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
+def test_keys_leave_a_task_in_small_batches(monkeypatch):
+    """What a task holds beside its keys does not grow with their number, and connections are those of all of them."""
+    rng = random.Random(4)
+    texts = prose(rng, 3000, 4000)
+    texts += [t + " more" for t in texts[:300]]
+    batch = pa.record_batch({"id": range(len(texts)), "text": texts})
+    common = SimpleNamespace(value=np.zeros(0, np.uint64))
+
+    def run(parts, out):
+        monkeypatch.setattr(jaccard_join, "KEY_PARTS", parts)
+        monkeypatch.setattr(jaccard_join, "ROWS_OUT", out)
+        rows, most = [], 0
+        tracemalloc.start()
+        for b in jaccard_join._keys(2, 4, 5, common)(iter([batch])):
+            most = max(most, b.num_rows)
+            rows += zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
+        tracemalloc.stop()
+        return sorted(rows, key=str), most
+
+    got, most = run(16, 1000)
+    assert most <= 1000 < len(got) and got == run(1, 1 << 20)[0]
+    # As many as 2^21 keys are merged in much less room than several copies of all take.
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1 << 19).astype(np.uint64) << np.uint64(1)
+    monkeypatch.setattr(jaccard_join, "KEY_PARTS", 16)
+    monkeypatch.setattr(jaccard_join, "ROWS_OUT", 1 << 17)
+    monkeypatch.setattr(jaccard_join, "block_keys", lambda *_: (np.zeros(len(keys), np.int64), keys))
+    tracemalloc.start()
+    for b in jaccard_join._keys(2, 4, 5, common)(iter([batch.slice(0, 1)])):
+        assert b.num_rows <= 1 << 17
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 16 * len(keys)
+
+
 def brute_jaccard(rows, width, num, den):
     sets = {i: shingles(t, width) for i, t in rows}
     ids = sorted(sets)

@@ -1,7 +1,11 @@
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quern import storage
 
@@ -106,3 +110,35 @@ def test_scratch_is_where_the_session_says(tmp_path):
 def test_a_cluster_without_a_shared_folder_is_an_error(cluster):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.scratch_dir(session(None, cluster))
+
+
+def test_small_batches_follow_bytes_and_leave_the_session(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def largest():
+        return max(r.n for r in rows.mapInArrow(sizes, "n long").collect())
+
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert largest() > 3 * storage.BATCH_BYTES
+    with storage.small_batches(spark):
+        with storage.small_batches(spark):
+            assert largest() < 1.1 * storage.BATCH_BYTES
+        assert largest() < 1.1 * storage.BATCH_BYTES
+    assert spark.conf.get(storage.BATCH_SETTING, None) is None
+    spark.conf.set(storage.BATCH_SETTING, "1000000")
+    try:
+        with storage.small_batches(spark):
+            assert largest() < 1_100_000
+        assert spark.conf.get(storage.BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(storage.BATCH_SETTING)
+
+
+def test_row_groups_of_scratch_tables_are_small(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROW_GROUP_BYTES", 1 << 16)
+    kept = storage.stored(spark.range(0, 20_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("x")), "groups")
+    files = list(Path(kept._stored_at.removeprefix("file:")).glob("*.parquet"))
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) > 4
+    assert kept.distinct().count() == 20_000
